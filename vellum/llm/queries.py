@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vellum.llm import text_queries
+from vellum.llm import dedup_queries, text_queries
 
-_MODULES = [text_queries]
+_MODULES = [text_queries, dedup_queries]
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
