@@ -10,9 +10,11 @@ space) share at least ``threshold`` of their union. Steps:
    symmetric difference, and near sets must keep whole blocks equal.
 3. Pigeonhole join on (band, block, parity word). A set near the lower edge of
    its band also enters the band below, which is where smaller partners are.
-   The block counts leave at least nine equal usable blocks on average between
-   sets exactly at 0.7, whatever their size: a pair at the threshold escapes
-   with a probability of about 1e-4, and one at 0.8 with less than 1e-9.
+   Two equal blocks make a candidate; bands of the smallest sets enter every
+   block twice, so that one is enough there. The block counts leave a dozen
+   equal usable blocks on average between sets exactly at 0.7, whatever their
+   size: a pair at the threshold escapes with a probability of about 1e-4, and
+   one at 0.8 with less than 1e-9.
 4. Blocks shared by up to ``GROUP`` classes give their pairs. Larger groups are
    compared in square tiles of bit sketches, of which only pairs within the
    Hamming bound are passed on: no group is held in one task and none is capped.
@@ -40,7 +42,7 @@ from vellum.plans.staging import stage
 
 THRESHOLD = 0.7
 #: Largest group of classes under one key whose pairs are listed at once; larger ones go in tiles.
-GROUP = 48
+GROUP = 128
 TILE = 512
 #: Ids up to this count are broadcast to pick texts; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -81,9 +83,9 @@ def first_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.n
 
 def _plan(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For bands of sets of ``low`` to twice as many runs: blocks, share of the universe used, least runs in a block."""
-    blocks = np.select([low >= 256, low >= 128, low >= 64], [80, 64, 48], 32)
-    share = np.where(low >= 256, 200 / np.maximum(low, 1), 1.0)
-    least = np.select([low >= 256, low >= 64], [3, 2], 1)
+    blocks = np.select([low >= 256, low >= 128, low >= 64], [96, 64, 48], 32)
+    share = np.where(low >= 256, np.minimum(1.0, 240 / np.maximum(low, 1)), 1.0)
+    least = np.select([low >= 256, low >= 128], [3, 2], 1)
     return blocks, share, least
 
 
@@ -105,7 +107,9 @@ def _sketch_keys(hashes: np.ndarray, ends: np.ndarray, low: np.ndarray, picked:
     of, block = of[at], block[at]
     tag = mix((low[of] * 128 + block).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + count.astype(np.uint64))
     use = count >= least[of]
-    return mix(word ^ tag)[use], of[use]
+    keys, of = mix(word ^ tag)[use], of[use]
+    small = low[of] <= 16
+    return np.concatenate([keys, mix(keys[small])]), np.concatenate([of, of[small]])
 
 
 def _block_keys(docs: DataFrame, threshold: float) -> DataFrame:
@@ -227,29 +231,34 @@ def _tiled(hot: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return spread.groupBy("k", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
 
 
-def sketch_candidates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): digests of classes that may be near."""
+def sketch_candidates(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): digests of classes that may be near; ``classes`` has (d, rep)."""
     rows = stage(_pairs(_block_keys(docs, threshold)), "sketch-pairs")
-    pairs = rows.where("tile = -1").select("a", "b")
+    pairs = rows.where("tile = -1").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     hot = rows.where("tile >= 0").select(F.col("a").alias("k"), F.col("b").alias("d"), "tile")
     if not hot.isEmpty():
-        pairs = pairs.unionByName(_tiled(hot, docs, threshold))
-    return pairs.distinct()
+        ids = classes.join(hot.select("d").distinct(), "d", "left_semi").select(F.col("rep").alias("id"))
+        pairs = pairs.unionByName(_tiled(hot, picked(docs, ids), threshold)).distinct()
+    return pairs
+
+
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with these distinct ids; a list of checked size is broadcast."""
+    ids = stage(ids, "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(u, v, shared, n_u, n_v) of the pairs of ids (u, v) whose texts are near."""
     pairs = stage(pairs, "pairs")
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    if pairs.count() <= BROADCAST_IDS // 2:
-        ids = F.broadcast(ids)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, texts in slices(batch.column(0), batch.column(1)):
                 yield pa.record_batch([keys, texts], names=["id", "text"])
 
-    texts = stage(docs.join(ids, "id", "left_semi").mapInArrow(squeeze, "id bigint, text string"), "pair-texts")
+    texts = stage(picked(docs, ids).mapInArrow(squeeze, "id bigint, text string"), "pair-texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,12 +276,12 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(check, "u bigint, v bigint, shared bigint, n_u bigint, n_v bigint")
 
 
-def linked(docs: DataFrame, candidates: Callable[[DataFrame, float], DataFrame], threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, candidates: Callable[[DataFrame, DataFrame, float], DataFrame], threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(id, grp, rep) of every row with a text, and the (u, v) links between class representatives."""
     rows = stage(members(docs), "members")
     classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     by_digest = classes.select(F.col("h1").alias("d"), "rep")
-    pairs = candidates(docs, threshold)
+    pairs = candidates(docs, by_digest, threshold)
     pairs = pairs.join(by_digest.select(F.col("d").alias("a"), F.col("rep").alias("u")), "a").join(by_digest.select(F.col("d").alias("b"), F.col("rep").alias("v")), "b")
     links = stage(verified(docs, pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), threshold), "links")
     joined = components(links.select("u", "v"))

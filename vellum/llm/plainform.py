@@ -80,6 +80,12 @@ def _singles() -> dict[str, str]:
     return table
 
 
+def _re2(pattern: str) -> str:
+    """A pattern of Python in RE2's notation."""
+    pattern = re.sub(r"\\U([0-9a-f]{8})", r"\\x{\1}", pattern)
+    return "".join(f"\\x{{{ord(c):x}}}" if ord(c) < 32 or 127 <= ord(c) < 160 else c for c in pattern)
+
+
 class Transducer:
     """Longest-match rewriting of clusters; built once per process."""
 
@@ -103,10 +109,9 @@ class Transducer:
         self._has_latin = re.compile(f"[{_LATIN}]")
         self._drop = re.compile(f"[{_INVISIBLE}]+")
         self._left = re.compile("[\u0300-\u036f]")  # accents that no letter takes up
-        #: For RE2: what may make a string other than plain.
-        self.trigger = f"[{singles}{_INVISIBLE}{_MARKS}{_OTHER}]".replace("\\U", "\\x{")
-        self.trigger = re.sub(r"\\x\{([0-9a-f]{8})", r"\\x{\1}", self.trigger)
-        self.trigger = "".join(f"\\x{{{ord(c):x}}}" if ord(c) < 32 or 127 <= ord(c) < 160 else c for c in self.trigger)
+        #: For RE2: what may make a string other than plain. Words wholly in another alphabet do not.
+        latin, gap = f"[{_LATIN}{_WIDE}]", f"[{_INVISIBLE}{_MARKS}]*"
+        self.trigger = _re2(f"[{singles}{_INVISIBLE}{_MARKS}]|{latin}{gap}[{_OTHER}]|[{_OTHER}]{gap}{latin}")
 
     def _map(self, text: str) -> str:
         return "".join(self.table.get(c, c) for c in text)
