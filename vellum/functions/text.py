@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of Unicode, spelled out: engines disagree about ``\s``.
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -110,7 +111,7 @@ def relaxed_match(p: Column, g: Column, threshold: float = 0.5) -> Column:
     return F.when((a == "") | (b == ""), False).otherwise((a == b) | a.contains(b) | b.contains(a) | overlap)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def span_overlap(p: pa.Array, g: pa.Array) -> pa.Array:
     """Longest common substring over the union of both lengths."""
 

@@ -41,7 +41,7 @@ def type_presence(results: DataFrame, schema: DataFrame) -> DataFrame:
     """Per event type, documents where both, only the prediction or only the gold has it; types of the schema included."""
     e = events(results).select("doc_id", "side", strip(F.coalesce("event_type", F.lit(""))).alias("event_type")).where("event_type <> ''")
     held = e.groupBy("doc_id", "event_type").agg(F.max(F.col("side") == "gold").alias("g"), F.max(F.col("side") == "pred").alias("p"))
-    seen = held.groupBy("event_type").agg(F.count_if("g and p").alias("tp"), F.count_if("p and not g").alias("fp"), F.count_if("g and not p").alias("fn"))
+    seen = held.groupBy("event_type").agg(F.count_if(F.expr("g and p")).alias("tp"), F.count_if(F.expr("p and not g")).alias("fp"), F.count_if(F.expr("g and not p")).alias("fn"))
     full = schema.select("event_type").distinct().join(seen, "event_type", "full_outer")
     return scored(full.select("event_type", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]))
 
@@ -72,7 +72,7 @@ def hallucinations(results: DataFrame, samples: DataFrame, key: str = "result_id
 def hallucination_rates(checked: DataFrame) -> DataFrame:
     """Values, ungrounded values, documents with any, and the rates."""
     docs = checked.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(~F.col("grounded")).alias("bad"))
-    s = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_ungrounded"), F.count("*").alias("n_docs"), F.count_if("bad > 0").alias("n_docs_ungrounded"))
+    s = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_ungrounded"), F.count("*").alias("n_docs"), F.count_if(F.expr("bad > 0")).alias("n_docs_ungrounded"))
     return s.select("*", safe_div(F.col("n_ungrounded"), F.col("n_values")).alias("value_rate"), safe_div(F.col("n_docs_ungrounded"), F.col("n_docs")).alias("doc_rate"))
 
 
@@ -133,7 +133,7 @@ def scores_from_counts(rows: DataFrame) -> DataFrame:
     sums = rows.agg(
         *[F.sum(f"{n}_{k}").alias(f"{n}_{k}") for n in COUNTED for k in ("tp", "pred_total", "gold_total")],
         *[F.coalesce(F.sum(F.when(F.expr(c), F.col(f"doc_role_{k}"))), F.lit(0)).alias(f"{n}_{k}") for n, c in (("single", "gold_event_count = 1"), ("multi", "gold_event_count > 1")) for k in ("tp", "pred_total", "gold_total")],
-        F.count_if("gold_event_count = 0").alias("zero_gold_samples"),
+        F.count_if(F.expr("gold_event_count = 0")).alias("zero_gold_samples"),
     )
     out = []
     for n in (*COUNTED, "single", "multi"):
@@ -148,7 +148,7 @@ def result_diagnostics(results: DataFrame, *by: str) -> DataFrame:
     empty = F.array().cast("array<string>")
     rows = results.select(*by, "parse_success", F.col("stage_mode").startswith("two_stage").alias("two"), F.coalesce(g, empty).alias("g"), F.coalesce(p, empty).alias("p"), F.coalesce(F.size(F.filter("ground_truth", lambda e: e.isNotNull())), F.lit(0)).alias("ng"), F.coalesce(F.size(F.filter("prediction", lambda e: e.isNotNull())), F.lit(0)).alias("np"))
     rows = rows.withColumn("missed", F.size(F.array_except("g", "p"))).withColumn("extra", F.size(F.array_except("p", "g")))
-    two = F.count_if("two")
+    two = F.count_if(F.expr("two"))
     share = lambda condition: F.try_divide(F.count_if(F.expr(f"two and ({condition})")).cast("double"), two.cast("double"))
     return rows.groupBy(*by).agg(
         F.count("*").alias("n_rows"),

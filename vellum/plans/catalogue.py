@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellum.plans import nested_queries
+from vellum.plans import nested_queries, score_queries
 
-FLAGSHIP = "p6_found"
-_MODULES = [nested_queries]
+FLAGSHIP = "agg_02_role_prf"
+_MODULES = [score_queries, nested_queries]
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
