@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -60,19 +62,33 @@ def local_companies(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"[\x{{4e00}}-\x{{9fa5}}A-Za-z0-9]{{2,40}}(?:{'|'.join(COMPANY_ENDINGS)})"), F.lit(0)))
 
 
-def ground_status(argument: Column, text: Column, mode: str = "exact+fuzzy+code_local") -> Column:
-    """How an argument is found in its text: exact, normalized_exact, shortname_or_code_local or ungrounded."""
-    raw, source = strip(F.coalesce(argument, F.lit(""))), F.coalesce(text, F.lit(""))
-    short, long = grounding_form(raw), grounding_form(source)
-    out = F.when((raw == "") | (source == ""), "ungrounded").when(source.contains(raw), "exact")
-    if "fuzzy" in mode:
-        out = out.when((short != "") & long.contains(short), "normalized_exact")
-    if "code_local" in mode:
-        name = without_company_ending(short)
-        known = F.transform(local_companies(source), lambda x: without_company_ending(grounding_form(x)))
-        out = out.when((short != "") & (name != "") & F.array_contains(known, name), "shortname_or_code_local")
-        out = out.when(short.rlike(r"^[a-z]*\d{4,8}$") & long.contains(short), "shortname_or_code_local")
-    return out.otherwise("ungrounded")
+def company_forms(text: Column) -> Column:
+    """Company names of a text without punctuation and ending."""
+    return F.transform(local_companies(text), lambda x: without_company_ending(grounding_form(x)))
+
+
+def ground_status(argument: Column, text: Column, mode: str = "exact+fuzzy+code_local", long: Column | None = None, known: Column | None = None) -> Column:
+    """How an argument is found in its text: exact, normalized_exact, shortname_or_code_local or ungrounded.
+
+    ``long`` and ``known`` are the text's grounding form and company forms, if
+    a column holds them already.
+    """
+    source = F.coalesce(text, F.lit(""))
+    long = grounding_form(source) if long is None else long
+    known = company_forms(source) if known is None else known
+
+    def status(raw: Column) -> Column:
+        short = grounding_form(raw)
+        out = F.when((raw == "") | (source == ""), "ungrounded").when(source.contains(raw), "exact")
+        if "fuzzy" in mode:
+            out = out.when((short != "") & long.contains(short), "normalized_exact")
+        if "code_local" in mode:
+            name = without_company_ending(short)
+            out = out.when((short != "") & (name != "") & F.array_contains(known, name), "shortname_or_code_local")
+            out = out.when(short.rlike(r"^[a-z]*\d{4,8}$") & long.contains(short), "shortname_or_code_local")
+        return out.otherwise("ungrounded")
+
+    return bound(strip(F.coalesce(argument, F.lit(""))), status)
 
 
 def retrieval_form(c: Column) -> Column:
@@ -80,12 +96,21 @@ def retrieval_form(c: Column) -> Column:
     return F.lower(F.array_join(F.regexp_extract_all(c, F.lit(r"[\x{4e00}-\x{9fff}A-Za-z0-9]+"), F.lit(0)), ""))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def char_ngrams(c: Column, n: int = 2) -> Column:
     """Distinct character n-grams of the retrieval form; a shorter text is its own only one, an empty one has none."""
-    t = retrieval_form(c)
-    size = F.char_length(t)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(t)).otherwise(F.array_distinct(grams))
+
+    def grams(a: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(a, i, n), ""))
+        pairs = F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(2), F.size(a)), lambda x, y: F.concat(x, y))
+        many = F.array_distinct(pairs if n == 2 else whole)
+        return F.when(F.size(a) == 0, F.array().cast("array<string>")).when(F.size(a) < n, F.array(F.array_join(a, ""))).otherwise(many)
+
+    return bound(F.filter(F.split(retrieval_form(c), ""), lambda x: x != ""), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:

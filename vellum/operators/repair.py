@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.text import fold, ground_status, has_any, strip
+from vellum.functions.text import company_forms, fold, ground_status, grounding_form, has_any, strip
 
 #: Signs and words between joined values.
 BETWEEN = r"\s*(?:、|，|,|；|;|/|及|和)\s*"
@@ -50,10 +50,16 @@ def filled_args(args: Column) -> Column:
     return F.filter(clean, lambda a: (a["role"] != "") & (a["argument"] != ""))
 
 
-def split_value(argument: Column, text: Column) -> Column:
+def with_forms(rows: DataFrame, text: str) -> DataFrame:
+    """Adds the forms of a text that grounding compares with, once per row."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return rows.withColumn("_long", grounding_form(t)).withColumn("_known", company_forms(t))
+
+
+def split_value(argument: Column, text: Column, long: Column | None = None) -> Column:
     """Two to four joined values as an array if the text holds every one, else the value whole."""
     parts = F.filter(F.transform(F.split(argument, BETWEEN), strip), lambda p: p != "")
-    grounded = F.forall(parts, lambda p: ground_status(p, text, "exact+fuzzy") != "ungrounded")
+    grounded = F.forall(parts, lambda p: ground_status(p, text, "exact+fuzzy", long) != "ungrounded")
     return F.when(F.size(parts).between(2, 4) & grounded, parts).otherwise(F.array(argument))
 
 
@@ -69,26 +75,26 @@ def _canonical(kind: Column, role: Column) -> Column:
 def postprocess(rows: DataFrame, schema: DataFrame, alias: DataFrame, events: str = "prediction", text: str = "text", keep_ungrounded: bool = True) -> DataFrame:
     """Adds ``repaired`` and ``statuses``: illegal types and roles dropped, aliases rewritten, joined values split, values grounded."""
     t = F.col(text)
-    base = rows.crossJoin(F.broadcast(role_book(schema))).crossJoin(F.broadcast(alias_book(alias)))
+    base = with_forms(rows, text).crossJoin(F.broadcast(role_book(schema))).crossJoin(F.broadcast(alias_book(alias)))
     legal = F.filter(_objects(F.coalesce(F.col(events), F.array())), lambda e: F.map_contains_key(F.col("roles"), strip(F.coalesce(e["event_type"], F.lit("")))) & e["arguments"].isNotNull())
 
     def args(e: Column) -> Column:
         kind = strip(e["event_type"])
         named = F.transform(filled_args(e["arguments"]), lambda a: _arg(_canonical(kind, a["role"]), a["argument"]))
         known = F.filter(named, lambda a: _known_role(kind, a["role"]))
-        pieces = F.flatten(F.transform(known, lambda a: F.transform(split_value(a["argument"], t), lambda v: F.struct(a["role"].alias("role"), v.alias("argument"), ground_status(v, t).alias("status")))))
+        pieces = F.flatten(F.transform(known, lambda a: F.transform(split_value(a["argument"], t, F.col("_long")), lambda v: F.struct(a["role"].alias("role"), v.alias("argument"), ground_status(v, t, long=F.col("_long"), known=F.col("_known")).alias("status")))))
         return pieces if keep_ungrounded else F.filter(pieces, lambda a: a["status"] != "ungrounded")
 
     done = F.transform(legal, lambda e: F.struct(strip(e["event_type"]).alias("event_type"), e["trigger"].alias("trigger"), args(e).alias("arguments")))
     repaired = F.filter(done, lambda e: F.size(e["arguments"]) > 0)
     out = base.withColumn("repaired", repaired)
-    return out.withColumn("statuses", F.flatten(F.transform("repaired", lambda e: F.transform(e["arguments"], lambda a: a["status"])))).drop("roles", "aliases")
+    return out.withColumn("statuses", F.flatten(F.transform("repaired", lambda e: F.transform(e["arguments"], lambda a: a["status"])))).drop("roles", "aliases", "_long", "_known")
 
 
 def cat_lite(rows: DataFrame, schema: DataFrame, events: str = "prediction", text: str = "text") -> DataFrame:
     """Adds ``kept``, ``dropped_events`` and ``dropped_args``: legal types, known roles and values that stand in the text."""
-    body = fold(F.coalesce(F.col(text), F.lit("")))
-    base = rows.crossJoin(F.broadcast(role_book(schema)))
+    body = F.col("_body")
+    base = rows.withColumn("_body", fold(F.coalesce(F.col(text), F.lit("")))).crossJoin(F.broadcast(role_book(schema)))
     typed = _objects(F.coalesce(F.col(events), F.array()))
     legal = F.filter(typed, lambda e: F.map_contains_key(F.col("roles"), strip(F.coalesce(e["event_type"], F.lit("")))))
     ok = lambda e: F.filter(filled_args(e["arguments"]), lambda a: _known_role(strip(e["event_type"]), a["role"]) & body.contains(fold(a["argument"])))
@@ -96,7 +102,7 @@ def cat_lite(rows: DataFrame, schema: DataFrame, events: str = "prediction", tex
     out = base.withColumn("done", done).withColumn("kept", F.filter("done", lambda e: F.size(e["arguments"]) > 0))
     n_args = lambda c, f: F.aggregate(c, F.lit(0), lambda s, e: s + F.size(f(e)))
     out = out.withColumn("dropped_events", F.size(typed) - F.size("kept"))
-    return out.withColumn("dropped_args", n_args(legal, lambda e: filled_args(e["arguments"])) - n_args(F.col("done"), lambda e: e["arguments"])).drop("done", "roles")
+    return out.withColumn("dropped_args", n_args(legal, lambda e: filled_args(e["arguments"])) - n_args(F.col("done"), lambda e: e["arguments"])).drop("done", "roles", "_body")
 
 
 def split_records(events: Column, primary: dict[str, str]) -> Column:
@@ -125,7 +131,7 @@ def completed(event: Column, text: Column, patterns: dict[str, dict[str, str]])
     for kind, roles in sorted(patterns.items()):
         for role, pattern in sorted(roles.items()):
             value = F.get(role_candidates(text, pattern), F.lit(0))
-            absent = (event["event_type"] == kind) & ~F.exists(event["arguments"], lambda a, role=role: a["role"] == role) & value.isNotNull()
+            absent = (event["event_type"] == kind) & ~F.array_contains(F.transform(event["arguments"], lambda a: a["role"]), role) & value.isNotNull()
             args = F.concat(args, F.when(absent, F.array(_arg(F.lit(role), value))).otherwise(_empty_args()))
     return _event(event["event_type"], event["trigger"], args)
 
@@ -133,14 +139,14 @@ def completed(event: Column, text: Column, patterns: dict[str, dict[str, str]])
 def correct_records(rows: DataFrame, schema: DataFrame, alias: DataFrame, primary: dict[str, str], patterns: dict[str, dict[str, str]] | None = None, events: str = "prediction", text: str = "text") -> DataFrame:
     """Adds ``corrected`` and its counters: alias, whitelist, split, dedupe, completion, then one record per primary value."""
     t = F.coalesce(F.col(text), F.lit(""))
-    base = rows.crossJoin(F.broadcast(role_book(schema))).crossJoin(F.broadcast(alias_book(alias)))
+    base = with_forms(rows, text).crossJoin(F.broadcast(role_book(schema))).crossJoin(F.broadcast(alias_book(alias)))
     legal = F.filter(_objects(F.coalesce(F.col(events), F.array())), lambda e: F.map_contains_key(F.col("roles"), strip(F.coalesce(e["event_type"], F.lit("")))))
 
     def fixed(e: Column) -> Column:
         kind = strip(e["event_type"])
         named = F.transform(filled_args(e["arguments"]), lambda a: _arg(_canonical(kind, a["role"]), a["argument"]))
         known = F.filter(named, lambda a: _known_role(kind, a["role"]))
-        pieces = F.flatten(F.transform(known, lambda a: F.transform(split_value(a["argument"], t), lambda v: _arg(a["role"], v))))
+        pieces = F.flatten(F.transform(known, lambda a: F.transform(split_value(a["argument"], t, F.col("_long")), lambda v: _arg(a["role"], v))))
         return _event(kind, e["trigger"], F.array_distinct(pieces))
 
     out = base.withColumn("legal", F.transform(legal, fixed))
@@ -148,7 +154,7 @@ def correct_records(rows: DataFrame, schema: DataFrame, alias: DataFrame, primar
         out = out.withColumn("legal", F.transform("legal", lambda e: completed(e, t, patterns)))
     out = out.withColumn("legal", F.filter("legal", lambda e: F.size(e["arguments"]) > 0))
     out = out.withColumn("corrected", split_records(F.col("legal"), primary))
-    return out.withColumn("n_split", F.size("corrected") - F.size("legal")).drop("legal", "roles", "aliases")
+    return out.withColumn("n_split", F.size("corrected") - F.size("legal")).drop("legal", "roles", "aliases", "_long", "_known")
 
 
 def competing_dropped(events: Column, text: Column, rules: list[tuple[str, list[str], list[str]]]) -> Column:
