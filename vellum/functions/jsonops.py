@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.text import strip
+from vellum.functions.text import bound, strip
 
 #: Chinese signs and the JSON signs they stand for.
 SIGNS = ("，：；“”‘’【】（）｛｝", ",:;\"\"''[](){}")
@@ -57,12 +57,15 @@ def fix_single_quotes(c: Column) -> Column:
 
 
 def ladder(json: Column) -> Column:
-    """The text as it is and after each further repair."""
-    steps, now = [json], json
-    for repair in (normalize_punctuation, fix_trailing_comma, remove_control_characters, fix_unclosed_brackets, fix_single_quotes):
-        now = repair(now)
-        steps.append(now)
-    return F.array(*steps)
+    """The text as it is and after each further repair; every rung is computed once."""
+    repairs = [normalize_punctuation, fix_trailing_comma, remove_control_characters, fix_unclosed_brackets, fix_single_quotes]
+
+    def climb(rungs: list[Column]) -> Column:
+        if len(rungs) > len(repairs):
+            return F.array(*rungs)
+        return bound(repairs[len(rungs) - 1](rungs[-1]), lambda x: climb([*rungs, x]))
+
+    return bound(json, lambda x: climb([x]))
 
 
 def parsed(json: Column) -> Column:

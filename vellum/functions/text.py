@@ -114,8 +114,9 @@ def char_ngrams(c: Column, n: int = 2) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Share of the union of two arrays that both hold; 0 if either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)).cast("double")).otherwise(F.lit(0.0))
+    """Share of the union of two arrays of distinct values that both hold; 0 if either is empty."""
+    both = bound(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n).cast("double"))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both).otherwise(F.lit(0.0))
 
 
 def keywords(c: Column) -> Column:
