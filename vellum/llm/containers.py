@@ -2,6 +2,8 @@
 
 Shortest-pack-first over the length histogram: lengths go in longest first, each
 into the packs with most room left, and only counts of packing patterns change.
+Where no pack has room, new ones are opened for as many items as each can hold,
+so a length that is very frequent does not get a pack per item.
 The histogram has at most ``capacity`` lengths however many items there are, so
 the driver holds nothing that grows with the data. Items then find their place
 by their rank among those of equal length; ranks are counted in salted groups.
@@ -47,9 +49,9 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
                     tie += 1
                     heapq.heappush(open_packs, (room, tie, count - used, content))
             else:
-                room, content = -capacity, {}
-                each = 1
-                used = left
+                room, content = -capacity, {}  # nothing has room: open as few as the items left can fill
+                each = min(capacity // length, left)
+                used = left // each
             tie += 1
             left -= used * each
             heapq.heappush(open_packs, (room + each * length, tie, used, {**content, length: content.get(length, 0) + each}))
