@@ -9,7 +9,8 @@ therefore works on windows and in folds: windows of a fold are scored by
 dictionaries from the other folds; windows of toxic documents that score above
 nearly all ordinary ones become the toxic text, and ordinary windows that score
 like toxic ones (wrong labels) leave the ordinary text. The threshold is the
-one with the best F1 over held-out document scores.
+one with the best F1 over held-out document scores, false alarms weighed by
+``ALARM`` since toxic documents are over-represented among the labels.
 
 Labelled documents are bounded by ``MOST_LABELS`` (taken by hash of the key, all
 if fewer), so the model has a fixed size. Every document is scored whole.
@@ -36,6 +37,10 @@ from vellum.llm.plainform import transducer
 #: Most labelled documents used for training.
 MOST_LABELS = 8_000
 FOLDS = 5
+#: Least threshold: about three Chinese characters more than chance.
+LEAST = 8
+#: How many times rarer toxic documents are in the corpus than among the labelled ones.
+ALARM = 5
 ROUNDS = 2
 LEVEL = 3
 #: Ordinary dictionaries, each of a share of the ordinary windows.
@@ -46,6 +51,17 @@ _TRAINED = b"\x37\xa4\x30\xec"
 WINDOW, STRIDE = 40, 24
 QUANTILE = 0.998
 
+#: Toxic text to start from, general abuse, hate and sexual talk, where labels are few.
+SEEDS = (
+    "傻逼", "傻屌", "你个傻逼", "煞笔", "脑残", "智障", "弱智", "白痴", "蠢货", "蠢得像猪", "蠢驴", "废物", "一群废物", "人渣", "垃圾人渣", "败类", "畜生", "禽兽", "杂种", "狗杂种", "狗东西", "狗娘养的",
+    "狗日的", "王八蛋", "混蛋", "贱货", "贱人", "贱骨头", "婊子", "臭婊子", "骚货", "荡妇", "不要脸", "臭不要脸", "滚", "滚蛋", "滚出去", "滚回家去", "滚你妈的", "你妈的", "操你妈", "他妈的", "妈的",
+    "去死", "去死吧", "不得好死", "断子绝孙", "全家死光", "弄死你", "打死你", "活该被打死", "吃屎去吧", "满嘴喷粪", "放屁", "狗屎", "恶心", "死变态", "老不死的", "寄生虫", "害虫", "蛆", "低等人", "劣等民族", "血统低劣",
+    "都赶出去", "没一个好东西", "外地人都是贼", "女人就该回家生孩子", "残废", "黑鬼", "裸聊", "全裸", "脱光了", "约炮", "一夜情", "床上功夫", "做爱", "上床", "成人片", "无码", "色情直播", "奶子", "乳房", "下面湿了", "硬了",
+    "you fucking idiot", "fuck you", "fuck off", "you stupid moron", "piece of shit", "eat shit", "bullshit liar", "shithead", "asshole", "up your ass", "son of a bitch", "bastard", "worthless cunt", "whore", "slut",
+    "go kill yourself", "hope you die", "should rot in hell", "subhuman trash", "vermin", "parasites", "throw them all out", "go back to your country", "women belong in the kitchen", "retard",
+    "nude girls", "naked cam", "free porn", "sex clips", "hot sluts", "watch her cum", "bang her all night", "hook up tonight",
+)
+
 _SPLIT = re.compile(r"(?<=[^\W\d_])[-/.*_~·|丨'`^+\s]*[-/.*_~·|丨'`^+](?=[^\W\d_])")
 _CLAUSE = re.compile(r"[^。！？!?；;，,\n…]+[。！？!?；;，,\n…]*")
 
@@ -120,7 +136,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     def held_out() -> list[list[int]]:
         scores: list[list[int]] = [[]] * len(cut)
         for f in range(FOLDS):
-            score = scorer(*(make([w for i, ws in side.items() if fold[i] != f for w in ws], SIZE) for side, make in ((ordinary, build_all), (toxic, build))))
+            score = scorer(*(make([w for i, ws in side.items() if i < 0 or fold[i] != f for w in ws], SIZE) for side, make in ((ordinary, build_all), ({**toxic, -1: list(SEEDS)}, build))))
             for i in range(f, len(cut), FOLDS):
                 scores[i] = [score(w) for w in cut[i]]
         return scores
@@ -133,9 +149,11 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
         scores = held_out()
     top = np.array([max(s, default=-99) for s in scores])
     truth = np.array(label, bool)
-    steps = np.arange(1, 41)
-    f1 = [2 * (truth & (top >= t)).sum() / max(1, (top >= t).sum() + truth.sum()) for t in steps]
-    kept = [w for i in toxic for w in toxic[i]]
+    steps = np.arange(LEAST, 41)
+    # F1 with false alarms weighed up: labels over-represent toxic documents
+    hits, alarms = (np.array([(side & (top >= t)).sum() for t in steps]) for side in (truth, ~truth))
+    f1 = 2 * hits / (hits + ALARM * alarms + truth.sum())
+    kept = [*SEEDS, *(w for i in toxic for w in toxic[i])]
     return {"ordinary": build_all([w for ws in ordinary.values() for w in ws], SIZE), "toxic": build(kept, SIZE), "kept": kept, "threshold": int(steps[int(np.argmax(f1))])}
 
 
