@@ -202,4 +202,12 @@ ORACLES = {
     "trn_03_types": f"WITH t AS (SELECT row_id, {SQ._types_list('events')} AS o, coalesce(list_filter(event_types, lambda t, i: coalesce(t,'') <> '' AND list_position(event_types, t) = i), []) AS g FROM duee_fin_samples) SELECT row_id, array_to_string(CASE WHEN len(o) > 0 THEN o ELSE g END, '|') AS types FROM t",
     "tpch_03_top_orders": "WITH g AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM lineitem GROUP BY 1) SELECT o_orderkey, o_orderpriority, CAST(cents AS BIGINT) AS cents FROM orders JOIN g ON l_orderkey = o_orderkey ORDER BY cents DESC, o_orderkey LIMIT 10",
 }
+ORACLES |= {
+    "prj_12_answers": f"SELECT row_id, CAST(to_json(coalesce({SQ._types_list('events')}, [])) AS VARCHAR) AS answer FROM duee_fin_samples",
+    "neg_01_confusing_types": f"""WITH o AS (SELECT a.n_nationkey AS key, a.n_name AS event_type, a.n_nationkey % 3 AS s, b.n_name AS b, CASE WHEN a.n_regionkey = b.n_regionkey THEN 2 ELSE 4 END AS d FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey),
+    p AS (SELECT key, event_type, list_sort(list(b)) AS bs FROM o WHERE s = 2 OR (s = 0 AND d = 4) OR (s = 1 AND d = 2) GROUP BY ALL) SELECT key, event_type, bs[{PQ._NUM.format("key || ':' || event_type")} % len(bs) + 1] AS wrong FROM p""",
+    "txt_16_sentences": f"""WITH e AS (SELECT result_id, {_REAL} AS es FROM evaluation_results), x AS (SELECT result_id, unnest(es) AS e, generate_subscripts(es, 1) AS i FROM e),
+    s AS (SELECT result_id, i, '发生了' || coalesce(e.event_type, '未知事件') || '事件' || coalesce('，其中' || nullif(array_to_string(list_transform(list_filter(e.arguments, lambda a: a IS NOT NULL AND coalesce(a.role,'') <> '' AND coalesce(a.argument,'') <> ''), lambda a: a.role || '为' || a.argument), '，'), ''), '') AS t FROM x),
+    j AS (SELECT result_id, string_agg(t, '。' ORDER BY i) || '。' AS t FROM s GROUP BY result_id) SELECT r.result_id, coalesce(t, '') AS sentence FROM evaluation_results r LEFT JOIN j ON j.result_id = r.result_id""",
+}
 QUERIES = {n: f for n, f in globals().items() if n.split("_")[0] in PQ._PREFIXES and callable(f)}

@@ -625,5 +625,14 @@ ORACLES = {
     "neg_03_strategies": f"WITH e AS (SELECT event_id, {_NUM.format(chr(39) + 'neg:' + chr(39) + ' || event_id')} / 4294967296.0e0 AS u, least(1e0, sqrt(least(1e0, CAST(event_id AS DOUBLE)/10000e0)*0.99e0 + 0.01e0)) AS p FROM events) SELECT event_id, CASE WHEN p < 1e0/3 THEN CASE WHEN u < 0.7e0 THEN 'EASY' WHEN u < 0.9e0 THEN 'MEDIUM' ELSE 'HARD' END WHEN p < 2e0/3 THEN CASE WHEN u < 0.2e0 THEN 'EASY' WHEN u < 0.6e0 THEN 'MEDIUM' ELSE 'HARD' END ELSE CASE WHEN u < 0.1e0 THEN 'EASY' WHEN u < 0.25e0 THEN 'MEDIUM' ELSE 'HARD' END END AS strategy FROM e",
     "tpch_01_pricing": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS n, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
 }
+ORACLES |= {
+    "agg_34_strategy_histogram": f"SELECT strategy, count(*) AS n FROM ({ORACLES['neg_03_strategies']}) GROUP BY strategy",
+    "src_10_split_overlap": f"SELECT row_id FROM ({ORACLES['smp_03_split']}) GROUP BY row_id HAVING count(DISTINCT part) > 1",
+    "jsn_11_paths": "SELECT line_id, CAST(payload AS JSON) ->> '$.parse_diagnostics.extraction_method' AS method, CAST(CAST(payload AS JSON) ->> '$.stage_meta.retry' AS DOUBLE) AS retry FROM result_lines",
+    "trn_02_negative_types": f"""WITH u AS (SELECT list_sort(list(DISTINCT event_type)) AS u FROM schema_roles), g AS (SELECT row_id, coalesce({_GTYPES}, []) AS g, u, list_filter(u, lambda x: NOT list_contains(coalesce({_GTYPES}, []), x)) AS o FROM duee_fin_samples, u),
+    s AS (SELECT row_id, g, u, o, list_transform(g, lambda t, i: o[{_NUM.format("row_id || ':' || t || ':' || (i-1)")} % greatest(len(o), 1) + 1]) AS sw FROM g)
+    SELECT row_id, array_to_string(CASE WHEN len(g) = 0 THEN [u[{_NUM.format("row_id || ':negative-empty'")} % len(u) + 1]] WHEN len(o) > 0 THEN list_filter(sw, lambda x, i: list_position(sw, x) = i) ELSE g[1:greatest(len(g)-1, 0)] END, '|') AS types FROM s""",
+    "rep_04_candidates": "WITH f AS (SELECT row_id, list_filter(list_transform(regexp_extract_all(text, '回购(?:数量)?(?:为|达)?(\\d[\\d,\\.]*(?:亿|万)?股)', 1), lambda v: regexp_replace(v, '^[ ：:，,。；;]+|[ ：:，,。；;]+$', '', 'g')), lambda v: v <> '') AS v FROM duee_fin_samples WHERE text IS NOT NULL) SELECT row_id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '|') AS found FROM f WHERE len(v) > 0",
+}
 _PREFIXES = ("src", "snk", "flt", "jsn", "rep", "txt", "prj", "ret", "smp", "trn", "neg", "agg", "grf", "stm", "win", "sta", "join", "val", "mth", "set", "srt", "tpch")
 QUERIES = {n: f for n, f in globals().items() if n.split("_")[0] in _PREFIXES and callable(f)}
