@@ -101,7 +101,7 @@ def canonical_roles(results: DataFrame, alias: DataFrame, key: str = "result_id"
     """(key, column, n_rewrites): roles under alias names rewritten, per event type."""
     names = alias.groupBy("event_type").agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("m"))
     book = names.agg(F.map_from_entries(F.collect_list(F.struct("event_type", "m"))).alias("book"))
-    rows = results.select(key, column).crossJoin(F.broadcast(book))
+    rows = results.select(key, column).withColumn("book", book.scalar())
 
     def role(event: Column, arg: Column) -> Column:
         return F.coalesce(F.element_at(F.element_at(F.col("book"), F.coalesce(event["event_type"], F.lit(""))), F.coalesce(arg["role"], F.lit(""))), arg["role"])

@@ -39,4 +39,4 @@ def similarity(found: DataFrame, diameter: int) -> DataFrame:
 def shape(tree: DataFrame) -> DataFrame:
     """Nodes, edges and average degree."""
     nodes = tree.select(F.col("child").alias("n")).unionByName(tree.select(F.col("parent").alias("n"))).distinct().agg(F.count("*").alias("n_nodes"))
-    return nodes.crossJoin(tree.agg(F.count("*").alias("n_edges"))).withColumn("avg_degree", 2.0 * F.col("n_edges") / F.col("n_nodes"))
+    return nodes.withColumn("n_edges", tree.agg(F.count("*")).scalar()).withColumn("avg_degree", 2.0 * F.col("n_edges") / F.col("n_nodes"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions.maths import nearest_rank, prf, safe_div
@@ -165,6 +166,19 @@ def aggregate_runs(rows: DataFrame, *by: str) -> DataFrame:
     return s.select(*by, "metric", "n_runs", "mean", "std", "min", "max", nearest_rank(F.col("v"), 0.5).alias("median"), nearest_rank(F.col("v"), 0.025).alias("low"), nearest_rank(F.col("v"), 0.975).alias("high"))
 
 
+def nearest_ranks(df: DataFrame, by: str, value: str, at: dict[str, float]) -> DataFrame:
+    """(by, names of ``at``): nearest-rank percentiles per group; ranks are rounded half to even.
+
+    Equal values are counted first, so a group is held as its distinct values,
+    however many rows it has.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("k"))
+    group = W.partitionBy(by)
+    upto = counts.withColumn("hi", F.sum("k").over(group.orderBy(value))).withColumn("n", F.sum("k").over(group))
+    place = lambda p: F.bround((F.col("n") - 1) * F.lit(p)).cast("bigint") + 1
+    return upto.groupBy(by).agg(*[F.min(F.when(F.col("hi") >= place(p), F.col(value))).alias(name) for name, p in at.items()])
+
+
 def schema_violations(results: DataFrame, schema: DataFrame, column: str = "prediction", key: str = "result_id") -> DataFrame:
     """(doc_id, code): the first breach of the schema in each row's events, if any.
 

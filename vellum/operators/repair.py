@@ -2,7 +2,8 @@
 
 All operators are row to row: a row's events go in, the repaired events and
 counters come out, with nested expressions only; order is kept and nothing is
-shuffled. Schemas and aliases are small tables, turned into map columns.
+shuffled. Schemas and aliases are small tables, read once by a scalar subquery
+and used as map columns.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def _canonical(kind: Column, role: Column) -> Column:
 def postprocess(rows: DataFrame, schema: DataFrame, alias: DataFrame, events: str = "prediction", text: str = "text", keep_ungrounded: bool = True) -> DataFrame:
     """Adds ``repaired`` and ``statuses``: illegal types and roles dropped, aliases rewritten, joined values split, values grounded."""
     t = F.col(text)
-    base = with_forms(rows, text).crossJoin(F.broadcast(role_book(schema))).crossJoin(F.broadcast(alias_book(alias)))
+    base = with_forms(rows, text).withColumns({"roles": role_book(schema).scalar(), "aliases": alias_book(alias).scalar()})
     legal = F.filter(_objects(F.coalesce(F.col(events), F.array())), lambda e: F.map_contains_key(F.col("roles"), strip(F.coalesce(e["event_type"], F.lit("")))) & e["arguments"].isNotNull())
 
     def args(e: Column) -> Column:
@@ -94,7 +95,7 @@ def postprocess(rows: DataFrame, schema: DataFrame, alias: DataFrame, events: st
 def cat_lite(rows: DataFrame, schema: DataFrame, events: str = "prediction", text: str = "text") -> DataFrame:
     """Adds ``kept``, ``dropped_events`` and ``dropped_args``: legal types, known roles and values that stand in the text."""
     body = F.col("_body")
-    base = rows.withColumn("_body", fold(F.coalesce(F.col(text), F.lit("")))).crossJoin(F.broadcast(role_book(schema)))
+    base = rows.withColumn("_body", fold(F.coalesce(F.col(text), F.lit("")))).withColumn("roles", role_book(schema).scalar())
     typed = _objects(F.coalesce(F.col(events), F.array()))
     legal = F.filter(typed, lambda e: F.map_contains_key(F.col("roles"), strip(F.coalesce(e["event_type"], F.lit("")))))
     ok = lambda e: F.filter(filled_args(e["arguments"]), lambda a: _known_role(strip(e["event_type"]), a["role"]) & body.contains(fold(a["argument"])))
@@ -139,7 +140,7 @@ def completed(event: Column, text: Column, patterns: dict[str, dict[str, str]])
 def correct_records(rows: DataFrame, schema: DataFrame, alias: DataFrame, primary: dict[str, str], patterns: dict[str, dict[str, str]] | None = None, events: str = "prediction", text: str = "text") -> DataFrame:
     """Adds ``corrected`` and its counters: alias, whitelist, split, dedupe, completion, then one record per primary value."""
     t = F.coalesce(F.col(text), F.lit(""))
-    base = with_forms(rows, text).crossJoin(F.broadcast(role_book(schema))).crossJoin(F.broadcast(alias_book(alias)))
+    base = with_forms(rows, text).withColumns({"roles": role_book(schema).scalar(), "aliases": alias_book(alias).scalar()})
     legal = F.filter(_objects(F.coalesce(F.col(events), F.array())), lambda e: F.map_contains_key(F.col("roles"), strip(F.coalesce(e["event_type"], F.lit("")))))
 
     def fixed(e: Column) -> Column:

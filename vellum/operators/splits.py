@@ -34,10 +34,10 @@ def ranked_by_hash(df: DataFrame, by: list[str], hashed: str, tie: str) -> DataF
 def allocations(df: DataFrame, by: str, ratio: float) -> DataFrame:
     """(by, n, take): rows to take of each stratum by largest remainder; the total is the rounded share of all rows, half to even."""
     counts = df.groupBy(by).agg(F.count("*").alias("n"))
-    total = counts.agg(F.bround(F.sum("n") * F.lit(ratio)).cast("bigint").alias("target"), F.sum(F.floor(F.col("n") * F.lit(ratio))).alias("based"))
-    each = counts.crossJoin(F.broadcast(total)).withColumn("base", F.floor(F.col("n") * F.lit(ratio))).withColumn("rest", F.col("n") * F.lit(ratio) - F.col("base"))
+    total = counts.agg(F.struct(F.bround(F.sum("n") * F.lit(ratio)).cast("bigint").alias("target"), F.sum(F.floor(F.col("n") * F.lit(ratio))).alias("based")))
+    each = counts.withColumn("t", total.scalar()).withColumn("base", F.floor(F.col("n") * F.lit(ratio))).withColumn("rest", F.col("n") * F.lit(ratio) - F.col("base"))
     each = each.withColumn("place", F.row_number().over(W.orderBy(F.desc("rest"), F.desc(by))))
-    return each.select(by, "n", (F.col("base") + F.when(F.col("place") <= F.col("target") - F.col("based"), 1).otherwise(0)).alias("take"))
+    return each.select(by, "n", (F.col("base") + F.when(F.col("place") <= F.col("t.target") - F.col("t.based"), 1).otherwise(0)).alias("take"))
 
 
 def stratified_split(df: DataFrame, key: str, types: str, ratio: float = 0.1, seed: int = 3407) -> DataFrame:

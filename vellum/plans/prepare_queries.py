@@ -18,6 +18,7 @@ from vellum.operators import retrieval as RT
 from vellum.operators import splits as SP
 from vellum.operators import stats as ST
 from vellum.operators import trainset as TR
+from vellum.operators.metrics import nearest_ranks
 from vellum.plans import score_queries as SQ
 from vellum.sources import records as S
 from vellum.sources.tables import table
@@ -70,8 +71,8 @@ def snk_01_sorted_results(spark, d):
 
 
 def flt_05_known_types(spark, d):
-    known = _t(spark, d, "schema_roles").agg(F.collect_set("event_type").alias("known"))
-    rows = _t(spark, d, "duee_fin_samples").select("row_id", "event_types").crossJoin(F.broadcast(known))
+    known = _t(spark, d, "schema_roles").agg(F.collect_set("event_type"))
+    rows = _t(spark, d, "duee_fin_samples").select("row_id", "event_types").withColumn("known", known.scalar())
     return rows.where(F.forall(F.coalesce("event_types", F.array().cast("array<string>")), lambda t: F.array_contains("known", t))).select("row_id")
 
 
@@ -213,8 +214,8 @@ def prj_13_messages(spark, d):
 
 
 def prj_15_restricted_schema(spark, d):
-    known = _t(spark, d, "schema_roles").select("event_type").distinct().agg(F.array_sort(F.collect_set("event_type")).alias("all"))
-    rows = _t(spark, d, "evaluation_results").select("result_id", A.event_type_list(F.col("prediction")).alias("p")).crossJoin(F.broadcast(known))
+    known = _t(spark, d, "schema_roles").select("event_type").distinct().agg(F.array_sort(F.collect_set("event_type")))
+    rows = _t(spark, d, "evaluation_results").select("result_id", A.event_type_list(F.col("prediction")).alias("p")).withColumn("all", known.scalar())
     some = F.filter("all", lambda t: F.array_contains(F.coalesce("p", F.array().cast("array<string>")), t))
     return rows.select("result_id", F.array_join(F.when(F.size(some) > 0, some).otherwise(F.col("all")), "|").alias("types"))
 
@@ -414,7 +415,8 @@ def join_10_deltas(spark, d):
 
 
 def join_11_completeness(spark, d):
-    expected = _t(spark, d, "eval_runs").select("run_key").crossJoin(_t(spark, d, "duee_fin_samples").select("source").distinct())
+    sources = _t(spark, d, "duee_fin_samples").agg(F.collect_set("source"))
+    expected = _t(spark, d, "eval_runs").select("run_key").withColumn("sources", sources.scalar()).select("run_key", F.explode("sources").alias("source"))
     return C.missing_rows(expected, _t(spark, d, "evaluation_results"), ["run_key", "source"])
 
 
@@ -494,10 +496,7 @@ def agg_26_usage(spark, d):
 
 
 def srt_09_percentiles(spark, d):
-    w = W.partitionBy("source").orderBy("n_chars", "doc_id")
-    rows = _t(spark, d, "documents").where("n_chars is not null").select("source", "n_chars", F.row_number().over(w).alias("i"), F.count("*").over(W.partitionBy("source")).alias("n"))
-    at = lambda p: F.bround((F.col("n") - 1) * F.lit(p)).cast("int") + 1
-    return rows.groupBy("source").agg(F.max(F.when(F.col("i") == at(0.5), F.col("n_chars"))).alias("median"), F.max(F.when(F.col("i") == at(0.9), F.col("n_chars"))).alias("p90"))
+    return nearest_ranks(_t(spark, d, "documents"), "source", "n_chars", {"median": 0.5, "p90": 0.9})
 
 
 def tpch_01_pricing(spark, d):
