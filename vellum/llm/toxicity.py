@@ -42,13 +42,15 @@ LEAST = 8
 #: How many times rarer toxic documents are in the corpus than among the labelled ones.
 ALARM = 5
 ROUNDS = 2
+#: Held-out score beyond which an ordinary window counts as wrongly labelled.
+CLEAN = 4
 LEVEL = 3
 #: Ordinary dictionaries, each of a share of the ordinary windows.
 SHARDS = 3
 #: Bytes of a dictionary, and of the segments it is put together from.
 SIZE, SEGMENT = 262_144, 64
 _TRAINED = b"\x37\xa4\x30\xec"
-WINDOW, STRIDE = 40, 24
+WINDOW, STRIDE = 30, 15
 QUANTILE = 0.998
 
 #: Toxic text to start from, general abuse, hate and sexual talk, where labels are few.
@@ -145,7 +147,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     for _ in range(ROUNDS):
         usual = max(2.0, float(np.quantile([s for i in ordinary for s in scores[i]] or [0], QUANTILE)))
         toxic = {i: [w for w, s in zip(cut[i], scores[i]) if s > usual] for i in toxic}
-        ordinary = {i: [w for w, s in zip(cut[i], scores[i]) if s <= max(usual, 6)] for i in ordinary}
+        ordinary = {i: [w for w, s in zip(cut[i], scores[i]) if s <= CLEAN] for i in ordinary}
         scores = held_out()
     top = np.array([max(s, default=-99) for s in scores])
     truth = np.array(label, bool)
