@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.text import normalize, strip
+from vellum.functions.text import bound, normalize, strip
 
 
 def sides(results: DataFrame, key: str = "result_id", gold: str = "ground_truth", pred: str = "prediction") -> DataFrame:
@@ -45,6 +45,47 @@ def strict_triplets(args: DataFrame) -> DataFrame:
     return rows.where("argument <> ''").select("doc_id", "side", "event_type", "role", "argument").distinct()
 
 
+def strict_keys(events_column: Column) -> Column:
+    """Distinct (event_type, role, argument) of an event list, as ``strict_triplets`` but inside the row."""
+    some = lambda c: F.coalesce(c != "", F.lit(False))
+    real = F.filter(F.coalesce(events_column, F.array()), lambda e: e.isNotNull() & some(e["event_type"]) & e["arguments"].isNotNull())
+
+    def args(e: Column) -> Column:
+        full = F.filter(e["arguments"], lambda a: a.isNotNull() & some(a["role"]) & some(a["argument"]))
+        return F.transform(full, lambda a: F.struct(e["event_type"].alias("event_type"), a["role"].alias("role"), normalize(a["argument"]).alias("argument")))
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(real, args)), lambda k: k["argument"] != ""))
+
+
+def type_keys(events_column: Column) -> Column:
+    """Distinct non-empty (event_type) of an event list, unstripped."""
+    real = F.filter(F.coalesce(events_column, F.array()), lambda e: e.isNotNull() & F.coalesce(e["event_type"] != "", F.lit(False)))
+    return F.array_distinct(F.transform(real, lambda e: F.struct(e["event_type"].alias("event_type"))))
+
+
+def text_key_list(events_column: Column) -> Column:
+    """Distinct (metric, key) of an event list, as ``text_keys`` but inside the row."""
+    sep, empty = "\x1f", F.array().cast("array<struct<metric:string,key:string>>")
+    pair = lambda m, *parts: F.struct(F.lit(m).alias("metric"), F.concat_ws(sep, *parts).alias("key"))
+
+    def keys(e: Column) -> Column:
+        t, w = strip(F.coalesce(e["event_type"], F.lit(""))), normalize(F.coalesce(e["trigger"], F.lit("")))
+        full = F.transform(F.filter(F.coalesce(e["arguments"], F.array()), lambda a: a.isNotNull()), lambda a: F.struct(strip(F.coalesce(a["role"], F.lit(""))).alias("r"), normalize(F.coalesce(a["argument"], F.lit(""))).alias("v")))
+
+        def of(x: Column) -> Column:
+            def each(a: Column) -> Column:
+                loose = F.array(pair("argument_text_id", x["t"], a["v"]), pair("argument_text_cls", x["t"], a["r"], a["v"]))
+                tied = F.array(pair("argument_attached_text_id", x["t"], x["w"], a["v"]), pair("argument_attached_text_cls", x["t"], x["w"], a["r"], a["v"]))
+                return F.when(x["w"] != "", F.concat(loose, tied)).otherwise(loose)
+
+            triggers = F.when(x["w"] != "", F.array(pair("trigger_text_id", x["w"]), pair("trigger_text_cls", x["t"], x["w"]))).otherwise(empty)
+            return F.when(x["t"] != "", F.concat(triggers, F.flatten(F.transform(F.filter(x["a"], lambda a: a["v"] != ""), each)))).otherwise(empty)
+
+        return bound(F.struct(t.alias("t"), w.alias("w"), full.alias("a")), of)
+
+    return F.array_distinct(F.flatten(F.transform(F.filter(F.coalesce(events_column, F.array()), lambda e: e.isNotNull()), keys)))
+
+
 def relaxed_pairs(args: DataFrame) -> DataFrame:
     """Bag of triplets in order; only the ends of the argument are stripped, a null one is the text None."""
     rows = args.where(filled("event_type", "role")).withColumn("argument", strip(F.coalesce("argument", F.lit("None"))))

@@ -6,7 +6,7 @@ scores. Groups are those of one document and are never larger than its events.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,22 @@ def set_match(rows: DataFrame, keys: list[str]) -> DataFrame:
     return held.select("doc_id", *keys, flag(F.col("g") & F.col("p")).alias("tp"), flag(~F.col("g")).alias("fp"), flag(~F.col("p")).alias("fn"))
 
 
+def row_match(results: DataFrame, keys: Callable[[Column], Column], key: str = "result_id", gold: str = "ground_truth", pred: str = "prediction") -> DataFrame:
+    """``set_match`` of two lists that stand in one row: array set operations, no exchange at all.
+
+    ``keys`` turns an event list into an array of distinct structs, whose fields
+    become columns. Documents must have one row each.
+    """
+    rows = results.select(F.col(key).alias("doc_id"), keys(F.col(gold)).alias("g"), keys(F.col(pred)).alias("p"))
+    names = [f.name for f in rows.schema["g"].dataType.elementType.fields]
+
+    def marked(array: Column, tp: int, fp: int, fn: int) -> Column:
+        return F.transform(array, lambda k: F.struct(*[k[n].alias(n) for n in names], F.lit(tp).alias("tp"), F.lit(fp).alias("fp"), F.lit(fn).alias("fn")))
+
+    every = F.concat(marked(F.array_intersect("g", "p"), 1, 0, 0), marked(F.array_except("p", "g"), 0, 1, 0), marked(F.array_except("g", "p"), 0, 0, 1))
+    return rows.select("doc_id", F.inline(every))
+
+
 def counted(matched: DataFrame, *by: str) -> DataFrame:
     """Sums of tp, fp and fn."""
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn")]

@@ -34,7 +34,7 @@ def _types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _strict(spark: SparkSession, d: str) -> DataFrame:
-    return M.set_match(A.strict_triplets(_args(spark, d)), ["event_type", "role", "argument"])
+    return M.row_match(_results(spark, d), A.strict_keys)
 
 
 def prj_01_strict_triplets(spark, d):
@@ -98,11 +98,11 @@ def agg_05_strict_prf(spark, d):
 
 
 def agg_07_type_prf(spark, d):
-    return S.scored(M.counted(M.set_match(_types(spark, d), ["event_type"])))
+    return S.scored(M.counted(M.row_match(_results(spark, d), A.type_keys)))
 
 
 def agg_12_text_prf(spark, d):
-    return S.scored(M.counted(M.set_match(A.text_keys(_results(spark, d)), ["metric", "key"]), "metric"))
+    return S.scored(M.counted(M.row_match(_results(spark, d), A.text_key_list), "metric"))
 
 
 def agg_12_text_grounding(spark, d):
@@ -168,7 +168,7 @@ def agg_16_error_top10(spark, d):
 
 
 def agg_18_sample_counts(spark, d):
-    t = M.set_match(_types(spark, d), ["event_type"])
+    t = M.row_match(_results(spark, d), A.type_keys)
     return S.sample_counts(_results(spark, d), _strict(spark, d), A.relaxed_pairs(_args(spark, d)), t)
 
 
