@@ -132,6 +132,26 @@ def all_records(results: DataFrame, **columns: str) -> DataFrame:
     return joined.withColumn("slots", F.coalesce("slots", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
 
 
+def slotted(events_column: Column) -> Column:
+    """(event_type, slots) of every typed event of a list, as ``all_records`` but inside the row; slots are sorted (role, value) pairs."""
+    typed = F.transform(F.filter(F.coalesce(events_column, F.array()), lambda e: e.isNotNull()), lambda e: F.struct(strip(F.coalesce(e["event_type"], F.lit(""))).alias("t"), e["arguments"].alias("a")))
+
+    def one(e: Column) -> Column:
+        args = F.transform(F.filter(F.coalesce(e["a"], F.array()), lambda a: a.isNotNull()), lambda a: F.struct(strip(F.coalesce(a["role"], F.lit(""))).alias("role"), normalize(F.coalesce(a["argument"], F.lit(""))).alias("value")))
+        pairs = F.array_sort(F.array_distinct(F.filter(args, lambda a: (a["role"] != "") & (a["value"] != ""))))
+        joined = lambda p, r: F.array_join(F.transform(F.filter(p, lambda x: x["role"] == r), lambda x: x["value"]), "\x1e")
+        slots = bound(pairs, lambda p: F.transform(F.array_distinct(F.transform(p, lambda x: x["role"])), lambda r: F.struct(r.alias("role"), joined(p, r).alias("value"))))
+        return F.struct(e["t"].alias("event_type"), slots.alias("slots"))
+
+    return F.transform(F.filter(typed, lambda e: e["t"] != ""), one)
+
+
+def signatures(slotted_column: Column, with_type: bool) -> Column:
+    """Canonical texts of slotted records, one per record."""
+    body = lambda r: F.array_join(F.transform(r["slots"], lambda x: F.concat_ws("\x1d", x["role"], x["value"])), "\x1f")
+    return F.transform(slotted_column, lambda r: F.concat_ws("\x1c", r["event_type"], body(r)) if with_type else body(r))
+
+
 def signature(slots: Column, event_type: Column | None = None) -> Column:
     """Canonical text of a record's slots in the order of the role names, with or without its type."""
     body = F.array_join(F.transform(F.array_sort(F.map_entries(slots)), lambda e: F.concat_ws("\x1d", e["key"], e["value"])), "\x1f")

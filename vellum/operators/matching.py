@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import relaxed_match
-from vellum.operators.arguments import all_records, signature
+from vellum.operators.arguments import signatures, slotted
 
 
 def set_match(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,25 +90,30 @@ def assign(preds: list[dict[str, str]], golds: list[dict[str, str]], roles: list
     return counts
 
 
-def assigned(results: DataFrame, **columns: str) -> DataFrame:
+def assigned(results: DataFrame, key: str = "result_id", gold: str = "ground_truth", pred: str = "prediction") -> DataFrame:
     """(doc_id, event_type, role, tp, fp, fn) of ``assign`` over the records of each document and type.
 
-    Records are gathered once per document and type; batches of such rows go
-    through Python, not groups.
+    Both lists stand in one row, so rows stream through Python in batches and
+    nothing is exchanged. Documents must have one row each.
     """
-    rec = all_records(results, **columns)
-    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("event_idx", F.map_entries("slots").alias("slots")))))
-    rows = rec.groupBy("doc_id", "event_type").agg(side("pred").alias("ps"), side("gold").alias("gs"))
-    rows = rows.select("doc_id", "event_type", F.transform("ps", lambda x: x["slots"]).alias("ps"), F.transform("gs", lambda x: x["slots"]).alias("gs"))
+    rows = results.select(F.col(key).alias("doc_id"), slotted(F.col(pred)).alias("ps"), slotted(F.col(gold)).alias("gs"))
+
+    def by_type(records: list[dict]) -> dict[str, list[dict[str, str]]]:
+        out: dict[str, list[dict[str, str]]] = {}
+        for r in records:
+            out.setdefault(r["event_type"], []).append({s["role"]: s["value"] for s in r["slots"]})
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "event_type", "role", "tp", "fp", "fn"]
         for batch in batches:
             out: list[tuple] = []
-            for doc, kind, ps, gs in zip(*(c.to_pylist() for c in batch.columns)):
-                preds, golds = ([{s["key"]: s["value"] for s in r} for r in side] for side in (ps, gs))
-                roles = sorted({r for rec in preds + golds for r in rec})
-                out += [(doc, kind, r, *n) for r, n in assign(preds, golds, roles).items()]
+            for doc, ps, gs in zip(*(c.to_pylist() for c in batch.columns)):
+                preds, golds = by_type(ps), by_type(gs)
+                for kind in sorted(preds.keys() | golds.keys()):
+                    p, g = preds.get(kind, []), golds.get(kind, [])
+                    roles = sorted({r for rec in p + g for r in rec})
+                    out += [(doc, kind, r, *n) for r, n in assign(p, g, roles).items()]
             columns_out = list(zip(*out)) if out else [()] * 6
             types = [batch.column(0).type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns_out, types)], names=names)
@@ -117,13 +122,13 @@ def assigned(results: DataFrame, **columns: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, event_type string, role string, tp int, fp int, fn int")
 
 
-def multiset_overlap(results: DataFrame, with_type: bool = True, **columns: str) -> DataFrame:
-    """(doc_id, tp, fp, fn) of whole-record signatures, each counted as often as it occurs."""
-    rec = all_records(results, **columns)
-    sig = signature(F.col("slots"), F.col("event_type") if with_type else None)
-    each = rec.select("doc_id", "side", sig.alias("sig")).groupBy("doc_id", "sig").agg(F.count_if(F.col("side") == "pred").alias("p"), F.count_if(F.col("side") == "gold").alias("g"))
-    both = F.least("p", "g")
-    return each.groupBy("doc_id").agg(F.sum(both).alias("tp"), F.sum(F.col("p") - both).alias("fp"), F.sum(F.col("g") - both).alias("fn"))
+def multiset_overlap(results: DataFrame, with_type: bool = True, key: str = "result_id", gold: str = "ground_truth", pred: str = "prediction") -> DataFrame:
+    """(doc_id, tp, fp, fn) of whole-record signatures, each counted as often as it occurs; rows without records are left out."""
+    rows = results.select(F.col(key).alias("doc_id"), signatures(slotted(F.col(pred)), with_type).alias("p"), signatures(slotted(F.col(gold)), with_type).alias("g"))
+    times = lambda c, x: F.size(F.filter(c, lambda y: y == x))
+    both = F.aggregate(F.array_intersect("p", "g"), F.lit(0), lambda s, x: s + F.least(times(F.col("p"), x), times(F.col("g"), x)))
+    counted_rows = rows.where("size(p) + size(g) > 0").select("doc_id", both.cast("bigint").alias("tp"), F.size("p").cast("bigint").alias("np"), F.size("g").cast("bigint").alias("ng"))
+    return counted_rows.select("doc_id", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn"))
 
 
 def dice(a: Column, b: Column) -> Column:

@@ -34,8 +34,11 @@ def role_scores(results: DataFrame, schema: DataFrame) -> DataFrame:
 def role_rollup(roles: DataFrame) -> DataFrame:
     """Micro and macro scores per event type and overall (event type null); macro means are over roles, then over types."""
     by_type = roles.groupBy("event_type").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
-    overall = by_type.agg(F.lit(None).cast("string").alias("event_type"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], *[F.avg(f"macro_{c}").alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
-    return scored(by_type.unionByName(overall))
+    counts, means = ("tp", "fp", "fn"), ("macro_precision", "macro_recall", "macro_f1")
+    total = F.struct(F.lit(None).cast("string").alias("event_type"), *[F.sum(c).alias(c) for c in counts], *[F.avg(c).alias(c) for c in means])
+    # the types of a schema are few: they are packed into one row, so nothing is computed twice
+    packed = by_type.agg(F.collect_list(F.struct("event_type", *counts, *means)).alias("types"), total.alias("total"))
+    return scored(packed.select(F.inline(F.concat("types", F.array("total")))))
 
 
 def type_presence(results: DataFrame, schema: DataFrame) -> DataFrame:
