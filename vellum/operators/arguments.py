@@ -64,9 +64,9 @@ def type_keys(events_column: Column) -> Column:
 
 
 def text_key_list(events_column: Column) -> Column:
-    """Distinct (metric, key) of an event list, as ``text_keys`` but inside the row."""
-    sep, empty = "\x1f", F.array().cast("array<struct<metric:string,key:string>>")
-    pair = lambda m, *parts: F.struct(F.lit(m).alias("metric"), F.concat_ws(sep, *parts).alias("key"))
+    """Distinct metric-and-key texts of an event list, as ``text_keys`` but inside the row; texts compare by hash, structs would not."""
+    sep, empty = "\x1f", F.array().cast("array<string>")
+    pair = lambda m, *parts: F.concat_ws("\x1d", F.lit(m), F.concat_ws(sep, *parts))
 
     def keys(e: Column) -> Column:
         t, w = strip(F.coalesce(e["event_type"], F.lit(""))), normalize(F.coalesce(e["trigger"], F.lit("")))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vellum.functions.text import relaxed_match
 from vellum.operators.arguments import signatures, slotted
@@ -27,13 +28,15 @@ def row_match(results: DataFrame, keys: Callable[[Column], Column], key: str = "
     """``set_match`` of two lists that stand in one row: array set operations, no exchange at all.
 
     ``keys`` turns an event list into an array of distinct structs, whose fields
-    become columns. Documents must have one row each.
+    become columns, or of distinct texts, which become the column ``key``.
+    Documents must have one row each.
     """
     rows = results.select(F.col(key).alias("doc_id"), keys(F.col(gold)).alias("g"), keys(F.col(pred)).alias("p"))
-    names = [f.name for f in rows.schema["g"].dataType.elementType.fields]
+    kind = rows.schema["g"].dataType.elementType
+    fields = (lambda k: [k[f.name].alias(f.name) for f in kind.fields]) if isinstance(kind, StructType) else (lambda k: [k.alias("key")])
 
     def marked(array: Column, tp: int, fp: int, fn: int) -> Column:
-        return F.transform(array, lambda k: F.struct(*[k[n].alias(n) for n in names], F.lit(tp).alias("tp"), F.lit(fp).alias("fp"), F.lit(fn).alias("fn")))
+        return F.transform(array, lambda k: F.struct(*fields(k), F.lit(tp).alias("tp"), F.lit(fp).alias("fp"), F.lit(fn).alias("fn")))
 
     every = F.concat(marked(F.array_intersect("g", "p"), 1, 0, 0), marked(F.array_except("p", "g"), 0, 1, 0), marked(F.array_except("g", "p"), 0, 0, 1))
     return rows.select("doc_id", F.inline(every))

@@ -52,7 +52,12 @@ def filled_args(args: Column) -> Column:
 
 
 def with_forms(rows: DataFrame, text: str) -> DataFrame:
-    """Adds the forms of a text that grounding compares with, once per row."""
+    """Adds the forms of a text that grounding compares with, unless the rows have them.
+
+    Where many rows share a text, call it on the texts before joining them.
+    """
+    if {"_long", "_known"} <= set(rows.columns):
+        return rows
     t = F.coalesce(F.col(text), F.lit(""))
     return rows.withColumn("_long", grounding_form(t)).withColumn("_known", company_forms(t))
 

@@ -38,9 +38,11 @@ def _texts(spark, d):
     return S.text_index(_t(spark, d, "duee_fin_samples"))
 
 
-def _with_text(spark, d):
-    """Results with the text of their sample."""
-    return _t(spark, d, "evaluation_results").join(_texts(spark, d).withColumnRenamed("id", "sample_id"), "sample_id", "left")
+def _with_text(spark, d, forms=False):
+    """Results with the text of their sample, and its grounding forms, which are computed once per sample."""
+    texts = R.with_forms(_texts(spark, d), "text") if forms else _texts(spark, d)
+    joined = _t(spark, d, "evaluation_results").join(texts.withColumnRenamed("id", "sample_id"), "sample_id", "left")
+    return joined.withColumns({"_long": F.coalesce("_long", F.lit("")), "_known": F.coalesce("_known", F.array().cast("array<string>"))}) if forms else joined
 
 
 def src_01_samples(spark, d):
@@ -114,7 +116,7 @@ def jsn_11_paths(spark, d):
 
 
 def rep_01_postprocess(spark, d):
-    p = R.postprocess(_with_text(spark, d), _t(spark, d, "schema_roles"), _t(spark, d, "role_alias"))
+    p = R.postprocess(_with_text(spark, d, True), _t(spark, d, "schema_roles"), _t(spark, d, "role_alias"))
     n = lambda s: F.size(F.filter("statuses", lambda x: x == s)).cast("bigint")
     return p.select("result_id", F.size("repaired").cast("bigint").alias("n_events"), n("exact").alias("n_exact"), n("normalized_exact").alias("n_normalized"), n("shortname_or_code_local").alias("n_local"), n("ungrounded").alias("n_ungrounded"))
 
@@ -131,7 +133,7 @@ def rep_02_cat_lite(spark, d):
 
 
 def rep_03_corrected(spark, d):
-    c = R.correct_records(_with_text(spark, d), _t(spark, d, "schema_roles"), _t(spark, d, "role_alias"), PRIMARY, PATTERNS)
+    c = R.correct_records(_with_text(spark, d, True), _t(spark, d, "schema_roles"), _t(spark, d, "role_alias"), PRIMARY, PATTERNS)
     return c.select("result_id", F.size("corrected").cast("bigint").alias("n_records"), F.col("n_split").cast("bigint").alias("n_split"))
 
 
@@ -147,7 +149,7 @@ def rep_05_record_split(spark, d):
 
 
 def rep_06_pipeline(spark, d):
-    c = R.correct_records(_with_text(spark, d), _t(spark, d, "schema_roles"), _t(spark, d, "role_alias"), PRIMARY)
+    c = R.correct_records(_with_text(spark, d, True), _t(spark, d, "schema_roles"), _t(spark, d, "role_alias"), PRIMARY)
     k = R.cat_lite(c.select("result_id", "text", F.col("corrected").alias("prediction")), _t(spark, d, "schema_roles"))
     return k.select("result_id", F.size("kept").cast("bigint").alias("n_events"), "dropped_events", "dropped_args")
 
@@ -186,8 +188,8 @@ def txt_08_thoughts(spark, d):
 
 def txt_11_ground_status(spark, d):
     a = SQ._args(spark, d).where("side = 'pred'").where(A.filled("argument"))
-    texts = _with_text(spark, d).select(F.col("result_id").alias("doc_id"), "text")
-    return a.join(texts, "doc_id").select("doc_id", "event_idx", "arg_idx", T.ground_status(F.col("argument"), F.col("text"), "exact+fuzzy").alias("status"))
+    texts = _with_text(spark, d, True).select(F.col("result_id").alias("doc_id"), "text", "_long")
+    return a.join(texts, "doc_id").select("doc_id", "event_idx", "arg_idx", T.ground_status(F.col("argument"), F.col("text"), "exact+fuzzy", long=F.col("_long")).alias("status"))
 
 
 def txt_12_companies(spark, d):

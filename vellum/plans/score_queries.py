@@ -102,7 +102,8 @@ def agg_07_type_prf(spark, d):
 
 
 def agg_12_text_prf(spark, d):
-    return S.scored(M.counted(M.row_match(_results(spark, d), A.text_key_list), "metric"))
+    keys = M.row_match(_results(spark, d), A.text_key_list)
+    return S.scored(M.counted(keys.withColumn("metric", F.substring_index("key", "\x1d", 1)), "metric"))
 
 
 def agg_12_text_grounding(spark, d):
