@@ -88,7 +88,8 @@ def fill_containers(df: DataFrame, key: str = "doc_id", size: str = "n_tokens",
     slots = df.sparkSession.sparkContext.broadcast(_slots(patterns(histogram, capacity)))
     before = cells.select("size", "salt", (F.sum("n").over(W.partitionBy("size").orderBy("salt")) - F.col("n")).alias("before"))
     within = some.withColumn("nth", F.row_number().over(W.partitionBy("size", "salt").orderBy("id", "part")))
-    ranked = within.join(before, ["size", "salt"]).select("id", "part", "size", (F.col("before") + F.col("nth") - 1).alias("rank"))
+    ranked = within.join(before.hint("merge"), ["size", "salt"])  # both sides lie by (size, salt) already
+    ranked = ranked.select("id", "part", "size", (F.col("before") + F.col("nth") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = slots.value
