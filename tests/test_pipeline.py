@@ -87,6 +87,19 @@ def test_retrieval_prefers_the_focused_example(spark):
     assert retrieval.covering(top, 1).first().ids == [1]
 
 
+def test_retrieval_without_a_shared_type_ranks_the_whole_pool(spark):
+    pool = retrieval.example_pool(spark.createDataFrame([(1, "天气很好", [event("质押")]), (2, "丁公司发布消息今天", [event("质押"), event("中标")]), (3, "乙公司", [event("中标")]), (4, "戊公司", [event("回购")])], f"row_id bigint, text string, events array<{EVENT}>"))
+    q = spark.createDataFrame([(9, "丁公司发布消息", []), (8, "丁公司发布消息", ["没有"]), (4, "戊公司", ["回购"]), (7, "丁公司发布消息", ["中标"])], "qid bigint, text string, types array<string>")
+    scored = retrieval.scores(q, pool)
+    got = {}
+    for r in scored.collect():
+        got.setdefault(r.qid, set()).add(r.id)
+    assert got == {9: {1, 2, 3, 4}, 8: {1, 2, 3, 4}, 4: {1, 2, 3}, 7: {2, 3}}
+    first = {r.qid: r.id for r in retrieval.top_examples(scored).where("place = 1").collect()}
+    assert first[9] == 2  # by score alone; a target that no example has still prefers fewer other types
+    assert first[8] != 2
+
+
 def test_contracts(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 1, "x"), ("b", 2, "x")], "g string, s int, m string")
     assert [r.g for r in contracts.disagreeing(df, ["g"], ["s", "m"]).collect()] == ["a"]

@@ -1,7 +1,8 @@
 """Example pools and scored retrieval of examples for a text.
 
-Candidates meet through event types, so texts are never compared across types;
-n-grams are computed once per text, not once per pair.
+Candidates meet through event types; a query without a type that another example
+has is scored against the whole pool. N-grams are computed once per text, not
+once per pair.
 """
 
 from __future__ import annotations
@@ -42,10 +43,11 @@ def named_types(text: Column, types: list[str], cues: dict[str, list[str]] | Non
 
 
 def scores(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """(qid, id, score, similarity, …) of each query (qid, text, types) and each example that shares a type with it."""
+    """(qid, id, score, similarity, …) of each query (qid, text, types) and each other example that shares a type with it, or all others if none does."""
     q = queries.select("qid", F.col("text").alias("q"), "types", hashed_grams(F.col("text")).alias("qgrams"), keywords(F.col("text")).alias("qwords"))
-    links = q.select("qid", F.explode("types").alias("t")).join(pool.select("id", F.explode("event_types").alias("t")), "t").select("qid", "id").distinct()
-    both = links.join(q, "qid").join(pool, "id")
+    links = q.select("qid", F.explode("types").alias("t")).join(pool.select("id", F.explode("event_types").alias("t")), "t").where("id <> qid").select("qid", "id").distinct()
+    alone = q.join(links.select("qid").distinct(), "qid", "left_anti")
+    both = links.join(q, "qid").join(pool, "id").unionByName(pool.crossJoin(alone).where("id <> qid"))
     hits = lambda c: F.size(F.filter(c, lambda x: F.col("q").contains(x)))
     both = both.select(
         "qid", "id", "event_types", "types", hits("event_types").alias("type_hits"), hits("triggers").alias("trigger_hits"), hits("keywords").alias("keyword_hits"),
@@ -53,7 +55,8 @@ def scores(queries: DataFrame, pool: DataFrame) -> DataFrame:
     )
     score = 14.0 * F.col("type_hits") + 7.0 * F.col("trigger_hits") + 3.0 * F.col("keyword_hits") + 1.5 * F.col("role_hits") + 6.0 * F.col("similarity") - 0.002 * F.col("length")
     shared = F.size(F.array_intersect("event_types", "types"))
-    return both.select("*", F.round(score, 9).alias("score"), shared.alias("overlap"), (F.size("event_types") - shared).alias("extra"))
+    extra = F.when(F.size("types") == 0, 0).otherwise(F.size("event_types") - shared)
+    return both.select("*", F.round(score, 9).alias("score"), shared.alias("overlap"), extra.alias("extra"))
 
 
 def top_examples(scored: DataFrame, k: int = 8) -> DataFrame:
