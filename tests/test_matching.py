@@ -8,6 +8,7 @@ from conftest import event, results
 from pyspark.sql import functions as F
 
 from vellum.functions.text import relaxed_match
+from vellum.plans import score_queries
 from vellum.operators import arguments as A
 from vellum.operators import matching as M
 from vellum.operators import metrics as S
@@ -106,6 +107,18 @@ def test_multiset(spark):
     assert (x["tp"], x["fp"], x["fn"]) == (2, 1, 1)
 
 
+def test_all_arguments_of_a_type_and_role_are_compared(spark, monkeypatch):
+    rows = [
+        (1, "pred", 0, 0, "t", "a", "ab"), (1, "pred", 0, 1, "t", "b", "甲乙"), (1, "pred", 1, 0, "u", "a", "xyz"), (1, "pred", 1, 1, "u", "a", "q"),
+        (1, "gold", 0, 0, "t", "a", ""), (1, "gold", 2, 3, "t", "b", "甲丙"), (1, "gold", 1, 0, "u", "a", "xy"), (2, "gold", 0, 0, "t", "a", "ab"),
+    ]
+    args = spark.createDataFrame(rows, "doc_id bigint, side string, event_idx int, arg_idx int, event_type string, role string, argument string")
+    monkeypatch.setattr(score_queries, "_args", lambda spark, d: args)
+    got = {(r.doc_id, r.pred, r.gold): r.overlap for r in score_queries.txt_04_span_overlap(spark, "").collect()}
+    assert got == {(1, "甲乙", "甲丙"): 1 / 3, (1, "xyz", "xy"): 2 / 3, (1, "q", "xy"): 0.0}
+    assert {(r.pred, r.gold): r.matches for r in score_queries.txt_05_relaxed_arguments(spark, "").collect()} == {("甲乙", "甲丙"): False, ("xyz", "xy"): True, ("q", "xy"): False}
+
+
 def test_relaxed_match_edges(spark):
     rows = [("", "a", False), ("甲公司", "甲公司（集团）", True), ("ab", "bc", False), ("abc", "bcd", True), (" A B", "ab", True)]
     df = spark.createDataFrame(rows, "p string, g string, want boolean")

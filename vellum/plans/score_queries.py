@@ -239,10 +239,20 @@ def txt_05_relaxed_pairs(spark, d):
     return p.join(g, "doc_id").select("doc_id", relaxed_match(F.col("pred"), F.col("gold")).alias("matches"))
 
 
+def _argument_pairs(args: DataFrame, form=lambda c: c) -> DataFrame:
+    """(doc_id, event_type, role, pred, gold): every two distinct arguments of a document that share event type and role."""
+    a = args.where(A.filled("event_type", "role", "argument")).withColumn("argument", form(F.col("argument")))
+    p, g = (a.where(f"side = '{s}'").select("doc_id", "event_type", "role", F.col("argument").alias(s)).distinct() for s in ("pred", "gold"))
+    return p.join(g, ["doc_id", "event_type", "role"])
+
+
 def txt_04_span_overlap(spark, d):
-    a = _args(spark, d).where("arg_idx = 0 and event_idx = 0").where(A.filled("argument"))
-    p, g = (a.where(f"side = '{s}'").select("doc_id", normalize(F.col("argument")).alias(s)) for s in ("pred", "gold"))
-    return p.join(g, "doc_id").select("doc_id", span_overlap(F.col("pred"), F.col("gold")).alias("overlap"))
+    return _argument_pairs(_args(spark, d), normalize).withColumn("overlap", span_overlap(F.col("pred"), F.col("gold")))
+
+
+def txt_05_relaxed_arguments(spark, d):
+    """As txt_05_relaxed_pairs, over all arguments instead of the first of each side."""
+    return _argument_pairs(_args(spark, d)).withColumn("matches", relaxed_match(F.col("pred"), F.col("gold")))
 
 
 def srt_02_most_common(spark, d):
