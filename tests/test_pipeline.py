@@ -9,6 +9,7 @@ from conftest import EVENT, event
 from pyspark.sql import functions as F
 
 from vellum.operators import contracts, graph, retrieval, splits, stats, trainset
+from vellum.plans import prepare_queries
 from vellum.sources import records
 from vellum.streaming.competence import Pace, advance, competence, competence_stream, windowed_counts
 
@@ -100,6 +101,14 @@ def test_retrieval_without_a_shared_type_ranks_the_whole_pool(spark):
     assert first[8] != 2
 
 
+def test_leakage_takes_the_words_of_whole_texts(spark, monkeypatch):
+    rows = [(1, "甲 乙_1", "，".join(["词"] * 70) + " 乙_1"), (2, None, None), (3, "甲", None), (4, "a b", "b。a")]
+    df = spark.createDataFrame(rows, "row_id bigint, title string, text string")
+    monkeypatch.setattr(prepare_queries, "_t", lambda spark, d, name: df)
+    got = {r.row_id: r.apart for r in prepare_queries.set_03_leakage_tokens(spark, "").collect()}
+    assert got == {1: 2 / 3, 2: 0.0, 3: 1.0, 4: 0.0}
+
+
 def test_contracts(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 1, "x"), ("b", 2, "x")], "g string, s int, m string")
     assert [r.g for r in contracts.disagreeing(df, ["g"], ["s", "m"]).collect()] == ["a"]

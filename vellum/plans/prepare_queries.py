@@ -478,6 +478,13 @@ def set_03_leakage(spark, d):
     return rows.select("row_id", X.safe_div(F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a")), F.size(F.array_union("a", "b"))).alias("apart"))
 
 
+def set_03_leakage_tokens(spark, d):
+    """The reference's score: words of the whole title and the whole text, of every row."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[\x{4e00}-\x{9fa5}A-Za-z0-9_]+"), F.lit(0)))
+    rows = _t(spark, d, "duee_fin_samples").select("row_id", words(F.col("title")).alias("a"), words(F.col("text")).alias("b"))
+    return rows.select("row_id", X.safe_div(F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a")), F.size(F.array_union("a", "b"))).alias("apart"))
+
+
 def set_08_union(spark, d):
     s = _t(spark, d, "duee_fin_samples")
     return s.where("split = 'train'").select("row_id", F.lit("gold").alias("origin")).unionByName(s.where("split = 'sample'").select("row_id", F.lit("silver").alias("origin")))
