@@ -1,12 +1,15 @@
 """Character runs of many texts at once, on Arrow buffers and numpy.
 
-Texts are compared in plain form without white space. A text's set is that of
-its runs of five characters, each run held as a 64-bit hash; a text of one to
-four characters counts as one run.
+Texts are compared in plain form without white space, and with one width of
+punctuation: a full-width comma and a plain one look alike, though both are
+plain form in Chinese text. A text's set is that of its runs of five
+characters, each run held as a 64-bit hash; a text of one to four characters
+counts as one run.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from vellum.llm.plainform import transducer
+from vellum.llm.plainform import KEPT, transducer
 
 RUN = 5
 PAD = "￿"
@@ -33,9 +36,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def squeezed(texts: pa.Array) -> pa.Array:
-    """Plain form without white space."""
+    """Plain form without white space, punctuation in its narrow width."""
     plain, _ = transducer().array(texts)
-    return pc.replace_substring_regex(plain, r"[\s\x{85}\x{2028}\x{2029}]+", "")
+    plain = pc.replace_substring_regex(plain, r"[\s\x{85}\x{2028}\x{2029}]+", "")
+    for mark in KEPT:
+        plain = pc.replace_substring(plain, mark, unicodedata.normalize("NFKC", mark))
+    return plain
+
+
+def parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, end) of parts of about ``CHARS`` characters."""
+    if not len(texts):
+        return
+    part = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)) // CHARS
+    starts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(texts)]
+    yield from zip(starts[:-1].tolist(), starts[1:].tolist())
 
 
 def slices(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -43,11 +58,7 @@ def slices(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array
     texts = squeezed(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
     keep = pc.fill_null(pc.not_equal(texts, ""), False)
     keys, texts = keys.filter(keep), texts.filter(keep)
-    if not len(texts):
-        return
-    part = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)) // CHARS
-    starts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(texts)]
-    for a, b in zip(starts[:-1], starts[1:]):
+    for a, b in parts(texts):
         yield keys.slice(a, b - a), pa.concat_arrays([texts.slice(a, b - a)])
 
 

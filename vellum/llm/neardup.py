@@ -14,12 +14,19 @@ space) share at least ``threshold`` of their union. Steps:
    block twice, so that one is enough there. The block counts leave a dozen
    equal usable blocks on average between sets exactly at 0.7, whatever their
    size: a pair at the threshold escapes with a probability of about 1e-4, and
-   one at 0.8 with less than 1e-9.
-4. Blocks shared by up to ``GROUP`` classes give their pairs. Larger groups are
+   one at 0.8 with less than 1e-9. For this, sets of 256 runs or more are
+   sketched on the runs of a hash range, some 240 to 480 of them. With
+   ``exact`` all runs are sketched, in more blocks than two near sets can
+   differ in: then no pair escapes, for about three times the rows.
+4. Blocks shared by up to ``GROUP`` classes give their pairs. A block that is
+   hot within a task is salted there, before the exchange. Larger groups are
    compared in square tiles of bit sketches, of which only pairs within the
    Hamming bound are passed on: no group is held in one task and none is capped.
+   The number of comparisons stays quadratic in such a group, at some
+   nanoseconds each, as every pair of it may be a link.
 5. Every candidate is verified on the whole texts; linked classes are joined
-   into groups by alternating stars.
+   into groups by alternating stars. Texts are brought to the compared form
+   once and staged.
 
 Results: null, empty and blank texts belong to no group; equal texts do, however
 short; rows repeated under one key stay one row of the result; null keys are
@@ -30,6 +37,7 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +45,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.components import components
-from vellum.llm.grams import digests, jaccard, mix, run_sets, slices
+from vellum.llm.grams import digests, jaccard, mix, parts, run_sets, slices
 from vellum.plans.staging import stage
 
 THRESHOLD = 0.7
 #: Largest group of classes under one key whose pairs are listed at once; larger ones go in tiles.
 GROUP = 128
-TILE = 512
+TILE = 2048
 #: Ids up to this count are broadcast to pick texts; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 SKETCH_BITS = 1024
@@ -54,44 +62,75 @@ def documents(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null and text <> ''")
 
 
-def members(docs: DataFrame) -> DataFrame:
-    """(id, h1, h2, n): digest of each text and number of its characters."""
+def prepared(docs: DataFrame) -> DataFrame:
+    """(id, h1, h2, text): squeezed text and its digest, of every row with a text; staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in slices(batch.column(0), batch.column(1)):
                 h1, h2 = digests(texts)
-                yield pa.record_batch([ids, pa.array(h1), pa.array(h2)], names=["id", "h1", "h2"])
+                yield pa.record_batch([ids, pa.array(h1), pa.array(h2), texts], names=["id", "h1", "h2", "text"])
 
-    return docs.mapInArrow(run, "id bigint, h1 bigint, h2 bigint")
+    return stage(docs.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, text string"), "squeezed")
 
 
 def first_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """Digest and squeezed text of each class, once per partition."""
+    """Digest and text of each class of (h1, text) rows, once per partition."""
     seen: set[int] = set()
     for batch in batches:
-        for _, texts in slices(batch.column(0), batch.column(1)):
-            h1, _ = digests(texts)
+        texts = batch.column(1)
+        for a, b in parts(texts):
+            h1 = batch.column(0).to_numpy(zero_copy_only=False)[a:b]
             new = np.zeros(len(h1), bool)
             for i, h in enumerate(h1.tolist()):
                 if h not in seen:
                     seen.add(h)
                     new[i] = True
             if new.any():
-                yield h1[new], pa.concat_arrays([texts.filter(pa.array(new))])
+                yield h1[new], pa.concat_arrays([texts.slice(a, b - a).filter(pa.array(new))])
 
 
-def _plan(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For bands of sets of ``low`` to twice as many runs: blocks, share of the universe used, least runs in a block."""
+class Salter:
+    """Salts for keys that are hot in this task: 0 for the first ``GROUP`` + 1 rows of a key, others beyond.
+
+    So a key has salted rows only where its unsalted ones are too many to list.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.hot = most, np.zeros(0, np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        salt = np.zeros(len(keys), np.int32)
+        order = np.argsort(keys, kind="stable")
+        sorted_keys = keys[order]
+        at = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[at, len(keys)])
+        known = np.isin(sorted_keys[at], self.hot)
+        for s, g, k in zip(at[(size > self.most) | known], size[(size > self.most) | known], known[(size > self.most) | known]):
+            place = np.arange(g) + (self.most + 1 if k else 0)
+            salt[order[s : s + g]] = np.where(place > self.most, 1 + (mix(order[s : s + g].astype(np.uint64)) % np.uint64(1 << 20)).astype(np.int64), 0)
+        self.hot = np.union1d(self.hot, sorted_keys[at[size > self.most]])
+        return salt
+
+
+def _plan(low: np.ndarray, exact: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For bands of sets of ``low`` to twice as many runs: blocks, share of the universe used, least runs in a block.
+
+    Two sets of such a band that are as near as ``exact`` differ in at most
+    (1 - exact) / (1 + exact) of all their runs, so two more blocks than that
+    leave two of them equal.
+    """
+    if exact is not None:
+        return (4 * low * (1 - exact) / (1 + exact)).astype(np.int64) + 3, np.ones(len(low)), np.zeros(len(low), np.int64)
     blocks = np.select([low >= 256, low >= 128, low >= 64], [96, 64, 48], 32)
     share = np.where(low >= 256, np.minimum(1.0, 240 / np.maximum(low, 1)), 1.0)
     least = np.select([low >= 256, low >= 128], [3, 2], 1)
     return blocks, share, least
 
 
-def _sketch_keys(hashes: np.ndarray, ends: np.ndarray, low: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sketch_keys(hashes: np.ndarray, ends: np.ndarray, low: np.ndarray, picked: np.ndarray, exact: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the usable blocks of the picked sets in the bands that begin at ``low``; and the set of each."""
-    blocks, share, least = _plan(low)
+    blocks, share, least = _plan(low, exact)
     starts = np.r_[0, ends[:-1]]
     of = np.repeat(np.arange(len(ends)), ends - starts)
     scale = blocks / share / 2.0**53
@@ -105,26 +144,28 @@ def _sketch_keys(hashes: np.ndarray, ends: np.ndarray, low: np.ndarray, picked:
     word = np.bitwise_xor.reduceat(mix(h + np.uint64(0xD6E8FEB86659FD93)), at)
     count = np.diff(np.r_[at, len(h)])
     of, block = of[at], block[at]
-    tag = mix((low[of] * 128 + block).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + count.astype(np.uint64))
+    tag = mix(mix(low[of].astype(np.uint64)) + block.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + count.astype(np.uint64))
     use = count >= least[of]
     keys, of = mix(word ^ tag)[use], of[use]
     small = low[of] <= 16
     return np.concatenate([keys, mix(keys[small])]), np.concatenate([of, of[small]])
 
 
-def _block_keys(docs: DataFrame, threshold: float) -> DataFrame:
-    """(k, d): one row per class and usable block."""
+def _block_keys(texts: DataFrame, threshold: float, exact: bool) -> DataFrame:
+    """(k, s, d): one row per class and usable block, with its salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salter = Salter(GROUP)
         for d, texts in first_of_partition(batches):
             hashes, ends = run_sets(texts)
             n = np.diff(np.r_[0, ends])
             low = 1 << np.floor(np.log2(n)).astype(np.int64)
             for band, picked in ((low, np.ones(len(n), bool)), (low // 2, (n * threshold < low) & (low > 1))):
-                keys, of = _sketch_keys(hashes, ends, band, picked)
-                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(d[of])], names=["k", "d"])
+                keys, of = _sketch_keys(hashes, ends, band, picked, threshold if exact else None)
+                keys = keys.view(np.int64)
+                yield pa.record_batch([pa.array(keys), pa.array(salter(keys)), pa.array(d[of])], names=["k", "s", "d"])
 
-    return docs.mapInArrow(run, "k bigint, d bigint")
+    return texts.select("h1", "text").mapInArrow(run, "k bigint, s int, d bigint")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], most: int = 65_536) -> Iterator[tuple[list[np.ndarray], int]]:
@@ -163,35 +204,39 @@ def grouped(batches: Iterator[pa.RecordBatch], most: int = 65_536) -> Iterator[t
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, tile): pairs of classes under one key, tile -1; members (key, class, tile) of groups too large to list."""
+    """(a, b, hot): pairs of classes under one key; members (key, class) of groups too large to list are hot."""
 
-    def emit(a: np.ndarray, b: np.ndarray, tile: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(a), pa.array(b), pa.array(tile.astype(np.int64))], names=["a", "b", "tile"])
+    def emit(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), hot))], names=["a", "b", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (k, d), base in grouped(batches):
+        for (k, s, d), base in grouped(batches):
             new = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
-            k, d = k[new], d[new]
+            k, s, d = k[new], s[new], d[new]
             if base >= 0:
-                yield emit(k, d, (base + np.arange(len(k))) // TILE)
+                yield emit(k, d, True)
                 continue
+            if s.any():
+                yield emit(k[s > 0], d[s > 0], True)
+                k, d = k[s == 0], d[s == 0]
+                if not len(k):
+                    continue
             at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             size = np.diff(np.r_[at, len(k)])
             for g in np.unique(size[(size > 1) & (size <= GROUP)]):
                 table = d[at[size == g][:, None] + np.arange(g)]
                 i, j = np.triu_indices(g, 1)
                 step = max(1, 400_000 // len(i))
-                for s in range(0, len(table), step):
-                    a, b = table[s : s + step, i].ravel(), table[s : s + step, j].ravel()
-                    yield emit(a, b, np.full(len(a), -1))
-            for s, g in zip(at[size > GROUP], size[size > GROUP]):
-                yield emit(k[s : s + g], d[s : s + g], np.arange(g) // TILE)
+                for p in range(0, len(table), step):
+                    yield emit(table[p : p + step, i].ravel(), table[p : p + step, j].ravel(), False)
+            for p, g in zip(at[size > GROUP], size[size > GROUP]):
+                yield emit(k[p : p + g], d[p : p + g], True)
 
-    return rows.repartition("k").sortWithinPartitions("k", "d").mapInArrow(run, "a bigint, b bigint, tile bigint")
+    return rows.repartition("k", "s").sortWithinPartitions("k", "s", "d").mapInArrow(run, "a bigint, b bigint, hot boolean")
 
 
-def _bit_sketches(docs: DataFrame) -> DataFrame:
-    """(d, n, bits): number of runs, and the parity of the runs that fall on each bit."""
+def _bit_sketches(texts: DataFrame) -> DataFrame:
+    """(d, n, bits) of (h1, text) rows: number of runs, and the parity of the runs that fall on each bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, texts in first_of_partition(batches):
@@ -202,96 +247,130 @@ def _bit_sketches(docs: DataFrame) -> DataFrame:
             bits = np.packbits(odd.astype(np.uint8).reshape(len(ends), SKETCH_BITS), axis=1)
             yield pa.record_batch([pa.array(d), pa.array(ends - starts), pa.array([r.tobytes() for r in bits], pa.binary())], names=["d", "n", "bits"])
 
-    return docs.mapInArrow(run, "d bigint, n bigint, bits binary").dropDuplicates(["d"])
+    return texts.select("h1", "text").mapInArrow(run, "d bigint, n bigint, bits binary").dropDuplicates(["d"])
 
 
-def _tiled(hot: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of large groups within the Hamming bound, compared tile by tile."""
+def tiled(hot: DataFrame, sketches: DataFrame, threshold: float, carried: str | None = None) -> DataFrame:
+    """(a, b) of classes of one hot key within the Hamming bound, compared tile by tile.
+
+    ``hot`` has (k, d), ``sketches`` (d, n, bits). With ``carried``, a column of
+    ``hot``, its values come along as (v_a, v_b).
+    """
     share = (1 - threshold) / (1 + threshold)
 
     def compare(group: pa.Table) -> pa.Table:
-        d, n, tile = (group.column(c).to_numpy() for c in ("d", "n", "tile"))
+        d, n, v, tile = (group.column(c).to_numpy() for c in ("d", "n", "v", "tile"))
         bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         left, right = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
-        found: list[np.ndarray] = []
+        found = []
         for i in left:
             others = right[right > i] if lo == hi else right
+            others = others[np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i]) - 1e-9]
             apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1)
-            near = others[(apart <= share * (n[others] + n[i])) & (np.minimum(n[others], n[i]) >= threshold * np.maximum(n[others], n[i]))]
-            found.append(np.stack([np.minimum(d[i], d[near]), np.maximum(d[i], d[near])]) if len(near) else np.zeros((2, 0), np.int64))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
-
-    hot = hot.dropDuplicates(["k", "d"])
-    tiles = hot.groupBy("k").agg((F.max("tile") + 1).alias("tiles"))
-    sketched = hot.join(_bit_sketches(docs), "d").join(tiles, "k")
+            near = others[apart <= share * (n[others] + n[i]) + 1e-9]
+            found.append(np.stack([np.full(len(near), i), near]))
+        i, j = np.concatenate(found, axis=1).astype(np.int64) if found else np.zeros((2, 0), np.int64)
+        i, j = np.where(d[i] < d[j], i, j), np.where(d[i] < d[j], j, i)
+        return pa.table({"a": d[i], "b": d[j], "v_a": v[i], "v_b": v[j]})
+
+    hot = hot.groupBy("k", "d").agg((F.min(carried) if carried else F.lit(0)).cast("int").alias("v"))
+    tiles = hot.groupBy("k").agg(F.ceil(F.count("*") / TILE).cast("bigint").alias("tiles"))
+    sketched = hot.join(sketches, "d").join(tiles, "k").withColumn("tile", F.pmod(F.xxhash64("d", "k"), "tiles"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("o")
-    spread = sketched.select("k", "d", "n", "bits", "tile", other).select("k", "d", "n", "bits", "tile", F.least("tile", "o").alias("lo"), F.greatest("tile", "o").alias("hi"))
-    return spread.groupBy("k", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
+    columns = ["k", "d", "n", "v", "bits", "tile"]
+    spread = sketched.select(*columns, other).select(*columns, F.least("tile", "o").alias("lo"), F.greatest("tile", "o").alias("hi"))
+    return spread.groupBy("k", "lo", "hi").applyInArrow(compare, "a bigint, b bigint, v_a int, v_b int")
 
 
-def sketch_candidates(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): digests of classes that may be near; ``classes`` has (d, rep)."""
-    rows = stage(_pairs(_block_keys(docs, threshold)), "sketch-pairs")
-    pairs = rows.where("tile = -1").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    hot = rows.where("tile >= 0").select(F.col("a").alias("k"), F.col("b").alias("d"), "tile")
+def sketch_candidates(texts: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """(a, b): digests of classes that may be near; ``texts`` as from ``prepared``, ``classes`` has (d, rep)."""
+    rows = stage(_pairs(_block_keys(texts, threshold, exact)), "sketch-pairs")
+    pairs = rows.where("not hot").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    hot = rows.where("hot").select(F.col("a").alias("k"), F.col("b").alias("d"))
     if not hot.isEmpty():
         ids = classes.join(hot.select("d").distinct(), "d", "left_semi").select(F.col("rep").alias("id"))
-        pairs = pairs.unionByName(_tiled(hot, picked(docs, ids), threshold)).distinct()
+        pairs = pairs.unionByName(tiled(hot, _bit_sketches(picked(texts, ids)), threshold).select("a", "b")).distinct()
     return pairs
 
 
-def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with these distinct ids; a list of checked size is broadcast."""
+def picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with these distinct ids; a list of checked size is broadcast."""
     ids = stage(ids, "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, shared, n_u, n_v) of the pairs of ids (u, v) whose texts are near."""
-    pairs = stage(pairs, "pairs")
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+def covered(a: str, b: str, shifts: list[int], least: int) -> tuple[int, int]:
+    """Characters of ``a`` and of ``b`` in common spans of at least ``least`` characters on these diagonals (place in a - place in b)."""
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    in_x, in_y = np.zeros(len(x) + 1, np.int32), np.zeros(len(y) + 1, np.int32)
+    for g in shifts:
+        lo, hi = max(0, g), min(len(x), len(y) + g)
+        if hi <= lo:
+            continue
+        edge = np.flatnonzero(np.diff(np.r_[False, x[lo:hi] == y[lo - g : hi - g], False].astype(np.int8)))
+        start, end = edge[::2] + lo, edge[1::2] + lo
+        use = end - start >= min(least, len(x), len(y))
+        np.add.at(in_x, start[use], 1)
+        np.add.at(in_x, end[use], -1)
+        np.add.at(in_y, start[use] - g, 1)
+        np.add.at(in_y, end[use] - g, -1)
+    return int((np.cumsum(in_x) > 0).sum()), int((np.cumsum(in_y) > 0).sum())
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, texts in slices(batch.column(0), batch.column(1)):
-                yield pa.record_batch([keys, texts], names=["id", "text"])
 
-    texts = stage(picked(docs, ids).mapInArrow(squeeze, "id bigint, text string"), "pair-texts")
+def verified(texts: DataFrame, pairs: DataFrame, threshold: float, least: int) -> DataFrame:
+    """(u, v, shared, n_u, n_v, share_u, share_v) of the pairs of ids (u, v, their digests a, b, shifts) whose texts are near.
+
+    Shares are those of either text's characters in common spans of ``least``
+    characters or more, on the diagonals in ``shifts``.
+    """
+    pairs = stage(pairs, "pairs")
+    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    some = picked(texts.select("id", "h1", "text"), ids)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = max(1, batch.num_rows * 2_000_000 // max(1, batch.nbytes))
             for s in range(0, batch.num_rows, step):
                 part = batch.slice(s, step)
-                shared, n_u, n_v = jaccard(pa.concat_arrays([part.column(2)]), pa.concat_arrays([part.column(3)]))
+                shared, n_u, n_v = jaccard(pa.concat_arrays([part.column(3)]), pa.concat_arrays([part.column(4)]))
                 near = pa.array(shared >= threshold * (n_u + n_v - shared) - 1e-9)
                 columns = [part.column(0), part.column(1), pa.array(shared), pa.array(n_u), pa.array(n_v)]
-                yield pa.record_batch(columns, names=["u", "v", "shared", "n_u", "n_v"]).filter(near)
+                found = pa.record_batch([*columns, *part.columns[2:]], names=["u", "v", "shared", "n_u", "n_v", "shifts", "a", "b"]).filter(near)
+                shares = [(x / len(a), y / len(b)) for a, b, g in zip(*(found.column(c).to_pylist() for c in ("a", "b", "shifts"))) for x, y in [covered(a, b, g or [], least)]]
+                share_u, share_v = (pa.array([r[i] for r in shares], pa.float64()) for i in (0, 1))
+                yield pa.record_batch([*found.columns[:5], share_u, share_v], names=["u", "v", "shared", "n_u", "n_v", "share_u", "share_v"])
 
-    left = texts.select(F.col("id").alias("u"), F.col("text").alias("a"))
-    right = texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return both.mapInArrow(check, "u bigint, v bigint, shared bigint, n_u bigint, n_v bigint")
+    left = some.select(F.col("id").alias("u"), F.col("h1").alias("a"), F.col("text").alias("text_a"))
+    right = some.select(F.col("id").alias("v"), F.col("h1").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(left, ["u", "a"]).join(right, ["v", "b"]).select("u", "v", "shifts", "text_a", "text_b")
+    return both.mapInArrow(check, "u bigint, v bigint, shared bigint, n_u bigint, n_v bigint, share_u double, share_v double").distinct()
 
 
-def linked(docs: DataFrame, candidates: Callable[[DataFrame, DataFrame, float], DataFrame], threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(id, grp, rep) of every row with a text, and the (u, v) links between class representatives."""
-    rows = stage(members(docs), "members")
-    classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+def linked(
+    docs: DataFrame, candidates: Callable[[DataFrame, DataFrame, float], DataFrame], threshold: float = THRESHOLD, least: int = 16
+) -> tuple[DataFrame, DataFrame]:
+    """(id, grp, rep) of every row with a text, and the links (u, v, …) between class representatives (see ``verified``).
+
+    ``candidates`` gives (a, b) and may give ``shifts``, the diagonals on which the two agree.
+    """
+    texts = prepared(docs)
+    classes = texts.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     by_digest = classes.select(F.col("h1").alias("d"), "rep")
-    pairs = candidates(docs, by_digest, threshold)
-    pairs = pairs.join(by_digest.select(F.col("d").alias("a"), F.col("rep").alias("u")), "a").join(by_digest.select(F.col("d").alias("b"), F.col("rep").alias("v")), "b")
-    links = stage(verified(docs, pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), threshold), "links")
+    pairs = candidates(texts, by_digest, threshold)
+    shifts = F.col("shifts") if "shifts" in pairs.columns else F.array().cast("array<int>")
+    turned = F.transform(shifts, lambda g: -g)
+    pairs = pairs.join(by_digest.select(F.col("d").alias("a"), F.col("rep").alias("x")), "a").join(by_digest.select(F.col("d").alias("b"), F.col("rep").alias("y")), "b")
+    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.when(F.col("x") < F.col("y"), shifts).otherwise(turned).alias("shifts"), F.when(F.col("x") < F.col("y"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("x") < F.col("y"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    links = stage(verified(texts, pairs, threshold, least), "links")
     joined = components(links.select("u", "v"))
     reps = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("grp"))
-    return rows.join(reps, ["h1", "h2"]).select("id", "grp", "rep").distinct(), links
+    return texts.select("id", "h1", "h2").join(reps, ["h1", "h2"]).select("id", "grp", "rep").distinct(), links
 
 
-def near_groups(df: DataFrame, key: str = "row_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_groups(df: DataFrame, key: str = "row_id", text: str = "text", threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """(key, group_id, n_links): the group of every row with a text, and the links of its text to others."""
-    rows, links = linked(documents(df, key, text), sketch_candidates, threshold)
+    rows, links = linked(documents(df, key, text), partial(sketch_candidates, exact=exact), threshold)
     ends = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     return rows.join(ends, "rep", "left").select(F.col("id").alias(key), F.col("grp").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -303,7 +382,7 @@ def group_pairs(rows: DataFrame) -> DataFrame:
     return some.select("grp", F.col("id").alias("row_id_a")).join(some.select("grp", F.col("id").alias("row_id_b")), "grp").where("row_id_a < row_id_b").select("row_id_a", "row_id_b", "grp")
 
 
-def near_pairs(df: DataFrame, key: str = "row_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_pairs(df: DataFrame, key: str = "row_id", text: str = "text", threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """(row_id_a, row_id_b) of all rows of one group."""
-    rows, _ = linked(documents(df, key, text), sketch_candidates, threshold)
+    rows, _ = linked(documents(df, key, text), partial(sketch_candidates, exact=exact), threshold)
     return group_pairs(rows).select("row_id_a", "row_id_b")
