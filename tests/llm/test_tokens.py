@@ -24,6 +24,25 @@ def test_tree_equals_whole(text):
         assert tree.encode(text) == WHOLE.encode(text)
 
 
+def test_long_runs_are_joined_by_tokens():
+    rnd = random.Random(3)
+    tree, joined = Encoder(DATA, 300), []
+    within = tree._within
+    tree._within = lambda *a: joined.append(within(*a)) or joined[-1]
+    for alphabet in ("abcdefgh", "aab", "0123456789", "中文字符的一了", "=-_*", "éàü", "ab中"):
+        text = "x. " + "".join(rnd.choice(alphabet) for _ in range(5000)) + " y"
+        assert tree.encode(text) == WHOLE.encode(text)
+    assert sum(x is not None for x in joined) > 50
+
+
+def test_ordinary_texts_pass_the_tree():
+    tree, joins = Encoder(DATA), []
+    join = tree.join
+    tree.join = lambda *a: joins.append(1) or join(*a)
+    text = "公司公告称，the board approved it on 12 May.\n" * 40
+    assert tree.encode(text) == WHOLE.encode(text) and len(joins) >= 7
+
+
 def test_rows(spark):
     texts = ["", None, "hello world", "<|endoftext|>", "�\x00", "中文" * 20_000, " \n "]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(2, "hello world"), (None, "x")], "doc_id bigint, text string").selectExpr("*", "0 as ids", "1 as n_tokens")
