@@ -3,7 +3,7 @@ from __future__ import annotations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vellum.llm.pieces import cut, split_oversized
+from vellum.llm.pieces import cut, pack, split_oversized
 
 
 def sound(text, limit, overlap):
@@ -32,6 +32,26 @@ def test_boundaries():
     sound("é" * 300, 100, 10)
 
 
+def texts(text, limit):
+    at, out = 0, []
+    for end, _ in pack(text, limit):
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def test_siblings_merge_under_their_parent():
+    body = "\n" + "字" * 55 + "。\n"
+    got = texts(f"# A\n## A0{body}## A1{body}## A2{body}# B{body}", 150)
+    assert [g.split("\n")[0] for g in got] == ["# A", "## A2", "# B"]
+    nested = "".join(f"- 项{i}\n" + "".join(f"  - 子项{j}" + "文" * 30 + "\n" for j in range(3)) for i in range(3))
+    assert [g.split("\n")[0] for g in texts(nested, 130)] == ["- 项0", "- 项1", "- 项2"]
+    assert all(g.startswith("- 项") or g.startswith("  - 子项") for g in texts(nested, 80))
+    page = "<div><p>" + "甲" * 40 + "</p><p>" + "乙" * 40 + "</p></div><div>" + "丙" * 40 + "</div>"
+    assert [g[:5] for g in texts(page, 120)] == ["<div>", "<div>"] and [g[:3] for g in texts(page, 60)] == ["<di", "<p>", "<di"]
+    assert len(texts("<div>" * 3000 + "字", 100)) > 100
+
+
 def test_rows(spark):
     rows = [(1, "短"), (2, "字。" * 3000), (2, "字。" * 3000), (3, None), (4, ""), (None, "a" * 4000), (5, "a" * 3500), (6, "a" * 3501)]
     df = spark.createDataFrame(rows, "row_id bigint, text string").selectExpr("*", "1 as piece_no")
