@@ -6,9 +6,10 @@ from vellum.llm.truncation import cut_answer, cut_rates, cut_values
 
 WHOLE = [
     "", "  ", "无", "未发现目标事件", "```json\n[]\n```", '<thought>想</thought>\n[{"a": "b"}]', '[{"a": 1,}]\n以上为全部事件', '{"events": []}\n（输出完毕）', "[{'a': 'b'}]", '[{"a": "x}"}]', '```json\n[{"a": 1\n```',
+ '结果：「没有」（完）', "<div><p>abc</p></div>", 'He said "no".', "AT&T", "R&D", "a < b", '[{"a": "<b>"}]', "<br>完。",
 ]
 CUT = [
-    '[{"a": "b', '[{"a": 1}', "```json\n[]", "<thought>先看原文", "<thought>完</thought>", "分析：文中", "结果如下：\n", '[{"a": "b\\u00', "文�", '<thought>x</thought>\n```js', '[{"a": 1}]\n（输出',
+    '[{"a": "b', '[{"a": 1}', "```json\n[]", "<thought>先看原文", "<thought>完</thought>", "分析：文中", "结果如下：\n", '[{"a": "b\\u00', "文�", '<thought>x</thought>\n```js', '[{"a": 1}]\n（输出', "<div><p>abc", "<b>bold text without end", '"unclosed quote only', "结果：「未闭合", "结果：（未闭合", "first part [truncated]", "先看原文…", "a &am", "%E4%B8%", "x\\", "中ä¸", "</div",
 ]
 
 
@@ -22,6 +23,14 @@ def test_cut(text):
     assert cut_answer(text)
 
 
+def test_missing_terminators_are_judged_by_source(spark):
+    whole = [(i, None, "s", None, f"No event {i} was found.") for i in range(30)]
+    habit = [(100 + i, None, None, None, "nothing found") for i in range(30)]
+    r, s = frames(spark, [*whole, (50, None, "s", None, "The company said it wou"), *habit, (51, None, "t", None, "The company said it wou")], [("a", "x", 1)])
+    assert [x.result_id for x in cut_values(r, s).collect()] == [50]
+    assert cut_answer("The company said it wou", customary=False) and not cut_answer("The company said so.", customary=False)
+
+
 def frames(spark, rows, samples):
     r = spark.createDataFrame(rows, "result_id bigint, sample_id string, source string, text_preview string, raw_response string")
     return r, spark.createDataFrame(samples, "id string, text string, row_id bigint")
