@@ -10,7 +10,7 @@ from vellum.llm.plainform import KEPT, odd_values, plain, plain_column, plain_fo
 
 CASES = {
     "Ｈａｌсyra": "Halcyra", "AЅTERIN": "ASTERIN", "Nuvéa": "Nuvéa", "1​2\xad,3": "12,3", "董事⻓": "董事长", "２０２２年７⽉": "2022年7月", "36.7％": "36.7%", "ﬁlings": "filings",
-    "x　y z": "x y z", "𝟐𝟔𝟎": "260", "ｶﾞ": "ガ", "a‍́": "á", "①㈱": "1(株)", "\uf90a": "金", "‍": "",
+    "x　y z": "x y z", "𝟐𝟔𝟎": "260", "ｶﾞ": "ガ", "a‍́": "á", "①㈱": "1(株)", "hellօ": "hello", "Ꭺpple": "Apple", "bⲟok": "book", "ꓑlan": "Plan", "a‑b": "a-b", "é̱": "é̱", "Аd́": "Ad́", "\uf90a": "金", "‍": "",
 }
 PLAIN = ["", "Lumière（Αλφάνη）", "Волгомет", "，：；！？（）～。、“”…", "a\nb\r\n", "👨‍👩‍👧❤️1️⃣", "é", "𠮷野家", "plain text"]
 
@@ -28,6 +28,33 @@ def test_idempotent_and_without_mapped_characters(s):
     assert not [c for c in p if unicodedata.category(c) == "Zs" and c != " "]
 
 
+def test_letters_of_any_alphabet_inside_a_word_are_odd():
+    import pyarrow as pa
+
+    values = ["wordאx", "hellօ", "Ꭺpple", "bⲟok", "aกb", "xლy", "שלום", "Հայերեն", "ᏣᎳᎩ", "中文word", "カナabc", "한글abc", "αλφα beta"]
+    assert transducer().array(pa.array(values))[1].tolist() == [True] * 6 + [False] * 7
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aeoAёйαкかカハは\u0301\u0327\u0308\u0316\u3099\u309a\u0345", max_size=12))
+def test_composition_equals_the_standard(s):
+    assert transducer()._composed(s) == unicodedata.normalize("NFC", s)
+
+
+def test_conflicts_are_refused(monkeypatch):
+    import pytest
+
+    from vellum.llm import plainform
+
+    monkeypatch.setitem(plainform.RADICALS, "⺁", "ａ")
+    with pytest.raises(ValueError):
+        plainform.Transducer()
+
+
+def test_the_longest_cluster_wins():
+    assert plain("1\ufe0f\u20e3\u0301") == "1\u20e3\u0301" and plain("1\ufe0f\u20e3") == "1\ufe0f\u20e3"
+
+
 def test_array_path_agrees_with_single_path():
     import pyarrow as pa
 

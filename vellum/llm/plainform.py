@@ -2,14 +2,19 @@
 
 A mapping from character clusters to plain text is computed from the Unicode
 tables: widths and compatibility forms, radicals, separate accents, invisible
-characters, spaces, and look-alike letters inside Latin words. It is checked
-for conflicts and compiled into a longest-match transducer that rewrites a
-string in one pass. Strings without a trigger character, nearly all of them,
-are recognised in Arrow's C++ and never reach Python.
+characters, spaces, and look-alike letters inside Latin words. Single
+characters, pairs of a letter and an accent, and look-alikes are finished
+tables, checked against each other for conflicts and compiled into a transducer
+that rewrites a string in one pass: at each place the longest of the clusters
+that begin there (word, emoji sequence, letter with accents, single) is taken.
+Strings without a trigger character, nearly all of them, are recognised in
+Arrow's C++ and never reach Python.
 
 Results: null stays null, an empty string stays empty, line breaks, usual
 Chinese punctuation, emoji sequences and words wholly in another alphabet stay
-as they are. The form is idempotent. Length is not limited.
+as they are. A letter of any other alphabet inside a Latin word makes a value
+odd; it is replaced where a Latin letter looks like it, and stays where none
+does. The form is idempotent. Length is not limited.
 """
 
 from __future__ import annotations
@@ -37,20 +42,25 @@ RADICALS = {
     "⻜": "飞", "⻝": "食", "⻟": "飠", "⻠": "饣", "⻢": "马", "⻣": "骨", "⻤": "鬼", "⻥": "鱼", "⻦": "鸟", "⻧": "卤", "⻨": "麦", "⻩": "黄", "⻪": "黾", "⻬": "齐", "⻮": "齿", "⻯": "竜",
     "⻰": "龙", "⻱": "龜", "⻲": "亀", "⻳": "龟",
 }
-#: Letters of other alphabets that look like a Latin letter.
-LOOKALIKES = dict(
-    zip(
-        "АВЕЅІЈКМНОРСТУХҮԚԜаеѕіјорсухԁһԛԝвкмнтгΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρυχγωτ",
-        "ABESIJKMHOPCTYXYQWaesijopcyxdhqwBKMHTrABEZHIKMNOPTYXoavikpuxywt",
-        strict=True,
-    )
-)
+#: Letters of other alphabets that look like a Latin letter, by script.
+LOOKALIKES = {
+    "Cyrillic": ("АВЕЅІЈКМНОРСТУХҮԚԜаеѕіјорсухԁһԛԝвкмнтгѴѵүԌӀӏ", "ABESIJKMHOPCTYXYQWaesijopcyxdhqwBKMHTrVvyGIl"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρυχγωτσηϳͿ", "ABEZHIKMNOPTYXoavikpuxywtonjJ"),
+    "Armenian": ("օհոսյցզլՕՏՍԼ", "ohnujgqlOSUL"),
+    "Cherokee": ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃᎽᎥᏂᏏ", "ABCDEGHJKLMPRSTVWZYihb"),
+    "Coptic": ("ⲀⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲌⲟⲣⲥ", "ABHIKMNOPCTYXZopc"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Deseret": ("𐐄𐐕𐐛𐐬𐐽", "OCLoc"),
+    "Tifinagh": ("ⴹⵔⵝ", "EOX"),
+    "Hebrew, Arabic, Myanmar, Malayalam, Oriya": ("סהاဝഠଠ", "oolooO"),
+}
 #: Blocks that hold compatibility characters.
 _BLOCKS = [(0xA0, 0x33FF), (0xA640, 0xABFF), (0xF900, 0xFFFF), (0x1D400, 0x1D7FF), (0x1EE00, 0x1EEFF), (0x1F100, 0x1F2FF), (0x1FBF0, 0x1FBFF), (0x2F800, 0x2FA1F)]
 _INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f"
 _MARKS = "\u0300-\u034e\u0350-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f\uff9e\uff9f"
 _EMOJI = "\u203c\u2049\u2122\u2139\u2190-\u21ff\u2300-\u23ff\u24c2\u25aa-\u25fe\u2600-\u27bf\u2900-\u297f\u2b00-\u2bff\u3030\u303d\u3297\u3299\U0001f000-\U0001faff"
-_OTHER = "\u0370-\u0373\u0376\u0377\u037b-\u037d\u037f\u0386\u0388-\u03ff\u0400-\u0481\u048a-\u052f\u1f00-\u1fff"
+#: First words of the names of letters that do not count as another alphabet beside Latin letters.
+_NOT_OTHER = {"LATIN", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO", "IDEOGRAPHIC", "MODIFIER", "FEMININE", "MASCULINE", "YI", "TANGUT", "NUSHU", "KHITAN"}
 _LATIN = "A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff"
 _WIDE = "\uff21-\uff3a\uff41-\uff5a\U0001d400-\U0001d6a3"
 
@@ -80,6 +90,23 @@ def _singles() -> dict[str, str]:
     return table
 
 
+def _others(table: dict[str, str]) -> str:
+    """Letters of all other alphabets, as the inside of a character class."""
+    letters = (chr(c) for c in [*range(0x370, 0x3400), *range(0xA4D0, 0xAC00), *range(0xFB00, 0xFE00), *range(0x10000, 0x17000)])
+    return _ranges([c for c in letters if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo") and c not in table and unicodedata.name(c, "LATIN").split()[0] not in _NOT_OTHER])
+
+
+def _pairs(table: dict[str, str]) -> dict[tuple[str, str], str]:
+    """(letter, mark) and the composed letter they make; letters that ``table`` replaces have none."""
+    out = {}
+    for code in [*range(0xC0, 0x3400), *range(0x11000, 0x12000)]:
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and unicodedata.normalize("NFC", c) == c:
+            out[unicodedata.normalize("NFC", parts[:-1]), parts[-1]] = c
+    return {pair: c for pair, c in out.items() if len(pair[0]) == 1 and pair[0] not in table and c not in table}
+
+
 def _re2(pattern: str) -> str:
     """A pattern of Python in RE2's notation."""
     pattern = re.sub(r"\\U([0-9a-f]{8})", r"\\x{\1}", pattern)
@@ -90,56 +117,102 @@ class Transducer:
     """Longest-match rewriting of clusters; built once per process."""
 
     def __init__(self) -> None:
-        self.table = _singles()
-        for c, plain in self.table.items():  # conflicts: a target must be plain itself, a key must not be kept
-            if c in KEPT or any(x in self.table for x in plain):
-                raise ValueError(f"conflicting mapping of U+{ord(c):04X}")
-        if set(LOOKALIKES) & set(self.table) or not all(x.isascii() for x in LOOKALIKES.values()):
-            raise ValueError("conflicting look-alikes")
-        singles = _ranges(list(self.table))
+        self.table = _singles() | {"\u2011": "-"}
+        self.table |= {c: "\u3099" if c == "\uff9e" else "\u309a" for c in "\uff9e\uff9f"}  # voicing marks as accents
+        self.pairs = _pairs(self.table)
+        alike = {c: latin for letters, plain in LOOKALIKES.values() for c, latin in zip(letters, plain, strict=True)}
+        self._check(alike)
+        self.order = {c: n for code in [*range(0x300, 0x3100), *range(0xFE20, 0xFE30)] if (n := unicodedata.combining(c := chr(code)))}
+        other = _others(self.table)
+        #: Look-alikes with an accent: the accent moves to the Latin letter.
+        self.alike = alike | {c: self.pairs[alike[a], b] for (a, b), c in self.pairs.items() if a in alike and (alike[a], b) in self.pairs}
+        marks = [c for c in self.table if c in "\uff9e\uff9f"]
+        singles = _ranges([c for c in self.table if c not in marks])
         emoji = f"[0-9#*]\ufe0f?\u20e3|[{_EMOJI}][\ufe0f\U0001f3fb-\U0001f3ff]?(?:\u200d[{_EMOJI}][\ufe0f\U0001f3fb-\U0001f3ff]?)*[\U000e0020-\U000e007f]*"
-        cluster = f"(?P<cluster>.?(?:[{_INVISIBLE}]*[{_MARKS}])+)"
-        single = f"(?P<single>[{singles}]|[{_INVISIBLE}]+)"
-        word = f"(?P<word>[{_LATIN}{_OTHER}{_WIDE}](?:[{_INVISIBLE}]*[{_LATIN}{_OTHER}{_WIDE}{_MARKS}])+)"
-        self._emoji = re.compile(f"(?=[^\x00-\xff]|.[\ufe0f\u20e3])(?:{emoji})")
-        body = f"(?P<emoji>(?:[\U0001f1e6-\U0001f1ff]{{2}})|(?:{emoji})(?<=[\ufe0f\u200d\u20e3{_EMOJI}\U0001f3fb-\U0001f3ff\U000e007f]))|{cluster}|{single}"
-        self._without_words = re.compile(body, re.S)
-        self._with_words = re.compile(f"{word}|{body}", re.S)
-        self._has_other = re.compile(f"[{_OTHER}]")
+        emoji = f"(?:[\U0001f1e6-\U0001f1ff]{{2}})|(?:{emoji})(?<=[\ufe0f\u200d\u20e3{_EMOJI}\U0001f3fb-\U0001f3ff\U000e007f])"
+        cluster, single = f".?(?:[{_INVISIBLE}]*[{_MARKS}])+", f"[{singles}]|[{_INVISIBLE}]+"
+        word = f"[{_LATIN}{other}{_WIDE}](?:[{_INVISIBLE}]*[{_LATIN}{other}{_WIDE}{_MARKS}])+"
+        kinds = [(word, self._word), (emoji, str), (cluster, self._cluster), (single, self._single)]
+        self._kinds = [(re.compile(p, re.S).match, rewrite) for p, rewrite in kinds]
+        self._places = re.compile("|".join(f"(?:{p})" for p, _ in kinds[1:]), re.S).search
+        self._places_or_words = re.compile("|".join(f"(?:{p})" for p, _ in kinds), re.S).search
+        self._words = re.compile(word, re.S).finditer
+        self._has_other = re.compile(f"[{other}]")
         self._has_latin = re.compile(f"[{_LATIN}]")
         self._drop = re.compile(f"[{_INVISIBLE}]+")
         self._left = re.compile("[\u0300-\u036f]")  # accents that no letter takes up
         #: For RE2: what may make a string other than plain. Words wholly in another alphabet do not.
         latin, gap = f"[{_LATIN}{_WIDE}]", f"[{_INVISIBLE}{_MARKS}]*"
-        self.trigger = _re2(f"[{singles}{_INVISIBLE}{_MARKS}]|{latin}{gap}[{_OTHER}]|[{_OTHER}]{gap}{latin}")
+        self.trigger = _re2(f"[{singles}{_INVISIBLE}{_MARKS}]|{latin}{gap}[{other}]|[{other}]{gap}{latin}")
+
+    def _check(self, alike: dict[str, str]) -> None:
+        """Every target must be plain, no kept character mapped, no cluster ambiguous."""
+        for c, plain in self.table.items():
+            if c in KEPT or any(x in self.table for x in plain):
+                raise ValueError(f"conflicting mapping of U+{ord(c):04X}")
+        for (letter, mark), c in self.pairs.items():
+            if c in self.table or letter in self.table or mark in self.table:
+                raise ValueError(f"conflicting mapping of U+{ord(letter):04X} U+{ord(mark):04X}")
+        if set(alike) & set(self.table) or not all(x.isascii() for x in alike.values()):
+            raise ValueError("conflicting look-alikes")
 
-    def _map(self, text: str) -> str:
-        return "".join(self.table.get(c, c) for c in text)
+    def _composed(self, text: str) -> str:
+        """``text`` with marks in canonical order and taken up by their letters."""
+        out: list[str] = []
+        base, last = -1, 0
+        marks: list[str] = []
+
+        def close() -> None:
+            nonlocal base, last
+            for m in sorted(marks, key=lambda c: self.order.get(c, 0)):
+                n = self.order.get(m, 0)
+                whole = self.pairs.get((out[base], m)) if base >= 0 and (n > last or len(out) - 1 == base) else None
+                if whole is None:
+                    out.append(m)
+                    last = n
+                else:
+                    out[base] = whole
+            marks.clear()
+
+        for c in text:
+            if c in self.order:
+                marks.append(c)
+            else:
+                close()
+                out.append(c)
+                base, last = len(out) - 1, 0
+        close()
+        return "".join(out)
+
+    def _single(self, text: str) -> str:
+        return self.table.get(text, "")
 
     def _cluster(self, text: str) -> str:
-        return unicodedata.normalize("NFC", self._map(unicodedata.normalize("NFKC", self._drop.sub("", text)) if text[-1] in "\uff9e\uff9f" else self._drop.sub("", text)))
+        return self._composed("".join(self.table.get(c, c) for c in self._drop.sub("", text)))
 
     def _word(self, text: str) -> str:
-        out = unicodedata.normalize("NFC", self._map(self._drop.sub("", text)))
+        out = self._cluster(text)
         if self._has_other.search(out) and self._has_latin.search(out):
-            out = unicodedata.normalize("NFC", "".join(LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFD", out)))
+            out = self._composed("".join(self.alike.get(c, c) for c in out))
         return out
 
-    def _replace(self, m: re.Match) -> str:
-        kind, text = m.lastgroup, m.group()
-        if kind == "emoji":
-            return text
-        if kind == "word":
-            return self._word(text)
-        return self._cluster(text) if kind == "cluster" else self.table.get(text, "")
-
     def plain(self, text: str) -> str:
         """``text`` in plain form."""
-        return (self._with_words if self._has_other.search(text) else self._without_words).sub(self._replace, text)
+        words = self._has_other.search(text) is not None
+        find, kinds = (self._places_or_words, self._kinds) if words else (self._places, self._kinds[1:])
+        out, at = [], 0
+        while (m := find(text, at)) is not None:
+            start, end, rewrite = m.start(), -1, str
+            for match, use in kinds:
+                if (found := match(text, start)) and found.end() > end:
+                    end, rewrite = found.end(), use
+            out += (text[at:start], rewrite(text[start:end]))
+            at = end
+        return "".join(out) + text[at:] if out else text
 
     def mixed(self, text: str) -> bool:
         """Whether a Latin word keeps a letter of another alphabet after mapping (no look-alike known)."""
-        return any(m.lastgroup == "word" and self._has_other.search(m.group()) and self._has_latin.search(m.group()) for m in self._with_words.finditer(text))
+        return any(self._has_other.search(m.group()) and self._has_latin.search(m.group()) for m in self._words(text))
 
     def array(self, values: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Plain form of a string array, and for each value whether it was not plain."""
