@@ -42,8 +42,8 @@ LEAST = 8
 #: How many times rarer toxic documents are in the corpus than among the labelled ones.
 ALARM = 5
 ROUNDS = 2
-#: Held-out score beyond which an ordinary window counts as wrongly labelled.
-CLEAN = 4
+#: Held-out score beyond which an ordinary window counts as wrongly labelled: that of a toxic one.
+CLEAN = LEAST
 LEVEL = 3
 #: Ordinary dictionaries, each of a share of the ordinary windows.
 SHARDS = 3
@@ -53,17 +53,6 @@ _TRAINED = b"\x37\xa4\x30\xec"
 WINDOW, STRIDE = 30, 15
 QUANTILE = 0.998
 
-#: Toxic text to start from, general abuse, hate and sexual talk, where labels are few.
-SEEDS = (
-    "傻逼", "傻屌", "你个傻逼", "煞笔", "脑残", "智障", "弱智", "白痴", "蠢货", "蠢得像猪", "蠢驴", "废物", "一群废物", "人渣", "垃圾人渣", "败类", "畜生", "禽兽", "杂种", "狗杂种", "狗东西", "狗娘养的",
-    "狗日的", "王八蛋", "混蛋", "贱货", "贱人", "贱骨头", "婊子", "臭婊子", "骚货", "荡妇", "不要脸", "臭不要脸", "滚", "滚蛋", "滚出去", "滚回家去", "滚你妈的", "你妈的", "操你妈", "他妈的", "妈的",
-    "去死", "去死吧", "不得好死", "断子绝孙", "全家死光", "弄死你", "打死你", "活该被打死", "吃屎去吧", "满嘴喷粪", "放屁", "狗屎", "恶心", "死变态", "老不死的", "寄生虫", "害虫", "蛆", "低等人", "劣等民族", "血统低劣",
-    "都赶出去", "没一个好东西", "外地人都是贼", "女人就该回家生孩子", "残废", "黑鬼", "裸聊", "全裸", "脱光了", "约炮", "一夜情", "床上功夫", "做爱", "上床", "成人片", "无码", "色情直播", "奶子", "乳房", "下面湿了", "硬了",
-    "you fucking idiot", "fuck you", "fuck off", "you stupid moron", "piece of shit", "eat shit", "bullshit liar", "shithead", "asshole", "up your ass", "son of a bitch", "bastard", "worthless cunt", "whore", "slut",
-    "go kill yourself", "hope you die", "should rot in hell", "subhuman trash", "vermin", "parasites", "throw them all out", "go back to your country", "women belong in the kitchen", "retard",
-    "nude girls", "naked cam", "free porn", "sex clips", "hot sluts", "watch her cum", "bang her all night", "hook up tonight",
-)
-
 _SPLIT = re.compile(r"(?<=[^\W\d_])[-/.*_~·|丨'`^+\s]*[-/.*_~·|丨'`^+](?=[^\W\d_])")
 _CLAUSE = re.compile(r"[^。！？!?；;，,\n…]+[。！？!?；;，,\n…]*")
 
@@ -138,7 +127,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     def held_out() -> list[list[int]]:
         scores: list[list[int]] = [[]] * len(cut)
         for f in range(FOLDS):
-            score = scorer(*(make([w for i, ws in side.items() if i < 0 or fold[i] != f for w in ws], SIZE) for side, make in ((ordinary, build_all), ({**toxic, -1: list(SEEDS)}, build))))
+            score = scorer(*(make([w for i, ws in side.items() if fold[i] != f for w in ws], SIZE) for side, make in ((ordinary, build_all), (toxic, build))))
             for i in range(f, len(cut), FOLDS):
                 scores[i] = [score(w) for w in cut[i]]
         return scores
@@ -155,7 +144,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     # F1 with false alarms weighed up: labels over-represent toxic documents
     hits, alarms = (np.array([(side & (top >= t)).sum() for t in steps]) for side in (truth, ~truth))
     f1 = 2 * hits / (hits + ALARM * alarms + truth.sum())
-    kept = [*SEEDS, *(w for i in toxic for w in toxic[i])]
+    kept = [w for i in toxic for w in toxic[i]]
     return {"ordinary": build_all([w for ws in ordinary.values() for w in ws], SIZE), "toxic": build(kept, SIZE), "kept": kept, "threshold": int(steps[int(np.argmax(f1))])}
 
 
@@ -173,8 +162,11 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     return fit(plain, [int(r["label"] > 0) for r in rows])
 
 
-def toxic_scores(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, worst, toxic) of every document: bytes saved on its worst window, that window, and whether it passes the threshold."""
+def toxic_scores(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", carried: str | None = None) -> DataFrame:
+    """(key, score, worst, toxic) of every document: bytes saved on its worst window, that window, and whether it passes the threshold.
+
+    ``carried``, a string column, comes along under that name.
+    """
     model = train(documents, labels, key, text)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kind = documents.schema[key].dataType.simpleString()
@@ -191,13 +183,16 @@ def toxic_scores(documents: DataFrame, labels: DataFrame, key: str = "doc_id", t
                 scores.append(best[0])
                 worst.append(best[1])
             toxic = [None if s is None else s >= m["threshold"] for s in scores]
-            yield pa.record_batch([batch.column(0), pa.array(scores, pa.int32()), pa.array(worst, pa.string()), pa.array(toxic, pa.bool_())], names=[key, "score", "worst", "toxic"])
+            columns = [batch.column(0), pa.array(scores, pa.int32()), pa.array(worst, pa.string()), pa.array(toxic, pa.bool_())]
+            yield pa.record_batch([*columns, *batch.columns[2:]], names=[key, "score", "worst", "toxic", "carried"][: batch.num_columns + 2])
 
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, score int, worst string, toxic boolean")
+    more, named = ([F.col(carried).cast("string").alias("carried")], ", carried string") if carried else ([], "")
+    out = documents.select(F.col(key), F.col(text), *more).mapInArrow(run, f"{key} {kind}, score int, worst string, toxic boolean{named}")
+    return out.withColumnRenamed("carried", carried) if carried else out
 
 
 def toxic_rates(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Documents, toxic documents and their share per source."""
-    marks = toxic_scores(documents, labels, key, text).where("toxic").groupBy(key).agg(F.lit(1).alias("t"))
-    joined = documents.select(key, source).join(marks, key, "left")
-    return joined.groupBy(source).agg(F.count("*").alias("n_docs"), F.count("t").alias("n_toxic"), (F.count("t") / F.count("*")).alias("toxic_rate"))
+    marks = toxic_scores(documents, labels, key, text, source)
+    n = F.count_if(F.coalesce("toxic", F.lit(False)))
+    return marks.groupBy(source).agg(F.count("*").alias("n_docs"), n.alias("n_toxic"), (n / F.count("*")).alias("toxic_rate"))
