@@ -52,4 +52,21 @@ def test_payload_layouts(spark):
     ]
     assert got == sorted(want)
     values = {r.argument for r in df.where("argument is not null").collect()}
-    assert values == {'["a", "b"]', "1.5"}
+    assert values == {'["a","b"]', "1.5"}
+
+
+def test_payloads_that_fit_are_read_like_others(spark):
+    ev = {"event_type": "t", "trigger": 5, "arguments": [{"role": "r", "argument": ["a", {"b": 1}]}, None, {"role": "q", "argument": True}]}
+    payloads = [
+        json.dumps({"gold": [ev, None], "pred": {"events": [ev]}, "repair_steps": ["x", 1]}), json.dumps({"gold": [ev, None], "pred": [ev], "parse_diagnostics": {"repair_steps": ["x", 1]}, "more": {"gold": 1}}),
+        json.dumps({"prediction": ev, "repair_steps": "no list"}), json.dumps({"prediction": {"events": "x"}}), json.dumps({"prediction": {}, "gold": {"events": [ev]}}), json.dumps({"gold": [dict(ev, arguments="x"), [ev], "y"]}),
+    ]
+    lines = spark.createDataFrame(list(enumerate(payloads)), "line_id bigint, payload string")
+    items = flatten_payloads(lines)
+    by_line = lambda i: sorted(tuple(r)[2:] for r in items.where(f"record_id = {i}").collect())
+    assert len(by_line(0)) == 8 and [r for r in by_line(0)] == [r for r in by_line(1)]
+    assert [r[0] for r in by_line(2)] == ["prediction", "prediction.arguments", "prediction.arguments"] and by_line(3) == []
+    assert [r[0] for r in by_line(4)] == ["ground_truth", "ground_truth.arguments", "ground_truth.arguments"]
+    assert [(r[0], r[2]) for r in by_line(5)] == [("ground_truth", 0)]
+    some = flatten_payloads(lines, nodes=("prediction", "repair_steps"))
+    assert {r.node for r in some.collect()} == {"prediction", "repair_steps"}

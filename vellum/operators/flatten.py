@@ -2,7 +2,9 @@
 
 Lists are flattened on their Arrow buffers: the offsets give every child its
 parent index, child arrays are sliced out whole, and keys travel by ``take``.
-No value of a row is looked at.
+No value of a row is looked at. JSON payloads are parsed to the same nested
+types by the JVM; only payloads that do not have these types anywhere inside
+(elements of another kind, a bare event instead of a list) are read one by one.
 
 Results, for every input: a null or empty list gives no row; a null element
 counts for ``idx`` and gives no row itself; a null event's arguments give no
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 ARG = pa.struct([("role", pa.string()), ("argument", pa.string())])
 EVENT = pa.struct([("event_type", pa.string()), ("trigger", pa.string()), ("arguments", pa.list_(ARG))])
 STEPS = pa.list_(pa.string())
+_EVENT_DDL = "struct<event_type:string,trigger:string,arguments:array<struct<role:string,argument:string>>>"
+#: Kinds of rows, all of which are wanted by default.
+NODES = ("ground_truth", "ground_truth.arguments", "prediction", "prediction.arguments", "repair_steps")
 
 NODE_SCHEMA = (
     "src string, record_id bigint, node string, parent_idx int, idx int, "
@@ -61,12 +66,15 @@ def _field(values: pa.StructArray, name: str) -> pa.Array:
     return pc.struct_field(values, [name])
 
 
-def event_rows(src: str, node: str, keys: np.ndarray, lists: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Rows of the events in ``lists`` and of their arguments."""
+def event_rows(src: str, node: str, keys: np.ndarray, lists: pa.Array, nodes: tuple[str, ...] = NODES) -> Iterator[pa.RecordBatch]:
+    """Rows of the events in ``lists`` and of their arguments, as far as ``nodes`` has them."""
     events, rows, pos = child_rows(lists)
     there = np.flatnonzero(pc.is_valid(events).to_numpy(zero_copy_only=False))
     events, rows, pos = events.take(pa.array(there)), rows[there], pos[there]
-    yield _emit(src, node, keys[rows], np.full(len(rows), -1), pos, event_type=_field(events, "event_type"), trigger=_field(events, "trigger"))
+    if node in nodes:
+        yield _emit(src, node, keys[rows], np.full(len(rows), -1), pos, event_type=_field(events, "event_type"), trigger=_field(events, "trigger"))
+    if f"{node}.arguments" not in nodes:
+        return
     args, owner, arg_pos = child_rows(_field(events, "arguments"))
     there = np.flatnonzero(pc.is_valid(args).to_numpy(zero_copy_only=False))
     args, owner, arg_pos = args.take(pa.array(there)), owner[there], arg_pos[there]
@@ -87,22 +95,36 @@ def _plain(column: pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def flatten_records(df: DataFrame, key: str = "result_id", src: str = "evaluation_results") -> DataFrame:
-    """One row per nested item of ``ground_truth``, ``prediction`` and ``parse_diagnostics.repair_steps``."""
+def _rows(src: str, nodes: tuple[str, ...], batch: pa.RecordBatch, lists: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    keys = batch.column(0).to_numpy(zero_copy_only=False)
+    for node in ("ground_truth", "prediction"):
+        if node in lists:
+            yield from event_rows(src, node, keys, lists[node], nodes)
+    if "repair_steps" in lists:
+        yield from step_rows(src, keys, lists["repair_steps"])
+
+
+def _wanted(nodes: tuple[str, ...]) -> list[str]:
+    """The nested columns that ``nodes`` are in."""
+    if unknown := set(nodes) - set(NODES):
+        raise ValueError(f"unknown nodes {sorted(unknown)}")
+    return [c for c in ("ground_truth", "prediction", "repair_steps") if c in nodes or f"{c}.arguments" in nodes]
+
+
+def flatten_records(df: DataFrame, key: str = "result_id", src: str = "evaluation_results", nodes: tuple[str, ...] = NODES) -> DataFrame:
+    """One row per nested item of ``ground_truth``, ``prediction`` and ``parse_diagnostics.repair_steps``; only the columns of ``nodes`` are read."""
+    wanted = _wanted(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            yield from event_rows(src, "ground_truth", keys, _plain(batch.column(1)))
-            yield from event_rows(src, "prediction", keys, _plain(batch.column(2)))
-            yield from step_rows(src, keys, _plain(batch.column(3)))
+            yield from _rows(src, nodes, batch, {c: _plain(batch.column(i)) for i, c in enumerate(wanted, 1)})
 
-    columns = [F.col(key).alias("k"), F.col("ground_truth").alias("g"), F.col("prediction").alias("p"), F.col("parse_diagnostics.repair_steps").alias("s")]
-    return df.where(F.col(key).isNotNull()).select(*columns).mapInArrow(run, NODE_SCHEMA)
+    columns = [F.col("parse_diagnostics.repair_steps" if c == "repair_steps" else c).alias(f"c_{c}") for c in wanted]
+    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *columns).mapInArrow(run, NODE_SCHEMA)
 
 
 def _text(value: object) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
 def _events(value: object) -> list | None:
@@ -133,33 +155,58 @@ def _steps(payload: dict) -> list | None:
     return [_text(s) for s in steps] if isinstance(steps, list) else None
 
 
-def flatten_payloads(df: DataFrame, key: str = "line_id", payload: str = "payload", src: str = "result_lines") -> DataFrame:
+def _merged(parsed: pa.Array, at: np.ndarray, odd: list) -> pa.Array:
+    """``parsed`` with the rows ``at`` replaced by ``odd``."""
+    if not len(at):
+        return parsed
+    order = np.arange(len(parsed))
+    order[at] = len(parsed) + np.arange(len(at))
+    return pa.concat_arrays([parsed, pa.array(odd, parsed.type)]).take(pa.array(order))
+
+
+def flatten_payloads(df: DataFrame, key: str = "line_id", payload: str = "payload", src: str = "result_lines", nodes: tuple[str, ...] = NODES) -> DataFrame:
     """The same rows of JSON payloads in either layout.
 
     ``gold`` and ``pred`` count as ``ground_truth`` and ``prediction``; an object
     around the events is taken off; top-level ``repair_steps`` count where the
     diagnostics have none. A null, broken or non-object payload gives no row.
     """
+    wanted = _wanted(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, gold, pred, steps = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
-            for text in batch.column(1).to_pylist():
+            texts = _plain(batch.column(1))
+            at = np.flatnonzero(pc.is_valid(texts).to_numpy(zero_copy_only=False))
+            odd: dict[str, list] = {c: [] for c in ("ground_truth", "prediction", "repair_steps")}
+            for text in texts.take(pa.array(at)).to_pylist():
                 try:
                     value = json.loads(text)
-                except (TypeError, ValueError, RecursionError):
+                except (ValueError, RecursionError):
                     value = None
                 value = value if isinstance(value, dict) else {}
-                gold.append(_events(_first(value, "ground_truth", "gold")))
-                pred.append(_events(_first(value, "prediction", "pred")))
-                steps.append(_steps(value))
-            yield from event_rows(src, "ground_truth", keys, pa.array(gold, pa.list_(EVENT)))
-            yield from event_rows(src, "prediction", keys, pa.array(pred, pa.list_(EVENT)))
-            yield from step_rows(src, keys, pa.array(steps, STEPS))
-
-    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(payload).alias("p")).mapInArrow(run, NODE_SCHEMA)
-
-
-def nested_items(results: DataFrame, lines: DataFrame) -> DataFrame:
+                odd["ground_truth"].append(_events(_first(value, "ground_truth", "gold")))
+                odd["prediction"].append(_events(_first(value, "prediction", "pred")))
+                odd["repair_steps"].append(_steps(value))
+            yield from _rows(src, nodes, batch, {c: _merged(_plain(batch.column(i)), at, odd[c]) for i, c in enumerate(wanted, 2)})
+
+    events, steps = f"array<{_EVENT_DDL}>", "repair_steps:array<string>"
+    options = {"columnNameOfCorruptRecord": "odd"}
+    schema = "struct<ground_truth:{0},gold:{0},prediction:{1},pred:{1},parse_diagnostics:struct<{2}>,{2},odd:string>"
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(payload).alias("p"))
+    rows = rows.withColumn("x", F.from_json("p", schema.format(events, events, steps), options))
+    # a list of events may sit in an object; read again what did not fit
+    odd = F.col("p").isNotNull() & (F.col("x").isNull() | F.col("x.odd").isNotNull())
+    rows = rows.withColumn("y", F.when(odd, F.from_json("p", schema.format(events, f"struct<events:{events}>", steps), options)))
+    around = F.coalesce("y.prediction", "y.pred")
+    unread = odd & (F.col("y").isNull() | F.col("y.odd").isNotNull() | (around.isNotNull() & around["events"].isNull()))
+    picked = {
+        "ground_truth": F.coalesce("y.ground_truth", "y.gold", "x.ground_truth", "x.gold"),
+        "prediction": F.coalesce(around["events"], "x.prediction", "x.pred"),
+        "repair_steps": F.coalesce("y.parse_diagnostics.repair_steps", "y.repair_steps", "x.parse_diagnostics.repair_steps", "x.repair_steps"),
+    }
+    return rows.select("k", F.when(unread, F.col("p")).alias("unread"), *[picked[c].alias(f"c_{c}") for c in wanted]).mapInArrow(run, NODE_SCHEMA)
+
+
+def nested_items(results: DataFrame, lines: DataFrame, nodes: tuple[str, ...] = NODES) -> DataFrame:
     """Items of both sources in one table."""
-    return flatten_records(results).unionByName(flatten_payloads(lines))
+    return flatten_records(results, nodes=nodes).unionByName(flatten_payloads(lines, nodes=nodes))

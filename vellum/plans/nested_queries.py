@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from vellum.operators.flatten import nested_items
+from vellum.operators.flatten import NODES, nested_items
 from vellum.sources.tables import table
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested_items(table(spark, sf_dir, "evaluation_results"), table(spark, sf_dir, "result_lines"))
+def _items(spark: SparkSession, sf_dir: str, nodes: tuple[str, ...] = NODES) -> DataFrame:
+    return nested_items(table(spark, sf_dir, "evaluation_results"), table(spark, sf_dir, "result_lines"), nodes)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,15 +17,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).where(F.col("node").isin("ground_truth", "prediction")).select("src", "record_id", "node", "idx", "event_type", "trigger")
+    return _items(spark, sf_dir, ("ground_truth", "prediction")).select("src", "record_id", "node", "idx", "event_type", "trigger")
 
 
 def p6_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).where(F.col("node").endswith(".arguments")).select("src", "record_id", "node", "parent_idx", "idx", "event_type", "role", "argument")
+    return _items(spark, sf_dir, ("ground_truth.arguments", "prediction.arguments")).select("src", "record_id", "node", "parent_idx", "idx", "event_type", "role", "argument")
 
 
 def p6_repair_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).where(F.col("node") == "repair_steps").select("src", "record_id", "idx", "step")
+    return _items(spark, sf_dir, ("repair_steps",)).select("src", "record_id", "idx", "step")
 
 
 _SQL_NODES = """
