@@ -13,22 +13,22 @@ from pyspark.sql import functions as F
 from vellum.functions.text import bound, normalize, strip
 
 
-def sides(results: DataFrame, key: str = "result_id", gold: str = "ground_truth", pred: str = "prediction") -> DataFrame:
-    """(doc_id, side, events): both lists of every row."""
+def sides(results: DataFrame, key: str = "result_id", gold: str = "ground_truth", pred: str = "prediction", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carried, side, events): both lists of every row, with the other columns named in ``carried``."""
     both = F.array(F.struct(F.lit("gold").alias("side"), F.col(gold).alias("events")), F.struct(F.lit("pred").alias("side"), F.col(pred).alias("events")))
-    return results.select(F.col(key).alias("doc_id"), F.inline(both))
+    return results.select(F.col(key).alias("doc_id"), *carried, F.inline(both))
 
 
-def events(results: DataFrame, **columns: str) -> DataFrame:
-    """(doc_id, side, event_idx, event_type, trigger, arguments)."""
-    rows = sides(results, **columns).select("doc_id", "side", F.posexplode("events").alias("event_idx", "e"))
-    return rows.where("e is not null").select("doc_id", "side", "event_idx", "e.event_type", "e.trigger", "e.arguments")
+def events(results: DataFrame, carried: tuple[str, ...] = (), **columns: str) -> DataFrame:
+    """(doc_id, *carried, side, event_idx, event_type, trigger, arguments)."""
+    rows = sides(results, carried=carried, **columns).select("doc_id", *carried, "side", F.posexplode("events").alias("event_idx", "e"))
+    return rows.where("e is not null").select("doc_id", *carried, "side", "event_idx", "e.event_type", "e.trigger", "e.arguments")
 
 
-def arguments(results: DataFrame, **columns: str) -> DataFrame:
-    """(doc_id, side, event_idx, arg_idx, event_type, trigger, role, argument)."""
-    rows = events(results, **columns).select("doc_id", "side", "event_idx", "event_type", "trigger", F.posexplode("arguments").alias("arg_idx", "a"))
-    return rows.where("a is not null").select("doc_id", "side", "event_idx", "arg_idx", "event_type", "trigger", "a.role", "a.argument")
+def arguments(results: DataFrame, carried: tuple[str, ...] = (), **columns: str) -> DataFrame:
+    """(doc_id, *carried, side, event_idx, arg_idx, event_type, trigger, role, argument)."""
+    rows = events(results, carried, **columns).select("doc_id", *carried, "side", "event_idx", "event_type", "trigger", F.posexplode("arguments").alias("arg_idx", "a"))
+    return rows.where("a is not null").select("doc_id", *carried, "side", "event_idx", "arg_idx", "event_type", "trigger", "a.role", "a.argument")
 
 
 def filled(*names: str) -> Column:
@@ -92,6 +92,18 @@ def relaxed_pairs(args: DataFrame) -> DataFrame:
     return rows.where("argument <> ''").select("doc_id", "side", "event_idx", "arg_idx", "event_type", "role", "argument")
 
 
+def relaxed_list(events_column: Column) -> Column:
+    """(key, value) of the relaxed triplets of an event list in order, as ``relaxed_pairs`` but inside the row; the key is type and role."""
+    some = lambda c: F.coalesce(c != "", F.lit(False))
+    real = F.filter(F.coalesce(events_column, F.array()), lambda e: e.isNotNull() & some(e["event_type"]) & e["arguments"].isNotNull())
+
+    def args(e: Column) -> Column:
+        named = F.filter(e["arguments"], lambda a: a.isNotNull() & some(a["role"]))
+        return F.transform(named, lambda a: F.struct(F.concat_ws("\x1f", e["event_type"], a["role"]).alias("key"), strip(F.coalesce(a["argument"], F.lit("None"))).alias("value")))
+
+    return F.filter(F.flatten(F.transform(real, args)), lambda x: x["value"] != "")
+
+
 def event_type_list(events_column: Column) -> Column:
     """Stripped types of an event list in order of appearance."""
     types = F.transform(F.filter(events_column, lambda e: e.isNotNull()), lambda e: strip(F.coalesce(e["event_type"], F.lit(""))))

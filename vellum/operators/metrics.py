@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions.maths import nearest_rank, prf, safe_div
 from vellum.functions.text import normalize, strip, unspaced
-from vellum.operators.arguments import arguments, event_type_list, events, filled
-from vellum.operators.matching import assigned, counted, first_fit, multiset_overlap
+from vellum.operators.arguments import arguments, event_type_list, events, filled, relaxed_list, signatures, slotted, strict_keys, type_keys
+from vellum.operators.matching import assigned, counted, first_fit, role_sums, row_fitting, shared_times
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -56,6 +56,11 @@ def gold_bucket(events_column: Column) -> Column:
     return F.when(n == 1, "single_event").when(n > 1, "multi_event").otherwise("zero_gold")
 
 
+def gold_count(events_column: Column) -> Column:
+    """Events of a list that are not null."""
+    return F.greatest(F.coalesce(F.size(F.filter(events_column, lambda e: e.isNotNull())), F.lit(0)), F.lit(0))
+
+
 def multiplicity(results: DataFrame, key: str = "result_id") -> DataFrame:
     """Role scores by number of gold events of the document."""
     docs = results.select(F.col(key).alias("doc_id"), gold_bucket(F.col("ground_truth")).alias("bucket"), F.greatest(F.coalesce(F.size(F.filter("ground_truth", lambda e: e.isNotNull())), F.lit(0)), F.lit(0)).alias("n_gold"))
@@ -66,11 +71,12 @@ def multiplicity(results: DataFrame, key: str = "result_id") -> DataFrame:
 
 def hallucinations(results: DataFrame, samples: DataFrame, key: str = "result_id") -> DataFrame:
     """(doc_id, event_idx, arg_idx, event_type, role, argument, grounded) of predicted values of two or more characters whose sample text is known."""
-    texts = samples.where(filled("text")).groupBy("id").agg(F.max_by("text", "row_id").alias("text"))
-    args = arguments(results.select(F.col(key).alias("result_id"), "ground_truth", "prediction")).where("side = 'pred'")
-    named = args.join(results.select(F.col(key).alias("doc_id"), F.col("sample_id").alias("id")), "doc_id").withColumn("raw", F.coalesce("argument", F.lit("None"))).where(F.char_length("raw") >= 2)
-    found = F.col("text").contains(F.col("raw")) | unspaced(F.col("text")).contains(unspaced(F.col("raw")))
-    return named.join(texts, "id").select("doc_id", "event_idx", "arg_idx", "event_type", "role", F.col("raw").alias("argument"), found.alias("grounded"))
+    texts = samples.where(filled("text")).groupBy("id").agg(F.max_by("text", "row_id").alias("text")).select("id", "text", unspaced(F.col("text")).alias("flat"))
+    # the text joins the row, not each of its arguments, and its form is computed once
+    rows = results.select(F.col(key).alias("result_id"), "prediction", F.col("sample_id").alias("id")).join(texts, "id").withColumn("ground_truth", F.lit(None).cast(results.schema["prediction"].dataType))
+    named = arguments(rows, ("text", "flat")).where("side = 'pred'").withColumn("raw", F.coalesce("argument", F.lit("None"))).where(F.char_length("raw") >= 2)
+    found = F.col("text").contains(F.col("raw")) | F.col("flat").contains(unspaced(F.col("raw")))
+    return named.select("doc_id", "event_idx", "arg_idx", "event_type", "role", F.col("raw").alias("argument"), found.alias("grounded"))
 
 
 def hallucination_rates(checked: DataFrame) -> DataFrame:
@@ -83,11 +89,10 @@ def hallucination_rates(checked: DataFrame) -> DataFrame:
 def text_grounding(results: DataFrame, samples: DataFrame, key: str = "result_id") -> DataFrame:
     """Share of predicted triggers and values that stand in the sample's text, all in evaluation form."""
     texts = samples.where(filled("text")).groupBy("id").agg(F.max_by("text", "row_id").alias("text")).select("id", normalize(F.col("text")).alias("text")).where("text <> ''")
-    e = events(results.select(F.col(key).alias("result_id"), "ground_truth", "prediction")).where("side = 'pred'")
-    values = F.concat(F.array(F.col("trigger")), F.coalesce(F.transform(F.filter("arguments", lambda a: a.isNotNull()), lambda a: a["argument"]), F.array().cast("array<string>")))
-    v = e.select("doc_id", F.explode(values).alias("v")).select("doc_id", normalize(F.coalesce("v", F.lit(""))).alias("v")).where("v <> ''")
-    joined = v.join(results.select(F.col(key).alias("doc_id"), F.col("sample_id").alias("id")), "doc_id").join(texts, "id")
-    s = joined.agg(F.count("*").alias("total"), F.count_if(F.col("text").contains(F.col("v"))).alias("grounded"))
+    values = F.flatten(F.transform(F.filter("prediction", lambda e: e.isNotNull()), lambda e: F.concat(F.array(e["trigger"]), F.coalesce(F.transform(F.filter(e["arguments"], lambda a: a.isNotNull()), lambda a: a["argument"]), F.array().cast("array<string>")))))
+    rows = results.select(F.col("sample_id").alias("id"), F.filter(F.transform(values, lambda v: normalize(F.coalesce(v, F.lit("")))), lambda v: v != "").alias("v")).where("size(v) > 0")
+    joined = rows.join(texts, "id")
+    s = joined.agg(F.coalesce(F.sum(F.size("v")), F.lit(0)).cast("bigint").alias("total"), F.coalesce(F.sum(F.size(F.filter("v", lambda v: F.col("text").contains(v)))), F.lit(0)).cast("bigint").alias("grounded"))
     return s.select("*", safe_div(F.col("grounded"), F.col("total")).alias("coverage"))
 
 
@@ -114,22 +119,26 @@ def error_histogram(matched: DataFrame, top: int = 10) -> DataFrame:
 COUNTED = ("strict", "relaxed", "type", "doc_role", "doc_event_type", "doc_instance", "doc_combination")
 
 
-def sample_counts(results: DataFrame, strict: DataFrame, relaxed: DataFrame, types: DataFrame, key: str = "result_id") -> DataFrame:
-    """One row of counts per document: gold events, and tp, pred_total and gold_total of seven scores."""
-    parts = {
-        "strict": counted(strict, "doc_id"),
-        "relaxed": first_fit(relaxed).groupBy("doc_id").agg(F.sum("tp").alias("tp"), F.sum(F.col("n_pred") - F.col("tp")).alias("fp"), F.sum(F.col("n_gold") - F.col("tp")).alias("fn")),
-        "type": counted(types, "doc_id"),
-        "doc_role": counted(assigned(results), "doc_id"),
-        "doc_event_type": counted(types, "doc_id"),
-        "doc_instance": multiset_overlap(results, True),
-        "doc_combination": multiset_overlap(results, False),
-    }
-    out = results.select(F.col(key).alias("doc_id"), F.greatest(F.coalesce(F.size(F.filter("ground_truth", lambda e: e.isNotNull())), F.lit(0)), F.lit(0)).alias("gold_event_count"))
-    for name, part in parts.items():
-        counts = part.select("doc_id", F.col("tp").cast("bigint").alias(f"{name}_tp"), (F.col("tp") + F.col("fp")).cast("bigint").alias(f"{name}_pred_total"), (F.col("tp") + F.col("fn")).cast("bigint").alias(f"{name}_gold_total"))
-        out = out.join(counts, "doc_id", "left")
-    return out.na.fill(0)
+def sample_counts(results: DataFrame, key: str = "result_id") -> DataFrame:
+    """One row of counts per document: gold events, and tp, pred_total and gold_total of seven scores.
+
+    Both lists stand in one row, so all counts are sizes of arrays in the row
+    and nothing is exchanged. Documents must have one row each.
+    """
+    g, p = F.col("ground_truth"), F.col("prediction")
+    pairs = {"strict": strict_keys, "relaxed": relaxed_list, "type": type_keys, "doc_role": slotted}
+    held = results.select(F.col(key).alias("doc_id"), gold_count(g).alias("gold_event_count"), *[f(c).alias(f"{n}_{s}") for n, f in pairs.items() for s, c in (("p", p), ("g", g))])
+    both = {n: (F.col(f"{n}_p"), F.col(f"{n}_g")) for n in pairs}
+    sizes = {n: (F.size(F.array_intersect(*both[n])), F.size(both[n][0]), F.size(both[n][1])) for n in ("strict", "type")}
+    sizes["relaxed"] = (row_fitting(*both["relaxed"]), *map(F.size, both["relaxed"]))
+    sizes["doc_event_type"] = sizes["type"]
+    for name, with_type in (("doc_instance", True), ("doc_combination", False)):
+        a, b = (signatures(c, with_type) for c in both["doc_role"])
+        sizes[name] = (shared_times(a, b), F.size(a), F.size(b))
+    rows = held.withColumn("role", role_sums(*both["doc_role"]))
+    sizes["doc_role"] = (F.col("role.tp"), F.col("role.tp") + F.col("role.fp"), F.col("role.tp") + F.col("role.fn"))
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(f"{n}_{k}") for n in COUNTED for k, c in zip(("tp", "pred_total", "gold_total"), sizes[n])]
+    return rows.select("doc_id", "gold_event_count", *counts)
 
 
 def scores_from_counts(rows: DataFrame) -> DataFrame:

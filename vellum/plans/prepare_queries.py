@@ -232,8 +232,7 @@ def prj_18_typed_payloads(spark, d):
 
 
 def prj_19_merged_types(spark, d):
-    e = A.events(_t(spark, d, "evaluation_results").select("result_id", "ground_truth", "prediction")).where("side = 'pred'").where(A.filled("event_type"))
-    j = e.join(_t(spark, d, "evaluation_results").select(F.col("result_id").alias("doc_id"), "sample_id"), "doc_id")
+    j = A.events(_t(spark, d, "evaluation_results"), ("sample_id",)).where("side = 'pred'").where(A.filled("event_type"))
     first = j.groupBy("sample_id", "event_type").agg(F.min(F.struct("doc_id", "event_idx")).alias("at"))
     return first.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "event_type"))), lambda x: x["event_type"]), "|").alias("types"))
 

@@ -169,8 +169,7 @@ def agg_16_error_top10(spark, d):
 
 
 def agg_18_sample_counts(spark, d):
-    t = M.row_match(_results(spark, d), A.type_keys)
-    return S.sample_counts(_results(spark, d), _strict(spark, d), A.relaxed_pairs(_args(spark, d)), t)
+    return S.sample_counts(_results(spark, d))
 
 
 def agg_19_scores_from_counts(spark, d):
@@ -184,8 +183,7 @@ def agg_20_diagnostics(spark, d):
 
 def _run_metrics(spark, d):
     """(run_key, metric, value): strict scores per run."""
-    runs = _results(spark, d).select(F.col("result_id").alias("doc_id"), "run_key")
-    s = S.scored(M.counted(_strict(spark, d).join(runs, "doc_id"), "run_key"))
+    s = S.scored(M.counted(M.row_match(_results(spark, d), A.strict_keys, carried=("run_key",)), "run_key"))
     return s.unpivot("run_key", ["precision", "recall", "f1"], "metric", "value")
 
 
