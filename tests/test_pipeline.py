@@ -3,12 +3,14 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import math
 
+import numpy as np
 import pytest
 from conftest import EVENT, event
 from pyspark.sql import functions as F
 
-from vellum.operators import contracts, graph, retrieval, splits, stats, trainset
+from vellum.operators import contracts, graph, metrics, retrieval, splits, stats, trainset
 from vellum.plans import prepare_queries
 from vellum.sources import records
 from vellum.streaming.competence import Pace, advance, competence, competence_stream, windowed_counts
@@ -30,18 +32,50 @@ def test_split_is_disjoint_and_sized(spark):
     assert s.where("part = 'tune'").count() == round(20.3)
 
 
-def test_bootstrap_weights_have_mean_one(spark):
-    df = spark.range(3000).select("id", F.lit(1).alias("tp"), F.lit(1).alias("pred"), F.lit(1).alias("gold"))
-    x = stats.bootstrap(df, "id", 10).agg(F.avg("tp")).first()[0]
-    assert abs(x / 3000 - 1) < 0.03
+def test_bootstrap_weights_are_poisson_numbers():
+    w = stats.poisson_weights(np.random.default_rng(1).integers(0, 2**63, 400).astype(np.uint64), 1000)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.2 and abs((w == 0).mean() - math.exp(-1)) < 0.005
 
 
-def test_exact_permutation(spark):
+def counts_frame(spark, rows):
+    columns = [f"{n}_{k}" for n in metrics.COUNTED for k in stats.KINDS]
+    return spark.createDataFrame([(i, g, *[v] * len(columns)) for i, g, v in rows], "doc_id bigint, gold_event_count int, " + ", ".join(f"{c} bigint" for c in columns))
+
+
+def test_bootstrap_gives_27_scores_of_every_draw(spark):
+    df = counts_frame(spark, [(i, i % 3, 1 + i % 2) for i in range(200)])
+    drawn = stats.bootstrap(df, draws=50)
+    assert len(drawn.columns) == 28 and drawn.count() == 50
+    got = {r.metric: r for r in stats.interval(drawn).collect()}
+    assert len(got) == 27 and got["multi_f1"].mean == 1.0 and got["strict_f1"].n_draws == 50 and got["single_f1"].std == 0.0
+    again = {r.metric: r for r in stats.interval(stats.bootstrap(df.repartition(7), draws=50)).collect()}
+    assert got == again
+
+
+def test_bootstrap_of_nothing(spark):
+    assert {r.strict_f1 for r in stats.bootstrap(counts_frame(spark, [(1, None, None)]).limit(0), draws=3).collect()} <= {0.0}
+
+
+def test_permutation(spark):
     d = [0.1, 0.2, -0.05]
-    df = spark.createDataFrame([("m", 0.0, x) for x in d] + [("one", 0.0, 1.0)], "metric string, baseline double, improved double")
-    got = {r.metric: r for r in stats.exact_permutation(df, ["metric"]).collect()}
+    many = [((i % 7) - 2.5) / 10 for i in range(40)]
+    df = spark.createDataFrame([("m", 0.0, x) for x in d] + [("one", 0.0, 1.0)] + [("many", 0.0, x) for x in many] + [("m", None, 1.0)], "metric string, baseline double, improved double")
+    got = {r.metric: r for r in stats.permutation(df, ["metric"]).collect()}
     hits = sum(abs(sum(s * x for s, x in zip(signs, d))) / 3 >= abs(sum(d)) / 3 - 1e-12 for signs in itertools.product((-1, 1), repeat=3))
-    assert got["m"].p_value == hits / 8 and got["one"].status == "too_few_pairs" and got["one"].p_value is None
+    assert got["m"].p_value == hits / 8 and got["m"].n_permutations == 8 and got["m"].method == "exact"
+    assert got["one"].status == "too_few_pairs" and got["one"].p_value is None and got["one"].method is None
+    rng = np.random.default_rng(0)
+    signs = rng.choice([-1.0, 1.0], (40_000, 40))
+    want = (np.abs(signs @ np.array(many) / 40) >= abs(sum(many)) / 40 - 1e-12).mean()
+    assert got["many"].method == "monte_carlo" and abs(got["many"].p_value - want) < 0.02 and got["many"].n_permutations == 10_000
+
+
+def test_significance_metadata(spark):
+    t = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "g string, n_pairs int")
+    got = {r.g: r for r in stats.significance_metadata(t, "g").collect()}
+    assert got["a"].status == "skipped_insufficient_pairs" and got["a"].observed_pairs == 1 and got["b"].status == "computed" and got["b"].reason is None
+    assert stats.significance_metadata(t.limit(0)).first().status == "skipped_no_complete_pairs"
 
 
 def test_tree(spark):

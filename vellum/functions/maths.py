@@ -47,6 +47,11 @@ def root_pacing(step: Column, total: Column, start: float = 0.1) -> Column:
     return F.least(F.lit(1.0), F.sqrt(share * F.lit(1 - start**2) + F.lit(start**2)))
 
 
+def pacing_threshold(step: Column, total: Column, low: float = 1.0, high: float = 4.0, start: float = 0.1) -> Column:
+    """Distance threshold of a curriculum: from ``high`` at the start to ``low`` at the end, by ``root_pacing``. ``total`` of 0 or less counts as 1."""
+    return F.lit(high) - F.lit(high - low) * root_pacing(step, F.greatest(total, F.lit(1)), start)
+
+
 def competence_weight(competence: Column, beta: float = 0.2) -> Column:
     return F.lit(1.0) + F.lit(beta) * (F.lit(1.0) - competence)
 

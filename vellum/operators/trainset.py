@@ -49,9 +49,9 @@ def strategy(key: Column, weights: tuple[float, float, float]) -> Column:
 REGIMES = ((0.7, 0.2, 0.1), (0.2, 0.4, 0.4), (0.1, 0.15, 0.75))
 
 
-def paced_strategy(key: Column, pace: Column) -> Column:
-    """``strategy`` by the regime of a pace between 0 and 1."""
-    return F.when(pace < 1 / 3, strategy(key, REGIMES[0])).when(pace < 2 / 3, strategy(key, REGIMES[1])).otherwise(strategy(key, REGIMES[2]))
+def paced_strategy(key: Column, threshold: Column, diameter: float = 4.0, easy: float = 0.7, hard: float = 0.4) -> Column:
+    """``strategy`` by the regime of a distance threshold: above ``easy`` of the diameter, above ``hard`` of it, or below."""
+    return F.when(threshold > easy * diameter, strategy(key, REGIMES[0])).when(threshold > hard * diameter, strategy(key, REGIMES[1])).otherwise(strategy(key, REGIMES[2]))
 
 
 def nudged_number(value: Column, key: Column) -> Column:

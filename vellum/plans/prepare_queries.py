@@ -305,8 +305,8 @@ def trn_04_reasons(spark, d):
 
 def neg_03_strategies(spark, d):
     key = F.concat_ws(":", F.lit("neg"), F.col("event_id").cast("string"))
-    pace = X.root_pacing(F.col("event_id"), F.lit(10000))
-    return _t(spark, d, "events").select("event_id", TR.paced_strategy(key, pace).alias("strategy"))
+    threshold = X.pacing_threshold(F.col("event_id"), F.lit(10000))
+    return _t(spark, d, "events").select("event_id", TR.paced_strategy(key, threshold).alias("strategy"))
 
 
 def neg_02_nudged(spark, d):
@@ -385,14 +385,19 @@ def win_08_last_rows(spark, d):
 
 
 def sta_01_bootstrap(spark, d):
-    c = M.counted(SQ._strict(spark, d), "doc_id").select("doc_id", "tp", (F.col("tp") + F.col("fp")).alias("pred"), (F.col("tp") + F.col("fn")).alias("gold"))
-    return ST.bootstrap(c, "doc_id", 20)
+    """1000 draws of the scores whose counts SQL can give as well."""
+    return ST.bootstrap(SQ.agg_18_sample_counts(spark, d), names=("strict", "type"))
 
 
 def sta_01_interval(spark, d):
     return ST.interval(sta_01_bootstrap(spark, d))
 
 
+def sta_01_all_intervals(spark, d):
+    """Ranges of all 27 scores over 1000 draws."""
+    return ST.interval(ST.bootstrap(SQ.agg_18_sample_counts(spark, d)))
+
+
 def _pairs(spark, d):
     """Scores of version 1 and 2 of each family and seed, paired by seed."""
     m = SQ._run_metrics(spark, d)
@@ -406,7 +411,28 @@ def join_09_seed_pairs(spark, d):
 
 
 def sta_02_permutation(spark, d):
-    return ST.exact_permutation(_pairs(spark, d), ["family", "metric"])
+    return ST.permutation(_pairs(spark, d), ["family", "metric"])
+
+
+def _source_pairs(spark, d):
+    """Success rates of both families, paired by source and sample split: more pairs than all signs can be gone through."""
+    r = _t(spark, d, "evaluation_results").where("parse_success is not null").withColumn("month", F.date_format("evaluated_at", "yyyy-MM"))
+    r = r.select("run_key", "source", "month", F.col("parse_success").cast("int").alias("ok")).join(F.broadcast(_t(spark, d, "eval_runs").select("run_key", "family")), "run_key")
+    s = r.groupBy("source", "month").agg(*[F.avg(F.when(F.col("family") == f, F.col("ok").cast("double"))).alias(n) for f, n in (("local", "baseline"), ("api", "improved"))])
+    return s.where("baseline is not null and improved is not null")
+
+
+def sta_02_monte_carlo(spark, d):
+    return ST.permutation(_source_pairs(spark, d).withColumn("metric", F.lit("parse_success")), ["metric"])
+
+
+def sta_03_metadata(spark, d):
+    return ST.significance_metadata(sta_02_permutation(spark, d), "family")
+
+
+def sta_05_findings(spark, d):
+    wide = SQ._run_metrics(spark, d).groupBy("run_key").pivot("metric", ["f1", "precision", "recall"]).agg(F.first("value"))
+    return ST.findings(wide, "run_key", {"f1": "strict f1", "precision": "strict precision", "recall": "strict recall"}, "api_v1_s3400")
 
 
 def join_10_deltas(spark, d):
@@ -460,7 +486,7 @@ def val_03_outside(spark, d):
 
 def mth_01_curves(spark, d):
     v = F.col("value") / 500
-    return _t(spark, d, "events").select("event_id", F.round(X.sigmoid((F.lit(0.5) - v) / 0.2), 9).alias("signal"), F.round(X.linear_threshold(v), 9).alias("threshold"), F.round(X.competence_weight(v), 9).alias("weight"), X.margin_bucket(v).alias("offset"), F.round(X.root_pacing(F.col("event_id"), F.lit(10000)), 9).alias("pace"))
+    return _t(spark, d, "events").select("event_id", F.round(X.sigmoid((F.lit(0.5) - v) / 0.2), 9).alias("signal"), F.round(X.linear_threshold(v), 9).alias("threshold"), F.round(X.competence_weight(v), 9).alias("weight"), X.margin_bucket(v).alias("offset"), F.round(X.pacing_threshold(F.col("event_id"), F.lit(10000)), 9).alias("pace"))
 
 
 def mth_05_stable_choice(spark, d):
@@ -472,16 +498,12 @@ def mth_06_digests(spark, d):
 
 
 def set_03_leakage(spark, d):
-    a, b = T.char_ngrams(F.col("title")), T.char_ngrams(F.substring("text", 1, 60))
-    rows = _t(spark, d, "duee_fin_samples").where("title is not null and text is not null").select("row_id", a.alias("a"), b.alias("b"))
-    return rows.select("row_id", X.safe_div(F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a")), F.size(F.array_union("a", "b"))).alias("apart"))
-
-
-def set_03_leakage_tokens(spark, d):
-    """The reference's score: words of the whole title and the whole text, of every row."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[\x{4e00}-\x{9fa5}A-Za-z0-9_]+"), F.lit(0)))
-    rows = _t(spark, d, "duee_fin_samples").select("row_id", words(F.col("title")).alias("a"), words(F.col("text")).alias("b"))
-    return rows.select("row_id", X.safe_div(F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a")), F.size(F.array_union("a", "b"))).alias("apart"))
+    """Words of only one of two whole answers to the same sample over the words of either; the two are the first and the last one written."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"[\x{4e00}-\x{9fa5}A-Za-z0-9_]+"), F.lit(0)))
+    r = _t(spark, d, "evaluation_results").where("raw_response is not null")
+    pair = r.groupBy("sample_id").agg(F.min_by("raw_response", "result_id").alias("x"), F.max_by("raw_response", "result_id").alias("y"), F.count("*").alias("n")).where("n > 1")
+    rows = pair.select("sample_id", words(F.col("x")).alias("a"), words(F.col("y")).alias("b"))
+    return rows.select("sample_id", X.safe_div(F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a")), F.size(F.array_union("a", "b"))).alias("apart"))
 
 
 def set_08_union(spark, d):
@@ -545,12 +567,23 @@ _COMP = (
 )
 _PAIRS = BASE + ", mm AS (SELECT split_part(run_key,'_',1) AS family, split_part(run_key,'_',2) AS version, split_part(run_key,'_',3) AS seed, metric, value FROM runm), pr AS (SELECT a.family, a.seed, a.metric, a.value AS baseline, b.value AS improved FROM mm a JOIN mm b ON a.family=b.family AND a.seed=b.seed AND a.metric=b.metric WHERE a.version='v1' AND b.version='v2')"
 _POIS = " + ".join(f"CAST(u >= {p!r} AS INT)" for p in ST.POISSON)
+def _prf_sql(n: str) -> str:
+    p, r = SQ._div(f"{n}_tp", f"{n}_pred"), SQ._div(f"{n}_tp", f"{n}_gold")
+    return f"{p} AS {n}_precision, {r} AS {n}_recall, CASE WHEN {p} + {r} = 0 THEN 0.0e0 ELSE 2.0e0*{p}*{r}/({p}+{r}) END AS {n}_f1"
+
+
 _BOOT = (
     BASE
-    + f""", c AS (SELECT doc_id, sum(tp) AS tp, sum(tp+fp) AS pred, sum(tp+fn) AS gold FROM sm GROUP BY doc_id),
- dr AS (SELECT c.*, CAST(r.range AS INT) AS draw, {_NUM.format("'3407:' || r.range || ':' || doc_id")} / 4294967296.0e0 AS u FROM c, range(0, 20) r),
- w AS (SELECT *, {_POIS} AS w FROM dr), s AS (SELECT draw, CAST(sum(w*tp) AS BIGINT) AS tp, CAST(sum(w*pred) AS BIGINT) AS pred, CAST(sum(w*gold) AS BIGINT) AS gold FROM w WHERE w > 0 GROUP BY draw),
- f AS (SELECT *, {SQ._div('tp', 'pred')} AS p, {SQ._div('tp', 'gold')} AS r FROM s), bs AS (SELECT draw, tp, pred, gold, CASE WHEN p + r = 0 THEN 0.0e0 ELSE 2.0e0*p*r/(p+r) END AS f1 FROM f)
+    + f""", c0 AS (SELECT doc_id, sum(tp) AS strict_tp, sum(tp+fp) AS strict_pred, sum(tp+fn) AS strict_gold FROM sm GROUP BY doc_id),
+ c1 AS (SELECT doc_id, sum(CAST(g AND p AS INT)) AS type_tp, sum(CAST(p AS INT)) AS type_pred, sum(CAST(g AS INT)) AS type_gold FROM (SELECT doc_id, max(side='gold') AS g, max(side='pred') AS p FROM etypes GROUP BY doc_id, event_type) GROUP BY doc_id),
+ c AS (SELECT r.result_id AS doc_id, {', '.join(f'coalesce({n}_{k}, 0) AS {n}_{k}' for n in ('strict', 'type') for k in ('tp', 'pred', 'gold'))} FROM evaluation_results r LEFT JOIN c0 ON c0.doc_id = r.result_id LEFT JOIN c1 ON c1.doc_id = r.result_id),
+ h AS (SELECT *, CAST(('0x' || substr(sha256('3407:' || doc_id), 1, 16)) AS UBIGINT) AS h FROM c),
+ x0 AS (SELECT h.*, CAST(r.range AS INT) AS draw, CAST((CAST(h AS UHUGEINT) + CAST(r.range + 1 AS UHUGEINT) * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS x FROM h, range(0, 1000) r),
+ x1 AS (SELECT * REPLACE (CAST(CAST(xor(x, x >> 30) AS UHUGEINT) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT) AS x) FROM x0),
+ x2 AS (SELECT * REPLACE (CAST(CAST(xor(x, x >> 27) AS UHUGEINT) * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT) AS x) FROM x1),
+ u AS (SELECT *, CAST(xor(x, x >> 31) >> 11 AS DOUBLE) / 9007199254740992.0e0 AS u FROM x2), w AS (SELECT *, {_POIS} AS w FROM u),
+ s AS (SELECT draw, {', '.join(f'sum(w*{n}_{k}) AS {n}_{k}' for n in ('strict', 'type') for k in ('tp', 'pred', 'gold'))} FROM w GROUP BY draw),
+ bs AS (SELECT draw, {', '.join(map(_prf_sql, ('strict', 'type')))} FROM s)
 """
 )
 _GTYPES = SQ._types_list("events")
@@ -605,12 +638,14 @@ ORACLES = {
     "win_07_recent_deviation": "SELECT event_id, round(stddev_pop(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 5) AS std FROM events",
     "win_08_last_rows": "SELECT event_id, CAST(n AS INT) AS n FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 10",
     "sta_01_bootstrap": _BOOT + "SELECT * FROM bs",
-    "sta_01_interval": _BOOT + ", v AS (SELECT count(*) AS n, avg(f1) AS mean, stddev_samp(f1) AS std, list_sort(list(f1)) AS v FROM bs) SELECT CAST(n AS BIGINT) AS n_draws, mean, std, v[CAST(round_even((n-1)*0.025, 0) AS INT)+1] AS low, v[CAST(round_even((n-1)*0.975, 0) AS INT)+1] AS high FROM v",
+    "sta_01_interval": _BOOT + ", l AS (UNPIVOT bs ON COLUMNS(* EXCLUDE draw) INTO NAME metric VALUE value), v AS (SELECT metric, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std, list_sort(list(value)) AS v FROM l GROUP BY metric) SELECT metric, CAST(n AS BIGINT) AS n_draws, round(mean, 9) AS mean, round(std, 9) AS std, v[CAST(round_even((n-1)*0.025, 0) AS INT)+1] AS low, v[CAST(round_even((n-1)*0.975, 0) AS INT)+1] AS high FROM v",
     "join_09_seed_pairs": _PAIRS + "SELECT * FROM pr",
     "sta_02_permutation": _PAIRS
     + """, g AS (SELECT family, metric, list_sort(list(improved - baseline)) AS ds FROM pr GROUP BY ALL), h AS (SELECT *, len(ds) AS n FROM g), m AS (SELECT h.*, unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS mask FROM h WHERE n BETWEEN 2 AND 20),
     s AS (SELECT family, metric, n, abs(list_sum(list_transform(ds, lambda x, i: CASE WHEN (mask >> (i-1)) & 1 = 1 THEN x ELSE -x END)) / n) >= abs(list_sum(ds) / n) - 1e-12 AS hit FROM m), p AS (SELECT family, metric, CAST(count(*) FILTER (WHERE hit) AS DOUBLE) / count(*) AS p_value FROM s GROUP BY ALL)
-    SELECT h.family, h.metric, CAST(n AS INT) AS n_pairs, list_sum(ds) / n AS mean_diff, p_value, CASE WHEN n < 2 THEN 'too_few_pairs' WHEN n > 20 THEN 'too_many_pairs' ELSE 'tested' END AS status FROM h LEFT JOIN p ON p.family = h.family AND p.metric = h.metric""",
+    SELECT h.family, h.metric, CAST(n AS INT) AS n_pairs, list_sum(ds) / n AS mean_diff, p_value, CASE WHEN n >= 2 THEN 'exact' END AS method, CASE WHEN n >= 2 THEN CAST(pow(2, n) AS BIGINT) END AS n_permutations, CASE WHEN n < 2 THEN 'too_few_pairs' ELSE 'tested' END AS status FROM h LEFT JOIN p ON p.family = h.family AND p.metric = h.metric""",
+    "sta_03_metadata": _PAIRS + ", n AS (SELECT family, metric, count(*) AS n FROM pr GROUP BY ALL) SELECT family, 2 AS min_pairs, CAST(min(n) AS INT) AS observed_pairs, CASE WHEN min(n) < 2 THEN 'skipped_insufficient_pairs' ELSE 'computed' END AS status, CASE WHEN min(n) < 2 THEN 'a paired test needs at least 2 pairs for each comparison; observed ' || min(n) END AS reason FROM n GROUP BY family",
+    "sta_05_findings": BASE + ", d AS (SELECT m.run_key, m.metric, round(m.value - r.value, 6) AS delta FROM runm m JOIN runm r ON r.metric = m.metric AND r.run_key = 'api_v1_s3400' WHERE m.run_key <> 'api_v1_s3400') SELECT run_key, metric, delta, run_key || ': strict ' || metric || ' is ' || CASE WHEN delta > 0 THEN 'higher' WHEN delta < 0 THEN 'lower' ELSE 'equal' END || CASE WHEN delta <> 0 THEN ' by ' || printf('%.4f', abs(delta)) ELSE '' END || ' (reference api_v1_s3400)' AS finding FROM d",
     "join_10_deltas": BASE + "SELECT m.run_key, m.metric, m.value - r.value AS delta FROM runm m JOIN runm r ON r.metric = m.metric AND r.run_key = 'api_v1_s3400'",
     "join_11_completeness": "SELECT run_key, source FROM (SELECT run_key, source FROM eval_runs, (SELECT DISTINCT source FROM duee_fin_samples)) EXCEPT SELECT run_key, source FROM evaluation_results",
     "join_05_latest_result": "SELECT row_id, m.r AS result_id FROM duee_fin_samples s LEFT JOIN (SELECT sample_id, max(result_id) AS r FROM evaluation_results GROUP BY 1) m ON m.sample_id = s.id",
@@ -620,16 +655,16 @@ ORACLES = {
     "val_02_disagreeing": "SELECT family, count(DISTINCT stage_mode || chr(31) || pipeline_mode) AS n_contracts FROM eval_runs GROUP BY 1 HAVING n_contracts > 1",
     "val_04_null_fields": " UNION ALL ".join(f"SELECT row_id, '{c}' AS field FROM duee_fin_samples WHERE trim(coalesce({c}, '')) = ''" for c in ("id", "title", "text", "issuer_code", "source")),
     "val_03_outside": "SELECT run_key, stage_mode FROM eval_runs WHERE stage_mode NOT IN ('e2e','two_stage','two_stage_per_type')",
-    "mth_01_curves": "WITH v AS (SELECT event_id, value / 500 AS v FROM events) SELECT event_id, round(1e0/(1e0+exp(-(0.5e0-v)/0.2e0)), 9) AS signal, round(4e0 - 3e0*v, 9) AS threshold, round(1e0 + 0.2e0*(1e0-v), 9) AS weight, CAST(CASE WHEN v < 0.08 THEN 0.4 WHEN v < 0.16 THEN 0.3 WHEN v < 0.30 THEN 0.2 ELSE 0.1 END AS DOUBLE) AS \"offset\", round(least(1e0, sqrt(least(1e0, CAST(event_id AS DOUBLE)/10000e0)*0.99e0 + 0.01e0)), 9) AS pace FROM v",
+    "mth_01_curves": "WITH v AS (SELECT event_id, value / 500 AS v FROM events) SELECT event_id, round(1e0/(1e0+exp(-(0.5e0-v)/0.2e0)), 9) AS signal, round(4e0 - 3e0*v, 9) AS threshold, round(1e0 + 0.2e0*(1e0-v), 9) AS weight, CAST(CASE WHEN v < 0.08 THEN 0.4 WHEN v < 0.16 THEN 0.3 WHEN v < 0.30 THEN 0.2 ELSE 0.1 END AS DOUBLE) AS \"offset\", round(4e0 - 3e0 * least(1e0, sqrt(least(1e0, CAST(event_id AS DOUBLE)/10000e0)*0.99e0 + 0.01e0)), 9) AS pace FROM v",
     "mth_05_stable_choice": f"SELECT doc_id, ['a','b','c'][{_NUM.format('CAST(doc_id AS VARCHAR)')} % 3 + 1] AS pick FROM documents",
     "mth_06_digests": "SELECT doc_id, sha256(text) AS sha256, sha1(text) AS sha1 FROM documents WHERE text IS NOT NULL",
-    "set_03_leakage": f"WITH t AS (SELECT row_id, {_RF.format('title')} AS a, {_RF.format('substring(text,1,60)')} AS b FROM duee_fin_samples WHERE title IS NOT NULL AND text IS NOT NULL), g AS (SELECT row_id, {_BI.format('a')} AS a, {_BI.format('b')} AS b FROM t), n AS (SELECT row_id, len(list_intersect(a,b)) AS i, len(list_distinct(list_concat(a,b))) AS u FROM g) SELECT row_id, CASE WHEN u = 0 THEN 0.0e0 ELSE CAST(u - i AS DOUBLE) / u END AS apart FROM n",
+    "set_03_leakage": "WITH p AS (SELECT sample_id, arg_min(raw_response, result_id) AS x, arg_max(raw_response, result_id) AS y FROM evaluation_results WHERE raw_response IS NOT NULL GROUP BY sample_id HAVING count(*) > 1), w AS (SELECT sample_id, list_distinct(regexp_extract_all(x, '[\\x{4e00}-\\x{9fa5}A-Za-z0-9_]+')) AS a, list_distinct(regexp_extract_all(y, '[\\x{4e00}-\\x{9fa5}A-Za-z0-9_]+')) AS b FROM p), n AS (SELECT sample_id, len(list_intersect(a,b)) AS i, len(list_distinct(list_concat(a,b))) AS u FROM w) SELECT sample_id, CASE WHEN u = 0 THEN 0.0e0 ELSE CAST(u - i AS DOUBLE) / u END AS apart FROM n",
     "set_08_union": "SELECT row_id, 'gold' AS origin FROM duee_fin_samples WHERE split = 'train' UNION ALL SELECT row_id, 'silver' FROM duee_fin_samples WHERE split = 'sample'",
     "set_10_dedupe_events": "SELECT result_id, CAST(len(list_distinct(list_transform(list_filter(prediction, lambda e: e IS NOT NULL), lambda e: CAST(e AS VARCHAR)))) AS BIGINT) AS n FROM evaluation_results WHERE prediction IS NOT NULL",
     "agg_24_samples_summary": "SELECT split, count(*) AS n_rows, count(DISTINCT id) AS n_ids, CAST(sum(coalesce(len(events), 0)) AS BIGINT) AS n_events, CAST(max(length(text)) AS INT) AS longest FROM duee_fin_samples GROUP BY split",
     "agg_26_usage": "SELECT family, stage_mode, CAST(sum(coalesce(length(raw_response), 0)) AS BIGINT) AS n_chars, count(*) AS n_calls FROM evaluation_results r JOIN eval_runs u ON u.run_key = r.run_key GROUP BY ALL",
     "srt_09_percentiles": "WITH r AS (SELECT source, list_sort(list(n_chars)) AS v, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY source) SELECT source, v[CAST(round_even((n-1)*0.5, 0) AS INT)+1] AS median, v[CAST(round_even((n-1)*0.9, 0) AS INT)+1] AS p90 FROM r",
-    "neg_03_strategies": f"WITH e AS (SELECT event_id, {_NUM.format(chr(39) + 'neg:' + chr(39) + ' || event_id')} / 4294967296.0e0 AS u, least(1e0, sqrt(least(1e0, CAST(event_id AS DOUBLE)/10000e0)*0.99e0 + 0.01e0)) AS p FROM events) SELECT event_id, CASE WHEN p < 1e0/3 THEN CASE WHEN u < 0.7e0 THEN 'EASY' WHEN u < 0.9e0 THEN 'MEDIUM' ELSE 'HARD' END WHEN p < 2e0/3 THEN CASE WHEN u < 0.2e0 THEN 'EASY' WHEN u < 0.6e0 THEN 'MEDIUM' ELSE 'HARD' END ELSE CASE WHEN u < 0.1e0 THEN 'EASY' WHEN u < 0.25e0 THEN 'MEDIUM' ELSE 'HARD' END END AS strategy FROM e",
+    "neg_03_strategies": f"WITH e AS (SELECT event_id, {_NUM.format(chr(39) + 'neg:' + chr(39) + ' || event_id')} / 4294967296.0e0 AS u, 4e0 - 3e0 * least(1e0, sqrt(least(1e0, CAST(event_id AS DOUBLE)/10000e0)*0.99e0 + 0.01e0)) AS lim FROM events) SELECT event_id, CASE WHEN lim > 2.8e0 THEN CASE WHEN u < 0.7e0 THEN 'EASY' WHEN u < 0.9e0 THEN 'MEDIUM' ELSE 'HARD' END WHEN lim > 1.6e0 THEN CASE WHEN u < 0.2e0 THEN 'EASY' WHEN u < 0.6e0 THEN 'MEDIUM' ELSE 'HARD' END ELSE CASE WHEN u < 0.1e0 THEN 'EASY' WHEN u < 0.25e0 THEN 'MEDIUM' ELSE 'HARD' END END AS strategy FROM e",
     "tpch_01_pricing": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS n, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
 }
 ORACLES |= {
