@@ -36,6 +36,24 @@ def similarity(found: DataFrame, diameter: int) -> DataFrame:
     return found.withColumn("similarity", F.lit(1.0) - F.col("distance") / F.lit(float(diameter)))
 
 
+def diameter(tree: DataFrame, depth: int) -> DataFrame:
+    """(diameter): the longest way between two nodes of a forest at most ``depth`` deep, of the largest of its trees; 0 without edges.
+
+    In a tree it passes a topmost node: the two deepest branches below it count.
+    """
+    nodes = tree.select(F.col("child").alias("node")).unionByName(tree.select(F.col("parent").alias("node"))).distinct()
+    up = ancestors(tree, nodes, depth)
+    roots = up.groupBy("node").agg(F.max_by("ancestor", "up").alias("root"))
+    largest = roots.groupBy("root").agg(F.count("*").alias("n")).agg(F.max_by("root", F.struct("n", "root")).alias("root"))
+    # heights of the branches below a node: how far a node lies under it, by the child it goes through
+    through = up.where("up > 0").join(up.select("node", F.col("ancestor").alias("branch"), F.col("up").alias("below")), "node").where("below = up - 1")
+    heights = through.groupBy("ancestor", "branch").agg(F.max("up").alias("h"))
+    best = heights.groupBy("ancestor").agg(F.sort_array(F.collect_list("h"), asc=False).alias("hs"))
+    ways = best.select("ancestor", (F.get("hs", F.lit(0)) + F.coalesce(F.get("hs", F.lit(1)), F.lit(0))).alias("d"))
+    inside = ways.join(roots.select(F.col("node").alias("ancestor"), "root"), "ancestor").where(F.col("root") == largest.scalar())
+    return inside.agg(F.coalesce(F.max("d"), F.lit(0)).alias("diameter"))
+
+
 def shape(tree: DataFrame) -> DataFrame:
     """Nodes, edges and average degree."""
     nodes = tree.select(F.col("child").alias("n")).unionByName(tree.select(F.col("parent").alias("n"))).distinct().agg(F.count("*").alias("n_nodes"))

@@ -155,6 +155,52 @@ def scores_from_counts(rows: DataFrame) -> DataFrame:
     return sums.select("zero_gold_samples", *out)
 
 
+def report(results: DataFrame, samples: DataFrame, schema: DataFrame) -> DataFrame:
+    """(metric, value) of all scores, rates and counts of a set of results."""
+
+    def long(df: DataFrame, prefix: str = "") -> DataFrame:
+        doubles = df.select(*[F.col(c).cast("double").alias(prefix + c) for c in df.columns])
+        return doubles.unpivot([], doubles.columns, "metric", "value")
+
+    checked = schema_violations(results, schema)
+    broken = checked.agg(F.count_distinct("doc_id").alias("violations"))
+    compliance = results.agg(F.count("*").alias("n")).withColumn("bad", broken.scalar()).select(safe_div(F.col("n") - F.col("bad"), F.col("n")).alias("schema_compliance_rate"))
+    parts = [
+        long(scores_from_counts(sample_counts(results))), long(hallucination_rates(hallucinations(results, samples)), "hallucination_"), long(text_grounding(results, samples), "grounding_"),
+        long(parse_rates(results), "parse_"), long(compliance),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def required_metrics(found: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(name, value) of the metrics that ``names`` maps to a name; one that is not there is an error naming it."""
+    wanted = found.sparkSession.createDataFrame(list(names.items()), "metric string, name string")
+    joined = F.broadcast(wanted).join(found, "metric", "left")  # as many rows as names
+    return joined.select("name", F.coalesce("value", F.raise_error(F.concat(F.lit("missing metric "), "metric")).cast("double")).alias("value"))
+
+
+def seed_table(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, metric, n_seeds, mean, std) over seeds: sample deviation, 0 for one seed, six decimals."""
+    return rows.groupBy(*by, "metric").agg(F.count("*").alias("n_seeds"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("std"))
+
+
+def example_usage(chosen: DataFrame, ids: str = "ids", top: int = 10) -> DataFrame:
+    """(kind, name, n): how often each example was chosen, by id, and the ``top`` combinations of examples."""
+    single = chosen.select(F.explode(F.transform(ids, lambda i: i.cast("string"))).alias("name")).groupBy("name").agg(F.count("*").alias("n")).select(F.lit("example").alias("kind"), "name", "n")
+    combos = chosen.select(F.array_join(F.transform(ids, lambda i: i.cast("string")), "|").alias("name")).groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(top)
+    return single.unionByName(combos.select(F.lit("combination").alias("kind"), "name", "n"))
+
+
+def sampler_rates(rows: DataFrame) -> DataFrame:
+    """Generated negatives, how many the verifier filtered, retries, and their rates over at least one."""
+    s = rows.agg(F.count("*").alias("n_generated"), F.count_if("filtered").alias("n_filtered"), F.coalesce(F.sum("retries"), F.lit(0)).alias("n_retries"))
+    base = F.greatest(F.lit(1), F.col("n_generated")).cast("double")
+    return s.select("*", (F.col("n_filtered") / base).alias("filter_rate"), (F.col("n_retries") / base).alias("retry_rate"))
+
+
 def result_diagnostics(results: DataFrame, *by: str) -> DataFrame:
     """Averages of events and types, and how predicted types cover the gold ones, over two-stage rows only (null without any)."""
     g, p = event_type_list(F.col("ground_truth")), event_type_list(F.col("prediction"))

@@ -166,14 +166,6 @@ def neg_05_retry_chain(spark, d):
     return got.groupBy("strategy").agg(F.count("*").alias("n"))
 
 
-def tpch_03_top_orders(spark, d):
-    """Ten orders with most revenue, by a join that both engines plan themselves."""
-    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint"))
-    g = li.groupBy("l_orderkey").agg(cents.alias("cents"))
-    return o.join(g, o["o_orderkey"] == g["l_orderkey"]).orderBy(F.desc("cents"), "o_orderkey").limit(10).select("o_orderkey", "o_orderpriority", "cents")
-
-
 BASE, _ST = SQ.BASE, SQ._strip
 _REAL = "list_filter(prediction, lambda e: e IS NOT NULL)"
 ORACLES = {
@@ -200,7 +192,6 @@ ORACLES = {
     "srt_07_first_samples": "SELECT row_id, id FROM duee_fin_samples ORDER BY row_id LIMIT 100",
     "win_04_first_seen": "SELECT sample_id, min(result_id) AS result_id FROM evaluation_results GROUP BY sample_id",
     "trn_03_types": f"WITH t AS (SELECT row_id, {SQ._types_list('events')} AS o, coalesce(list_filter(event_types, lambda t, i: coalesce(t,'') <> '' AND list_position(event_types, t) = i), []) AS g FROM duee_fin_samples) SELECT row_id, array_to_string(CASE WHEN len(o) > 0 THEN o ELSE g END, '|') AS types FROM t",
-    "tpch_03_top_orders": "WITH g AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM lineitem GROUP BY 1) SELECT o_orderkey, o_orderpriority, CAST(cents AS BIGINT) AS cents FROM orders JOIN g ON l_orderkey = o_orderkey ORDER BY cents DESC, o_orderkey LIMIT 10",
 }
 ORACLES |= {
     "prj_12_answers": f"SELECT row_id, CAST(to_json(coalesce({SQ._types_list('events')}, [])) AS VARCHAR) AS answer FROM duee_fin_samples",

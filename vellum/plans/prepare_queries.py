@@ -271,10 +271,6 @@ def smp_05_epoch_order(spark, d):
     return SP.epoch_order(_t(spark, d, "duee_fin_samples").select("row_id"), "row_id", 3407, 2)
 
 
-def src_10_split_overlap(spark, d):
-    return SP.disjoint(smp_03_split(spark, d), "row_id")
-
-
 def trn_01_stages(spark, d):
     return TR.expand_stages(_t(spark, d, "duee_fin_samples"), "two_stage_per_type")
 
@@ -447,11 +443,6 @@ def join_11_completeness(spark, d):
     return C.missing_rows(expected, _t(spark, d, "evaluation_results"), ["run_key", "source"])
 
 
-def join_12_recount(spark, d):
-    r = _t(spark, d, "evaluation_results").withColumn("ok", F.coalesce("parse_success", F.lit(False)).cast("double"))
-    return C.differing(r.groupBy("run_key").agg(F.avg("ok").alias("v")), r.where("written_at is not null").groupBy("run_key").agg((F.sum("ok") / F.count("*")).alias("v")), ["run_key"], "v")
-
-
 def join_05_latest_result(spark, d):
     r = _t(spark, d, "evaluation_results")
     last = r.groupBy("sample_id").agg(F.max("result_id").alias("result_id"))
@@ -468,14 +459,6 @@ def join_07_known_roles(spark, d):
     return a.join(F.broadcast(_t(spark, d, "schema_roles").select("event_type", "role").distinct()), ["event_type", "role"], "left_semi").select("doc_id", "event_idx", "arg_idx")
 
 
-def val_02_contract_hash(spark, d):
-    return _t(spark, d, "eval_runs").select("run_key", C.contract_hash(["family", "stage_mode", "seed", "pipeline_mode"]).alias("digest"))
-
-
-def val_02_disagreeing(spark, d):
-    return C.disagreeing(_t(spark, d, "eval_runs"), ["family"], ["stage_mode", "pipeline_mode"])
-
-
 def val_04_null_fields(spark, d):
     return C.null_fields(_t(spark, d, "duee_fin_samples"), "row_id", ["id", "title", "text", "issuer_code", "source"])
 
@@ -529,12 +512,6 @@ def srt_09_percentiles(spark, d):
     return nearest_ranks(_t(spark, d, "documents"), "source", "n_chars", {"median": 0.5, "p90": 0.9})
 
 
-def tpch_01_pricing(spark, d):
-    """Grouping sets over line items: per flag and status, per flag, and overall."""
-    li = _t(spark, d, "lineitem")
-    return li.rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"), F.grouping_id().cast("bigint").alias("level"))
-
-
 BASE = SQ.BASE
 _ST = SQ._strip
 _TX = f"texts AS (SELECT id, arg_max(text, row_id) AS text FROM (SELECT {_ST('id')} AS id, {_ST('text')} AS text, row_id FROM duee_fin_samples) WHERE id <> '' AND text <> '' GROUP BY id)"
@@ -651,7 +628,6 @@ ORACLES = {
     "join_05_latest_result": "SELECT row_id, m.r AS result_id FROM duee_fin_samples s LEFT JOIN (SELECT sample_id, max(result_id) AS r FROM evaluation_results GROUP BY 1) m ON m.sample_id = s.id",
     "join_06_allowed": "SELECT result_id FROM evaluation_results WHERE sample_id IN (SELECT id FROM duee_fin_samples WHERE split = 'dev')",
     "join_07_known_roles": BASE + "SELECT doc_id, event_idx, arg_idx FROM args WHERE side='pred' AND (event_type, role) IN (SELECT (event_type, role) FROM schema_roles)",
-    "val_02_contract_hash": "SELECT run_key, sha256('family=' || family || chr(31) || 'pipeline_mode=' || pipeline_mode || chr(31) || 'seed=' || seed || chr(31) || 'stage_mode=' || stage_mode) AS digest FROM eval_runs",
     "val_02_disagreeing": "SELECT family, count(DISTINCT stage_mode || chr(31) || pipeline_mode) AS n_contracts FROM eval_runs GROUP BY 1 HAVING n_contracts > 1",
     "val_04_null_fields": " UNION ALL ".join(f"SELECT row_id, '{c}' AS field FROM duee_fin_samples WHERE trim(coalesce({c}, '')) = ''" for c in ("id", "title", "text", "issuer_code", "source")),
     "val_03_outside": "SELECT run_key, stage_mode FROM eval_runs WHERE stage_mode NOT IN ('e2e','two_stage','two_stage_per_type')",
@@ -665,11 +641,9 @@ ORACLES = {
     "agg_26_usage": "SELECT family, stage_mode, CAST(sum(coalesce(length(raw_response), 0)) AS BIGINT) AS n_chars, count(*) AS n_calls FROM evaluation_results r JOIN eval_runs u ON u.run_key = r.run_key GROUP BY ALL",
     "srt_09_percentiles": "WITH r AS (SELECT source, list_sort(list(n_chars)) AS v, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY source) SELECT source, v[CAST(round_even((n-1)*0.5, 0) AS INT)+1] AS median, v[CAST(round_even((n-1)*0.9, 0) AS INT)+1] AS p90 FROM r",
     "neg_03_strategies": f"WITH e AS (SELECT event_id, {_NUM.format(chr(39) + 'neg:' + chr(39) + ' || event_id')} / 4294967296.0e0 AS u, 4e0 - 3e0 * least(1e0, sqrt(least(1e0, CAST(event_id AS DOUBLE)/10000e0)*0.99e0 + 0.01e0)) AS lim FROM events) SELECT event_id, CASE WHEN lim > 2.8e0 THEN CASE WHEN u < 0.7e0 THEN 'EASY' WHEN u < 0.9e0 THEN 'MEDIUM' ELSE 'HARD' END WHEN lim > 1.6e0 THEN CASE WHEN u < 0.2e0 THEN 'EASY' WHEN u < 0.6e0 THEN 'MEDIUM' ELSE 'HARD' END ELSE CASE WHEN u < 0.1e0 THEN 'EASY' WHEN u < 0.25e0 THEN 'MEDIUM' ELSE 'HARD' END END AS strategy FROM e",
-    "tpch_01_pricing": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS n, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
 }
 ORACLES |= {
     "agg_34_strategy_histogram": f"SELECT strategy, count(*) AS n FROM ({ORACLES['neg_03_strategies']}) GROUP BY strategy",
-    "src_10_split_overlap": f"SELECT row_id FROM ({ORACLES['smp_03_split']}) GROUP BY row_id HAVING count(DISTINCT part) > 1",
     "jsn_11_paths": "SELECT line_id, CAST(payload AS JSON) ->> '$.parse_diagnostics.extraction_method' AS method, CAST(CAST(payload AS JSON) ->> '$.stage_meta.retry' AS DOUBLE) AS retry FROM result_lines",
     "trn_02_negative_types": f"""WITH u AS (SELECT list_sort(list(DISTINCT event_type)) AS u FROM schema_roles), g AS (SELECT row_id, coalesce({_GTYPES}, []) AS g, u, list_filter(u, lambda x: NOT list_contains(coalesce({_GTYPES}, []), x)) AS o FROM duee_fin_samples, u),
     s AS (SELECT row_id, g, u, o, list_transform(g, lambda t, i: o[{_NUM.format("row_id || ':' || t || ':' || (i-1)")} % greatest(len(o), 1) + 1]) AS sw FROM g)

@@ -266,14 +266,6 @@ def win_09_role_order(spark, d):
     return first.groupBy("event_type").agg(F.array_join(ordered, "|").alias("roles"))
 
 
-def cls_01_binary_prf(spark, d):
-    """Labels against a rule on the length of the text."""
-    labels, docs = table(spark, d, "doc_labels"), table(spark, d, "documents").select("doc_id", "n_chars")
-    j = labels.join(docs, "doc_id").select((F.col("quality") >= 4).alias("g"), (F.coalesce("n_chars", F.lit(0)) >= 300).alias("p"))
-    c = j.agg(F.count_if(F.expr("g and p")).alias("tp"), F.count_if(F.expr("p and not g")).alias("fp"), F.count_if(F.expr("g and not p")).alias("fn"))
-    return c.select("*", *prf(), safe_div(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")).alias("jaccard"))
-
-
 def _norm(x: str) -> str:
     return f"lower(translate(regexp_replace({x}, '{SPACE}+', '', 'g'), '（），。', '(),.'))"
 
@@ -404,6 +396,5 @@ ORACLES = {
     "win_09_role_order": BASE
     + """, a AS (SELECT event_type, role, 0 AS rk, CAST(role_pos AS BIGINT) AS pos FROM schema_roles UNION ALL SELECT event_type, role, CASE WHEN side='gold' THEN 1 ELSE 2 END, CAST(doc_id*1000000+event_idx*1000+arg_idx AS BIGINT) FROM args WHERE event_type <> '' AND role <> ''),
     f AS (SELECT event_type, role, rk, pos, row_number() OVER (PARTITION BY event_type, role ORDER BY rk, pos) AS rn FROM a) SELECT event_type, string_agg(role, '|' ORDER BY rk, pos, role) AS roles FROM f WHERE rn = 1 GROUP BY event_type""",
-    "cls_01_binary_prf": f"WITH j AS (SELECT quality >= 4 AS g, coalesce(n_chars,0) >= 300 AS p FROM doc_labels l JOIN documents d ON d.doc_id = l.doc_id), c AS (SELECT count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM j) SELECT *, {_prf()}, {_div('tp', 'tp+fp+fn')} AS jaccard FROM c",
 }
 QUERIES = {n: f for n, f in globals().items() if n.split("_")[0] in ("prj", "join", "agg", "flt", "set", "txt", "srt", "win", "cls") and callable(f)}
