@@ -11,6 +11,7 @@ from vellum.functions.text import bound, strip
 SIGNS = ("，：；“”‘’【】（）｛｝", ",:;\"\"''[](){}")
 #: Names of the repairs in the order they are tried; each works on the result of those before.
 REPAIRS = ("normalize_punctuation", "fix_trailing_comma", "remove_control_characters", "fix_unclosed_brackets", "fix_single_quotes")
+#: Patterns of JSON in an answer.
 _FENCE = r"(?is)```(?:json)?\s*\n?(.*?)\n?```"
 _ARRAY = r"(?s)\[\s*\{.*\}\s*\]"
 _OBJECT = r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
@@ -53,7 +54,8 @@ def fix_unclosed_brackets(c: Column) -> Column:
 
 
 def fix_single_quotes(c: Column) -> Column:
-    return F.regexp_replace(c, r"'([^'\"]+)'\s*:", '"$1":')
+    """Keys between single quotes get double ones."""
+    return F.regexp_replace(c, r"'([^']+)'(\s*:)", '"$1"$2')
 
 
 def ladder(json: Column) -> Column:

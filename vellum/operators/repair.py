@@ -184,17 +184,22 @@ def joined_numbers(values: Column, text: Column, units: tuple[str, ...] = ("股"
     return F.when(usable, F.get(F.filter(forms, lambda f: text.contains(f)), F.lit(0)))
 
 
-def perturbed(text: Column) -> Column:
-    """(changed, type, old_value, new_value, text): the first number, date or organisation of a text replaced."""
-    kinds = [
-        (r"\d+(?:\.\d+)?(?:亿|万|千|百)?(?:元|股|%)", None, "number"),
-        (r"\d+(?:\.\d+)?", "9999", "number"),
-        (r"\d{4}年\d{1,2}月\d{1,2}日", "2099年12月31日", "date"),
-        (r"[\x{4e00}-\x{9fa5}A-Za-z0-9]{2,30}(?:公司|集团|银行|证券|科技|股份)", "示例科技公司", "org"),
-    ]
+#: Patterns of what can be replaced, what with, and its kind, in the order they are tried. None: by the unit.
+SLOTS = [
+    (r"\d+(?:\.\d+)?(?:亿|万|千|百)?(?:元|股|%)", None, "number"),
+    (r"\d+(?:\.\d+)?", "9999", "number"),
+    (r"\d{4}年\d{1,2}月\d{1,2}日", "2099年12月31日", "date"),
+    (r"\d{4}年\d{1,2}月", "2099年12月", "date"),
+    (r"\d{4}年", "2099年", "date"),
+    (r"[\x{4e00}-\x{9fa5}A-Za-z0-9]{2,30}(?:公司|集团|银行|证券|科技|股份)", "示例科技公司", "org"),
+]
+
+
+def perturbed(text: Column, kinds: tuple[str, ...] = ("number", "date", "org")) -> Column:
+    """(changed, type, old_value, new_value, text): the first slot of a text of one of the ``kinds`` replaced."""
     t = F.coalesce(text, F.lit(""))
     out = F.struct(F.lit(False).alias("changed"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"), t.alias("text"))
-    for pattern, new, kind in reversed(kinds):
+    for pattern, new, kind in reversed([s for s in SLOTS if s[2] in kinds]):
         old = F.regexp_extract(t, f"({pattern})", 1)
         value = F.lit(new) if new else F.when(old.contains("%"), "99%").when(old.contains("股"), "9999股").otherwise("9999元")
         at = F.locate("\x00", F.regexp_replace(t, f"(?s)^(.*?)(?:{pattern}).*$", "$1\x00"))

@@ -530,7 +530,7 @@ _RUNGS = (
     + """, r0 AS (SELECT result_id, json AS c0, translate(json, '，：；“”‘’【】（）｛｝', ',:;""''''[](){}') AS c1 FROM x WHERE json IS NOT NULL),
 r2 AS (SELECT *, regexp_replace(c1, ',\\s*([\\]}])', '\\1', 'g') AS c2 FROM r0), r3 AS (SELECT *, regexp_replace(c2, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS c3 FROM r2),
 r4 AS (SELECT *, c3 || repeat('}', greatest(0, length(replace(c3,'}','')) - length(replace(c3,'{','')))) || repeat(']', greatest(0, length(replace(c3,']','')) - length(replace(c3,'[','')))) AS c4 FROM r3),
-r5 AS (SELECT *, regexp_replace(c4, '''([^''"]+)''\\s*:', '"\\1":', 'g') AS c5 FROM r4),
+r5 AS (SELECT *, regexp_replace(c4, '''([^'']+)''(\\s*:)', '"\\1"\\2', 'g') AS c5 FROM r4),
 rungs AS (SELECT result_id, unnest([c0,c1,c2,c3,c4,c5]) AS json, generate_subscripts([c0,c1,c2,c3,c4,c5], 1) - 1 AS rung FROM r5)
 """
 )

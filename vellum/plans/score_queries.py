@@ -232,9 +232,7 @@ def set_09_dedupe_arguments(spark, d):
 
 
 def txt_05_relaxed_pairs(spark, d):
-    a = _args(spark, d).where("arg_idx = 0 and event_idx = 0").where(A.filled("argument"))
-    p, g = (a.where(f"side = '{s}'").select("doc_id", F.col("argument").alias(s)) for s in ("pred", "gold"))
-    return p.join(g, "doc_id").select("doc_id", relaxed_match(F.col("pred"), F.col("gold")).alias("matches"))
+    return _argument_pairs(_args(spark, d)).withColumn("matches", relaxed_match(F.col("pred"), F.col("gold")))
 
 
 def _argument_pairs(args: DataFrame, form=lambda c: c) -> DataFrame:
@@ -248,19 +246,14 @@ def txt_04_span_overlap(spark, d):
     return _argument_pairs(_args(spark, d), normalize).withColumn("overlap", span_overlap(F.col("pred"), F.col("gold")))
 
 
-def txt_05_relaxed_arguments(spark, d):
-    """As txt_05_relaxed_pairs, over all arguments instead of the first of each side."""
-    return _argument_pairs(_args(spark, d)).withColumn("matches", relaxed_match(F.col("pred"), F.col("gold")))
-
-
 def srt_02_most_common(spark, d):
     e = A.events(_results(spark, d)).where("side = 'pred'").where(A.filled("event_type"))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).orderBy(F.desc("n"), "first", "event_type").limit(5).select("event_type", "n")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).orderBy(F.desc("n"), "first", "event_type").limit(10).select("event_type", "n")
 
 
 def win_09_role_order(spark, d):
-    known = _schema(spark, d).select("event_type", "role", F.lit(0).alias("rank"), F.col("role_pos").cast("bigint").alias("pos"))
-    seen = _args(spark, d).where(A.filled("event_type", "role")).select("event_type", "role", F.when(F.col("side") == "gold", 1).otherwise(2).alias("rank"), (F.col("doc_id") * 1000000 + F.col("event_idx") * 1000 + F.col("arg_idx")).cast("bigint").alias("pos"))
+    known = _schema(spark, d).select("event_type", "role", F.lit(0).alias("rank"), F.struct(F.lit(0).cast("bigint").alias("doc"), F.lit(0).alias("event"), F.col("role_pos").alias("arg")).alias("pos"))
+    seen = _args(spark, d).where(A.filled("event_type", "role")).select("event_type", "role", F.when(F.col("side") == "gold", 1).otherwise(2).alias("rank"), F.struct(F.col("doc_id").alias("doc"), F.col("event_idx").alias("event"), F.col("arg_idx").alias("arg")).alias("pos"))
     first = known.unionByName(seen).groupBy("event_type", "role").agg(F.min(F.struct("rank", "pos")).alias("at"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "role"))), lambda x: x["role"])
     return first.groupBy("event_type").agg(F.array_join(ordered, "|").alias("roles"))
@@ -390,11 +383,11 @@ ORACLES = {
     "set_07_types_covered": f"WITH r AS (SELECT result_id, {_types_list('ground_truth')} AS g, {_types_list('prediction')} AS p FROM evaluation_results WHERE ground_truth IS NOT NULL AND prediction IS NOT NULL) SELECT result_id, len(list_filter(g, lambda x: NOT list_contains(p, x))) = 0 AS covered, len(list_filter(g, lambda x: NOT list_contains(p, x))) = 0 AND len(list_filter(p, lambda x: NOT list_contains(g, x))) = 0 AS equal FROM r",
     "set_09_dedupe_arguments": BASE + "SELECT e.doc_id, e.event_idx, CAST(count(DISTINCT CASE WHEN role <> '' AND argument <> '' THEN role || chr(31) || argument END) AS BIGINT) AS n_distinct FROM ev e LEFT JOIN args a ON a.doc_id=e.doc_id AND a.side=e.side AND a.event_idx=e.event_idx WHERE e.side='pred' GROUP BY ALL",
     "txt_05_relaxed_pairs": BASE
-    + f""", x AS (SELECT doc_id, side, {_norm('argument')} AS v FROM args WHERE event_idx = 0 AND arg_idx = 0 AND argument <> ''), j AS (SELECT p.doc_id, p.v AS a, g.v AS b, list_distinct(list_filter(string_split(p.v,''), lambda c: c <> '')) AS ca, list_distinct(list_filter(string_split(g.v,''), lambda c: c <> '')) AS cb FROM x p JOIN x g ON g.doc_id=p.doc_id WHERE p.side='pred' AND g.side='gold')
-    SELECT doc_id, CASE WHEN a = '' OR b = '' THEN false ELSE a = b OR contains(a,b) OR contains(b,a) OR len(list_intersect(ca,cb))/CAST(len(list_distinct(list_concat(ca,cb))) AS DOUBLE) >= 0.5 END AS matches FROM j""",
-    "srt_02_most_common": BASE + "SELECT event_type, n FROM (SELECT event_type, count(*) AS n, min(doc_id) AS f FROM ev WHERE side='pred' AND event_type <> '' GROUP BY event_type ORDER BY n DESC, f, event_type LIMIT 5)",
+    + f""", x AS (SELECT DISTINCT doc_id, side, event_type, role, argument, {_norm('argument')} AS v FROM args WHERE event_type <> '' AND role <> '' AND argument <> ''), j AS (SELECT p.doc_id, p.event_type, p.role, p.argument AS pred, g.argument AS gold, p.v AS a, g.v AS b, list_distinct(list_filter(string_split(p.v,''), lambda c: c <> '')) AS ca, list_distinct(list_filter(string_split(g.v,''), lambda c: c <> '')) AS cb FROM x p JOIN x g ON g.doc_id=p.doc_id AND g.event_type=p.event_type AND g.role=p.role WHERE p.side='pred' AND g.side='gold')
+    SELECT doc_id, event_type, role, pred, gold, CASE WHEN a = '' OR b = '' THEN false ELSE a = b OR contains(a,b) OR contains(b,a) OR len(list_intersect(ca,cb))/CAST(len(list_distinct(list_concat(ca,cb))) AS DOUBLE) >= 0.5 END AS matches FROM j""",
+    "srt_02_most_common": BASE + "SELECT event_type, n FROM (SELECT event_type, count(*) AS n, min(doc_id) AS f FROM ev WHERE side='pred' AND event_type <> '' GROUP BY event_type ORDER BY n DESC, f, event_type LIMIT 10)",
     "win_09_role_order": BASE
-    + """, a AS (SELECT event_type, role, 0 AS rk, CAST(role_pos AS BIGINT) AS pos FROM schema_roles UNION ALL SELECT event_type, role, CASE WHEN side='gold' THEN 1 ELSE 2 END, CAST(doc_id*1000000+event_idx*1000+arg_idx AS BIGINT) FROM args WHERE event_type <> '' AND role <> ''),
+    + """, a AS (SELECT event_type, role, 0 AS rk, {'d': CAST(0 AS BIGINT), 'e': CAST(0 AS BIGINT), 'a': CAST(role_pos AS BIGINT)} AS pos FROM schema_roles UNION ALL SELECT event_type, role, CASE WHEN side='gold' THEN 1 ELSE 2 END, {'d': CAST(doc_id AS BIGINT), 'e': CAST(event_idx AS BIGINT), 'a': CAST(arg_idx AS BIGINT)} FROM args WHERE event_type <> '' AND role <> ''),
     f AS (SELECT event_type, role, rk, pos, row_number() OVER (PARTITION BY event_type, role ORDER BY rk, pos) AS rn FROM a) SELECT event_type, string_agg(role, '|' ORDER BY rk, pos, role) AS roles FROM f WHERE rn = 1 GROUP BY event_type""",
 }
 QUERIES = {n: f for n, f in globals().items() if n.split("_")[0] in ("prj", "join", "agg", "flt", "set", "txt", "srt", "win", "cls") and callable(f)}
