@@ -4,12 +4,15 @@ import hashlib
 import itertools
 import json
 import math
+import random
+import re
 
 import numpy as np
 import pytest
 from conftest import EVENT, event
 from pyspark.sql import functions as F
 
+from vellum.functions.text import STOPWORDS
 from vellum.operators import contracts, graph, metrics, retrieval, splits, stats, trainset
 from vellum.plans import prepare_queries
 from vellum.sources import records
@@ -117,30 +120,59 @@ def test_consensus_reasons(spark):
 def test_retrieval_prefers_the_focused_example(spark):
     pool = retrieval.example_pool(spark.createDataFrame([(1, "甲公司质押股份", [event("质押", ("质押方", "甲公司"))]), (2, "甲公司质押并中标", [event("质押"), event("中标")]), (3, "乙公司中标", [event("中标")])], f"row_id bigint, text string, events array<{EVENT}>"))
     q = spark.createDataFrame([(9, "丙公司质押股份", ["质押"])], "qid bigint, text string, types array<string>")
-    top = retrieval.top_examples(retrieval.scores(q, pool))
+    top = retrieval.ranked(q, pool)
     assert [r.id for r in top.orderBy("place").collect()] == [1, 2]
     assert retrieval.covering(top, 1).first().ids == [1]
 
 
-def test_retrieval_without_a_shared_type_ranks_the_whole_pool(spark):
-    pool = retrieval.example_pool(spark.createDataFrame([(1, "天气很好", [event("质押")]), (2, "丁公司发布消息今天", [event("质押"), event("中标")]), (3, "乙公司", [event("中标")]), (4, "戊公司", [event("回购")])], f"row_id bigint, text string, events array<{EVENT}>"))
-    q = spark.createDataFrame([(9, "丁公司发布消息", []), (8, "丁公司发布消息", ["没有"]), (4, "戊公司", ["回购"]), (7, "丁公司发布消息", ["中标"])], "qid bigint, text string, types array<string>")
-    scored = retrieval.scores(q, pool)
-    got = {}
-    for r in scored.collect():
-        got.setdefault(r.qid, set()).add(r.id)
-    assert got == {9: {1, 2, 3, 4}, 8: {1, 2, 3, 4}, 4: {1, 2, 3}, 7: {2, 3}}
-    first = {r.qid: r.id for r in retrieval.top_examples(scored).where("place = 1").collect()}
-    assert first[9] == 2  # by score alone; a target that no example has still prefers fewer other types
-    assert first[8] != 2
-
-
-def test_leakage_takes_the_words_of_whole_texts(spark, monkeypatch):
-    rows = [(1, "甲 乙_1", "，".join(["词"] * 70) + " 乙_1"), (2, None, None), (3, "甲", None), (4, "a b", "b。a")]
-    df = spark.createDataFrame(rows, "row_id bigint, title string, text string")
+def chosen(query, pool, schema, n):
+    """Brute force over (id, text, event_types, triggers, roles, keywords)."""
+    form = lambda t: "".join(re.findall("[\u4e00-\u9fffA-Za-z0-9]+", t)).lower()
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)} or ({t} if t else set())
+    qid, text, types = query
+    words = {w for w in re.findall("[\u4e00-\u9fffA-Za-z0-9]{2,}", text) if w not in STOPWORDS}
+    others = [e for e in pool if e.id != qid]
+    some = [e for e in others if set(e.event_types) & set(types or [])]
+
+    def key(e):
+        own, a, b = set(e.event_types), grams(form(text)), grams(form(e.text))
+        hits = [sum(x in text for x in xs) for xs in (e.event_types, e.triggers, e.keywords)]
+        roles = sum(r in words for r in e.roles)
+        near = len(a & b) / len(a | b) if a and b else 0.0
+        score = 12 * hits[0] + 7 * hits[1] + 3 * hits[2] + 2 * sum(t in schema and t in text for t in e.event_types) + 1.5 * roles + 6 * near - 0.002 * len(e.text)
+        over, extra = len(own & set(types or [])), len(own - set(types or []))
+        focus = (int(len(types) == 1 and own == set(types)), int(over > 0 and extra == 0), over, -extra) if types else (0, 0, 0, 0)
+        return (*focus, round(score, 9), near, hits[0], hits[1], hits[2] + roles, e.id)
+
+    order, out, seen = sorted(some or others, key=key, reverse=True), [], set()
+    for e in order:
+        if len(out) < n and set(e.event_types) - seen:
+            out.append(e.id)
+            seen |= set(e.event_types)
+    return (out + [e.id for e in order if e.id not in out])[:n]
+
+
+@pytest.mark.parametrize("chunk, block", [(10_000, 2_000), (7, 3)])
+def test_retrieval_equals_brute_force(spark, chunk, block):
+    rnd = random.Random(5)
+    names = ["质押", "中标", "回购", "重整", "亏损"]
+    word = lambda: "".join(rnd.choice("甲乙丙丁公司股份质押中标ab1，") for _ in range(rnd.randint(0, 12)))
+    rows = [(i, rnd.choice([None, word(), word() + rnd.choice(names)]), [event(t, (word()[:3], word()), trigger=word()[:2]) for t in rnd.choices(names, k=rnd.randint(0, 3))]) for i in range(60)]
+    pool = retrieval.example_pool(spark.createDataFrame(rows, f"row_id bigint, text string, events array<{EVENT}>"))
+    queries = [(i, word() + word() + rnd.choice(names), rnd.choice([[], None, ["没有"], rnd.sample(names, 1), rnd.sample(names, 2)])) for i in range(40, 90)]
+    q = spark.createDataFrame(queries, "qid bigint, text string, types array<string>")
+    got = {r.qid: r.ids for r in retrieval.covering(retrieval.ranked(q, pool, 3, names[:3], chunk, block)).collect()}
+    examples = pool.collect()
+    assert got == {x[0]: chosen(x, examples, names[:3], 3) for x in queries}
+    assert retrieval.ranked(q, pool.limit(0)).count() == 0 and retrieval.ranked(q.limit(0), pool).count() == 0
+
+
+def test_leakage_takes_the_words_of_two_whole_answers(spark, monkeypatch):
+    rows = [(1, "a", "甲 乙_1"), (2, "a", "，".join(["词"] * 70) + " 乙_1"), (3, "b", None), (4, "c", "甲"), (5, "d", "a b"), (6, "d", "x"), (7, "d", "b。a"), (8, "e", "，"), (9, "e", "。")]
+    df = spark.createDataFrame(rows, "result_id bigint, sample_id string, raw_response string")
     monkeypatch.setattr(prepare_queries, "_t", lambda spark, d, name: df)
-    got = {r.row_id: r.apart for r in prepare_queries.set_03_leakage_tokens(spark, "").collect()}
-    assert got == {1: 2 / 3, 2: 0.0, 3: 1.0, 4: 0.0}
+    got = {r.sample_id: r.apart for r in prepare_queries.set_03_leakage(spark, "").collect()}
+    assert got == {"a": 2 / 3, "d": 0.0, "e": 0.0}
 
 
 def test_contracts(spark):

@@ -1,25 +1,36 @@
 """Example pools and scored retrieval of examples for a text.
 
-Candidates meet through event types; a query without a type that another example
-has is scored against the whole pool. N-grams are computed once per text, not
-once per pair.
+A set of queries is ranked against a whole pool in blocks: a chunk of the pool
+and a block of the queries meet in one task, so neither is broadcast and no pair
+of texts becomes a row. In a task, an index over the chunk (an automaton of all
+its names, triggers and keywords, and lists of the examples of each bigram)
+gives the hits and similarities of a query with all examples at once. Of these
+only rows that can still be chosen leave the task: the best ``n`` and the best of
+each combination of event types, which is all that the greedy choice can use.
+Every pair is scored; nothing is cut off.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.functions.text import char_ngrams, jaccard, keywords, strip
+from vellum.functions.text import keywords, retrieval_form, strip
 from vellum.operators.arguments import event_type_list
 
 #: Longest value that serves as a keyword.
 KEYWORD = 12
+#: Examples in a chunk of the pool and queries in a block: what one task holds.
+CHUNK, BLOCK = 8_000, 2_000
 
 
 def example_pool(df: DataFrame, key: str = "row_id", text: str = "text", events: str = "events") -> DataFrame:
-    """(id, text, event_types, triggers, roles, keywords, grams) of rows with events."""
+    """(id, text, event_types, triggers, roles, keywords) of rows with events."""
     real = F.filter(events, lambda e: e.isNotNull())
     some = lambda c: F.array_distinct(F.filter(F.transform(c, lambda x: strip(F.coalesce(x, F.lit("")))), lambda x: x != ""))
     args = F.flatten(F.transform(F.filter(real, lambda e: e["arguments"].isNotNull()), lambda e: F.filter(e["arguments"], lambda a: a.isNotNull())))
@@ -28,12 +39,7 @@ def example_pool(df: DataFrame, key: str = "row_id", text: str = "text", events:
         some(F.transform(real, lambda e: e["trigger"])).alias("triggers"), some(F.transform(args, lambda a: a["role"])).alias("roles"), some(F.transform(args, lambda a: a["argument"])).alias("values"),
     )
     words = F.array_distinct(F.concat("event_types", "triggers", F.filter("values", lambda v: F.char_length(v) <= KEYWORD)))
-    return rows.where(F.size("event_types") > 0).select("id", "text", "event_types", "triggers", "roles", words.alias("keywords"), hashed_grams(F.col("text")).alias("grams"))
-
-
-def hashed_grams(text: Column) -> Column:
-    """Bigrams as numbers, which compare faster than strings."""
-    return F.array_distinct(F.transform(char_ngrams(text), lambda g: F.xxhash64(g)))
+    return rows.where(F.size("event_types") > 0).select("id", "text", "event_types", "triggers", "roles", words.alias("keywords"))
 
 
 def named_types(text: Column, types: list[str], cues: dict[str, list[str]] | None = None) -> Column:
@@ -42,32 +48,137 @@ def named_types(text: Column, types: list[str], cues: dict[str, list[str]] | Non
     return F.filter(out, lambda t: t.isNotNull())
 
 
-def scores(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """(qid, id, score, similarity, …) of each query (qid, text, types) and each other example that shares a type with it, or all others if none does."""
-    q = queries.select("qid", F.col("text").alias("q"), "types", hashed_grams(F.col("text")).alias("qgrams"), keywords(F.col("text")).alias("qwords"))
-    links = q.select("qid", F.explode("types").alias("t")).join(pool.select("id", F.explode("event_types").alias("t")), "t").where("id <> qid").select("qid", "id").distinct()
-    alone = q.join(links.select("qid").distinct(), "qid", "left_anti")
-    both = links.join(q, "qid").join(pool, "id").unionByName(pool.crossJoin(alone).where("id <> qid"))
-    hits = lambda c: F.size(F.filter(c, lambda x: F.col("q").contains(x)))
-    both = both.select(
-        "qid", "id", "event_types", "types", hits("event_types").alias("type_hits"), hits("triggers").alias("trigger_hits"), hits("keywords").alias("keyword_hits"),
-        F.size(F.array_intersect("roles", "qwords")).alias("role_hits"), jaccard(F.col("qgrams"), F.col("grams")).alias("similarity"), F.char_length("text").alias("length"),
-    )
-    score = 14.0 * F.col("type_hits") + 7.0 * F.col("trigger_hits") + 3.0 * F.col("keyword_hits") + 1.5 * F.col("role_hits") + 6.0 * F.col("similarity") - 0.002 * F.col("length")
-    shared = F.size(F.array_intersect("event_types", "types"))
-    extra = F.when(F.size("types") == 0, 0).otherwise(F.size("event_types") - shared)
-    return both.select("*", F.round(score, 9).alias("score"), shared.alias("overlap"), extra.alias("extra"))
-
-
-def top_examples(scored: DataFrame, k: int = 8) -> DataFrame:
-    """(qid, id, place, event_types): the best of each query by focus, score and id."""
-    single = ((F.col("overlap") == 1) & (F.size("event_types") == 1)).cast("int")
-    order = W.partitionBy("qid").orderBy(F.desc(single), F.desc(((F.col("extra") == 0) & (F.col("overlap") > 0)).cast("int")), F.desc("overlap"), "extra", F.desc("score"), F.desc("similarity"), F.desc("id"))
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+def bigrams(form: str) -> np.ndarray:
+    """Distinct bigrams of a retrieval form as numbers; one character is its own only one."""
+    cp = np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique((cp[:-1] << 21) | cp[1:] if len(cp) > 1 else cp)
+
+
+class Postings:
+    """Which examples have which of a number of names."""
+
+    def __init__(self, lists: list[list[str]]) -> None:
+        self.names: dict[str, int] = {}
+        owner, name = [], []
+        for i, values in enumerate(lists):
+            for v in dict.fromkeys(values):
+                owner.append(i)
+                name.append(self.names.setdefault(v, len(self.names)))
+        order = np.argsort(np.array(name, np.int64), kind="stable")
+        self.owner = np.array(owner, np.int64)[order]
+        self.ends = np.cumsum(np.bincount(np.array(name, np.int64), minlength=len(self.names))) if name else np.zeros(0, np.int64)
+        self.size = len(lists)
+
+    def hits(self, names: Iterator[str]) -> np.ndarray:
+        """How many of the names each example has."""
+        at = [self.names[n] for n in names if n in self.names]
+        if not at:
+            return np.zeros(self.size, np.int64)
+        return np.bincount(np.concatenate([self.owner[self.ends[i - 1] if i else 0 : self.ends[i]] for i in at]), minlength=self.size)
+
+
+class Chunk:
+    """Index over a chunk of the pool."""
+
+    def __init__(self, pool: pa.Table, schema: set[str]) -> None:
+        import ahocorasick
+
+        columns = {c: pool.column(c).to_pylist() for c in ("event_types", "triggers", "roles", "keywords")}
+        self.ids, self.length = pool.column("id").to_numpy(), pool.column("length").to_numpy()
+        self.types, self.triggers, self.roles, self.words = (Postings(columns[c]) for c in ("event_types", "triggers", "roles", "keywords"))
+        self.in_schema = Postings([[t for t in ts if t in schema] for ts in columns["event_types"]])
+        self.n_types = np.array([len(set(ts)) for ts in columns["event_types"]], np.int64)
+        self.lists = columns["event_types"]
+        kinds: dict[tuple, int] = {}
+        self.kind = np.array([kinds.setdefault(tuple(sorted(set(ts))), len(kinds)) for ts in self.lists], np.int64)
+        grams = [bigrams(f or "") for f in pool.column("form").to_pylist()]
+        self.n_grams = np.array([len(g) for g in grams], np.int64)
+        flat, owner = np.concatenate([np.zeros(0, np.int64), *grams]), np.repeat(np.arange(len(grams)), self.n_grams)
+        order = np.argsort(flat, kind="stable")
+        self.grams, self.owner = flat[order], owner[order]
+        self.automaton = ahocorasick.Automaton()
+        for name in {*self.types.names, *self.triggers.names, *self.words.names}:
+            self.automaton.add_word(name, name)
+        self.automaton.make_automaton()
+
+    def similarity(self, form: str) -> np.ndarray:
+        """Share of the union of bigrams that a query and each example have in common."""
+        own = bigrams(form)
+        lo, hi = np.searchsorted(self.grams, own, "left"), np.searchsorted(self.grams, own, "right")
+        some = [self.owner[a:b] for a, b in zip(lo, hi) if b > a]
+        shared = np.bincount(np.concatenate(some), minlength=len(self.ids)) if some else np.zeros(len(self.ids), np.int64)
+        return np.where((shared > 0) & (len(own) > 0), shared / np.maximum(1, self.n_grams + len(own) - shared), 0.0)
+
+    def best(self, qid: int, text: str, form: str, types: list[str], words: list[str], constrained: bool, n: int) -> dict[str, np.ndarray]:
+        """Rows of this chunk that can be among the chosen of a query: the first ``n``, and the first of each combination of types."""
+        found = {name for _, name in self.automaton.iter(text)} if len(self.automaton) else set()
+        overlap = self.types.hits(dict.fromkeys(types))
+        keep = (self.ids != qid) & ((overlap > 0) if constrained else True)
+        type_hits, trigger_hits, word_hits, schema_hits = (p.hits(found) for p in (self.types, self.triggers, self.words, self.in_schema))
+        role_hits, near = self.roles.hits(dict.fromkeys(words)), self.similarity(form)
+        score = np.round(12.0 * type_hits + 7.0 * trigger_hits + 3.0 * word_hits + 2.0 * schema_hits + 1.5 * role_hits + 6.0 * near - 0.002 * self.length, 9)
+        extra = self.n_types - overlap if types else np.zeros(len(self.ids), np.int64)
+        focused = (overlap > 0) & (extra == 0)
+        single = focused & (len(set(types)) == 1)
+        at = np.flatnonzero(keep)
+        keys = (self.ids, word_hits + role_hits, trigger_hits, type_hits, near, score, -extra, overlap, focused, single)
+        at = at[np.lexsort([k[at] for k in keys])[::-1]]
+        first = np.unique(self.kind[at], return_index=True)[1]
+        at = at[np.unique(np.concatenate([np.arange(min(n, len(at))), first]))]
+        columns = {"single": single.astype(np.int32), "focused": focused.astype(np.int32), "overlap": overlap, "extra": extra, "score": score, "similarity": near}
+        columns |= {"type_hits": type_hits, "trigger_hits": trigger_hits, "word_hits": word_hits + role_hits, "id": self.ids}
+        return {c: v[at] for c, v in columns.items()} | {"event_types": [self.lists[i] for i in at]}
+
+
+_FIELDS = "qid bigint, single int, focused int, overlap bigint, extra bigint, score double, similarity double, type_hits bigint, trigger_hits bigint, word_hits bigint, id bigint, event_types array<string>"
+_ORDER = ("single", "focused", "overlap", "-extra", "score", "similarity", "type_hits", "trigger_hits", "word_hits", "id")
+
+
+def ranked(queries: DataFrame, pool: DataFrame, n: int = 3, schema: list[str] = (), chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+    """(qid, place, id, score, …) of the examples that can be among the chosen ``n`` of each query (qid, text, types), best first.
+
+    A query with types is ranked against the examples that share one of them, or
+    against all where no other example does; an example is none for itself. Null
+    texts count as empty, null types as none. ``schema``: the known types, whose
+    names in a text count once more.
+    """
+    empty = F.array().cast("array<string>")
+    names = pool.select("id", F.explode("event_types").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    book = names.agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))))  # as many entries as types
+    own = pool.select(F.col("id").alias("qid"), F.col("event_types").alias("own"))
+    q = queries.select(F.col("qid").cast("bigint").alias("qid"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("types", empty).alias("types")).join(own, "qid", "left").withColumn("book", book.scalar())
+    others = lambda t: F.coalesce(F.element_at("book", t), F.lit(0)) - F.when(F.array_contains(F.coalesce("own", empty), t), 1).otherwise(0)
+    q = q.select("qid", "text", retrieval_form(F.col("text")).alias("form"), "types", keywords(F.col("text")).alias("words"), F.exists("types", lambda t: others(t) > 0).alias("constrained"))
+    p = pool.select(F.col("id").cast("bigint").alias("id"), F.char_length("text").cast("double").alias("length"), retrieval_form(F.col("text")).alias("form"), "event_types", "triggers", "roles", "keywords")
+    n_chunks, n_blocks = (max(1, -(-df.count() // size)) for df, size in ((pool, chunk), (queries, block)))
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
+    left = p.select("*", part("id", n_chunks).alias("chunk"), every(n_blocks, "block")).groupBy("chunk", "block")
+    right = q.select("*", part("qid", n_blocks).alias("block"), every(n_chunks, "chunk")).groupBy("chunk", "block")
+    known = set(schema)
+
+    def meet(examples: pa.Table, asked: pa.Table) -> pa.Table:
+        index = Chunk(examples, known) if examples.num_rows and asked.num_rows else None
+        out: dict[str, list] = {f.split()[0]: [] for f in _FIELDS.split(", ")}
+        for row in asked.to_pylist() if index else ():
+            found = index.best(row["qid"], row["text"], row["form"], row["types"], row["words"], row["constrained"], n)
+            out["qid"].append(np.full(len(found["id"]), row["qid"]))
+            for c, v in found.items():
+                out[c].append(v)
+        kinds = {"single": np.int32, "focused": np.int32, "score": np.float64, "similarity": np.float64}
+        arrays = {c: np.concatenate([np.zeros(0, kinds.get(c, np.int64)), *v]).astype(kinds.get(c, np.int64)) for c, v in out.items() if c != "event_types"}
+        lists = pa.array([t for v in out["event_types"] for t in v], pa.list_(pa.string()))
+        return pa.table([*(pa.array(arrays[c]) for c in arrays), lists], names=[*arrays, "event_types"])
+
+    partial = left.cogroup(right).applyInArrow(meet, _FIELDS)
+    order = [F.desc(c) if not c.startswith("-") else F.asc(c[1:]) for c in _ORDER]
+    kind = F.array_sort(F.array_distinct("event_types"))
+    places = partial.withColumn("kind", kind).withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(*order))).withColumn("first", F.row_number().over(W.partitionBy("qid", "kind").orderBy("place")))
+    return places.where((F.col("place") <= n) | (F.col("first") == 1)).drop("kind", "first", "single", "focused")
 
 
 def covering(top: DataFrame, n: int = 3) -> DataFrame:
-    """(qid, ids): by place, first those that add a type, then the rest, up to ``n``."""
+    """(qid, ids) of ``ranked`` rows: by place, first those that add a type, then the rest, up to ``n``."""
     ranked = F.array_sort(F.collect_list(F.struct("place", "id", "event_types")))
     zero = F.struct(F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<string>").alias("seen"))
 

@@ -245,18 +245,19 @@ def ret_01_pool(spark, d):
 def _retrieval(spark, d):
     s = _t(spark, d, "duee_fin_samples")
     pool = RT.example_pool(s.where("split = 'train'"))
-    types = [r[0] for r in _t(spark, d, "schema_roles").select("event_type").distinct().orderBy("event_type").collect()]
+    types = _universe(spark, d)
     queries = s.where("row_id % 100 = 0 and text is not null").select(F.col("row_id").alias("qid"), "text", F.coalesce("event_types", F.array().cast("array<string>")).alias("known"))
     queries = queries.select("qid", "text", F.when(F.size("known") > 0, F.col("known")).otherwise(RT.named_types(F.col("text"), types)).alias("types"))
-    return RT.scores(queries, pool).where("id <> qid")
+    return RT.ranked(queries, pool, schema=types)
 
 
 def ret_04_scores(spark, d):
-    return _retrieval(spark, d).select("qid", "id", "score", "overlap")
+    """Scores of the examples that the choice looks at; every other one scores less."""
+    return _retrieval(spark, d).select("qid", "place", "id", "score", "similarity", "overlap", "type_hits", "trigger_hits", "word_hits")
 
 
 def ret_06_examples(spark, d):
-    return RT.covering(RT.top_examples(_retrieval(spark, d))).select("qid", F.array_join(F.transform("ids", lambda i: i.cast("string")), "|").alias("ids"))
+    return RT.covering(_retrieval(spark, d)).select("qid", F.array_join(F.transform("ids", lambda i: i.cast("string")), "|").alias("ids"))
 
 
 def smp_01_strata(spark, d):
