@@ -182,6 +182,23 @@ def test_contracts(spark):
     assert contracts.differing(df.select("g", F.lit(1.0).alias("v")).distinct(), df.where("g = 'a'").select("g", F.lit(1.0).alias("v")).distinct(), ["g"], "v").count() == 1
 
 
+@pytest.mark.parametrize("parts", [1, 4, 23])
+def test_competence_in_parts_equals_the_recurrence(spark, parts):
+    rnd = random.Random(parts)
+    sizes = {"hot": 3000, "a": 1, "b": 9, "c": 10, "d": 11, "e": 40, "z": 12}
+    rows = [(k, i, rnd.random() * 1.4) for k, n in sizes.items() for i in range(n)] + [(None, 1, 0.5), ("e", 99, None)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, order int, loss double")
+    got = {(r.key, r.step): r.competence for r in competence(df, parts=parts).collect()}
+    assert len(got) == sum(sizes.values())
+    for k in sizes:
+        now = Pace().floor
+        for step, (_, _, loss) in enumerate(sorted(r for r in rows if r[0] == k and r[2] is not None), 1):
+            now = advance(step, now, loss, Pace())
+            assert abs(got[k, step] - now) < 1e-12
+    assert competence(df.limit(0)).count() == 0
+
+
 def test_fold_in_batch_and_stream(spark, tmp_path):
     losses = [(k, i, ((i * 7 + k) % 10) / 10) for k in range(3) for i in range(40)]
     df = spark.createDataFrame(losses, "key bigint, order bigint, loss double")
