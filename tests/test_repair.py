@@ -83,3 +83,10 @@ def test_ngrams(spark):
     df = spark.createDataFrame([("a b,c",), ("甲",), ("",), ("，",), ("aaaa",)], "t string")
     assert [r.x for r in df.select(T.char_ngrams(F.col("t")).alias("x")).collect()] == [["ab", "bc"], ["甲"], [], [], ["aa"]]
     assert [r.x for r in df.select(T.char_ngrams(F.col("t"), 3).alias("x")).collect()] == [["abc"], ["甲"], [], [], ["aaa"]]
+
+
+def test_text_after_a_value_makes_it_no_json(spark):
+    texts = ['[{"a": 1}]', '[{"a": 1}] 以上', '{"a": 1}\n{"a": 2}', "[1], [2]", "1, 2", "null", "", "[1,]", ' "x" ', None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    kinds = [r[0] for r in df.select(J.top_kind(F.col("t"))).collect()]
+    assert kinds == ["array", None, None, None, None, "other", None, None, "other", None]

@@ -58,6 +58,16 @@ def fix_single_quotes(c: Column) -> Column:
     return F.regexp_replace(c, r"'([^']+)'(\s*:)", '"$1"$2')
 
 
+def value(json: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; null otherwise.
+
+    The parser stops at the end of a value and lets text after it pass, so the
+    text is read as the only element of a list.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), json, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
+
+
 def ladder(json: Column) -> Column:
     """The text as it is and after each further repair; every rung is computed once."""
     repairs = [normalize_punctuation, fix_trailing_comma, remove_control_characters, fix_unclosed_brackets, fix_single_quotes]
@@ -75,19 +85,19 @@ def parsed(json: Column) -> Column:
 
     The rungs are one array, so each repair is written into the plan once.
     """
-    rungs = F.transform(ladder(json), lambda x, i: F.struct(x.alias("json"), i.alias("n_repairs"), F.try_parse_json(x).isNotNull().alias("ok")))
+    rungs = F.transform(ladder(json), lambda x, i: F.struct(x.alias("json"), i.alias("n_repairs"), value(x).isNotNull().alias("ok")))
     return F.get(F.filter(rungs, lambda r: r["ok"]), F.lit(0))
 
 
 def top_kind(json: Column) -> Column:
     """array, object or other of a JSON text; null of what is no JSON."""
-    kind = F.schema_of_variant(F.try_parse_json(json))
+    kind = F.schema_of_variant(value(json))
     return F.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind.isNotNull(), "other")
 
 
 def event_texts(json: Column) -> Column:
     """JSON texts of the event objects in a value: a list's objects, an object's ``events``, or the object itself."""
-    v = F.try_parse_json(json)
+    v = value(json)
     body = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).when(
         F.try_variant_get(v, "$.events", "array<variant>").isNotNull(), F.try_variant_get(v, "$.events", "array<variant>")
     ).when(F.schema_of_variant(v).startswith("OBJECT"), F.array(v))

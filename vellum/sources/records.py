@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.jsonops import value as one_value
 from vellum.functions.text import strip, truncated
 
 EVENT = "struct<event_type:string,trigger:string,arguments:array<struct<role:string,argument:string>>>"
@@ -22,7 +23,7 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_samples(spark: SparkSession, path: str, limit: int = 3500, strict: bool = True) -> DataFrame:
     """(id, text, events, event_types) of annotated samples; a broken line or empty text is an error, or with ``strict`` off is left out."""
     rows = json_lines(spark, path).select("value", F.from_json("value", SAMPLE, {"mode": "PERMISSIVE"}).alias("r"))
-    bad = F.try_parse_json("value").isNull() | (strip(F.coalesce("r.text", F.lit(""))) == "")
+    bad = one_value(F.col("value")).isNull() | (strip(F.coalesce("r.text", F.lit(""))) == "")
     if strict:
         rows = rows.where(F.when(bad, F.raise_error(F.concat(F.lit("bad sample: "), F.substring("value", 1, 80))).cast("boolean")).otherwise(F.lit(True)))
     else:
