@@ -24,16 +24,29 @@ from vellum.sources import records as S
 from vellum.sources.tables import table
 from vellum.streaming.competence import competence, windowed_counts
 
-#: Roles whose several values make several records.
-PRIMARY = {"监管约谈": "被约谈公司", "增持股份": "增持股东", "减持股份": "减持股东", "股权质押": "质押股东", "质押解除": "解押股东"}
-#: Patterns that fill missing roles.
-PATTERNS = {"回购股份": {"回购股数": r"回购(?:数量)?(?:为|达)?(\d[\d,\.]*(?:亿|万)?股)"}, "股权融资": {"融资额": r"金额(\d[\d,\.]*(?:亿|万)?(?:元|美元))"}}
+#: Numbers of shares in a text: what a missing role whose name ends with ``SHARE_ROLE`` can be filled with.
+SHARES, SHARE_ROLE = r"(\d[\d,\.]*(?:亿|万)?股)", "股数"
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return table(spark, d, name)
 
 
+def _primary(spark, d):
+    """The first role of each event type of the schema, which is one table of fixed size."""
+    rows = _t(spark, d, "schema_roles").where("role_pos = 0").select("event_type", "role").collect()
+    return {r[0]: r[1] for r in rows}
+
+
+def _patterns(spark, d):
+    """For each event type that has one role for a number of shares, the pattern of such numbers."""
+    rows = _t(spark, d, "schema_roles").where(F.col("role").endswith(SHARE_ROLE)).select("event_type", "role").collect()
+    by_type: dict[str, list[str]] = {}
+    for kind, role in rows:
+        by_type.setdefault(kind, []).append(role)
+    return {kind: {roles[0]: SHARES} for kind, roles in by_type.items() if len(roles) == 1}
+
+
 def _texts(spark, d):
     return S.text_index(_t(spark, d, "duee_fin_samples"))
 
@@ -133,23 +146,23 @@ def rep_02_cat_lite(spark, d):
 
 
 def rep_03_corrected(spark, d):
-    c = R.correct_records(_with_text(spark, d, True), _t(spark, d, "schema_roles"), _t(spark, d, "role_alias"), PRIMARY, PATTERNS)
+    c = R.correct_records(_with_text(spark, d, True), _t(spark, d, "schema_roles"), _t(spark, d, "role_alias"), _primary(spark, d), _patterns(spark, d))
     return c.select("result_id", F.size("corrected").cast("bigint").alias("n_records"), F.col("n_split").cast("bigint").alias("n_split"))
 
 
 def rep_04_candidates(spark, d):
-    v = R.role_candidates(F.col("text"), PATTERNS["回购股份"]["回购股数"])
+    v = R.role_candidates(F.col("text"), SHARES)
     return _t(spark, d, "duee_fin_samples").where("text is not null").select("row_id", F.array_join(v, "|").alias("found")).where("found <> ''")
 
 
 def rep_05_record_split(spark, d):
     ok = F.filter(F.coalesce("prediction", F.array()), lambda e: e.isNotNull())
     clean = F.transform(ok, lambda e: F.struct(F.coalesce(e["event_type"], F.lit("")).alias("event_type"), e["trigger"].alias("trigger"), R.filled_args(e["arguments"]).alias("arguments")))
-    return _t(spark, d, "evaluation_results").select("result_id", F.size(ok).cast("bigint").alias("n_before"), F.size(R.split_records(clean, PRIMARY)).cast("bigint").alias("n_after"))
+    return _t(spark, d, "evaluation_results").select("result_id", F.size(ok).cast("bigint").alias("n_before"), F.size(R.split_records(clean, _primary(spark, d))).cast("bigint").alias("n_after"))
 
 
 def rep_06_pipeline(spark, d):
-    c = R.correct_records(_with_text(spark, d, True), _t(spark, d, "schema_roles"), _t(spark, d, "role_alias"), PRIMARY)
+    c = R.correct_records(_with_text(spark, d, True), _t(spark, d, "schema_roles"), _t(spark, d, "role_alias"), _primary(spark, d))
     k = R.cat_lite(c.select("result_id", "text", F.col("corrected").alias("prediction")), _t(spark, d, "schema_roles"))
     return k.select("result_id", F.size("kept").cast("bigint").alias("n_events"), "dropped_events", "dropped_args")
 
@@ -581,7 +594,7 @@ ORACLES = {
     k AS (SELECT a.doc_id, a.event_idx FROM args a JOIN b ON b.doc_id = a.doc_id WHERE side='pred' AND {_ST('role')} <> '' AND {_ST('argument')} <> '' AND ({_ST('event_type')}, {_ST('role')}) IN (SELECT (event_type, role) FROM schema_roles) AND contains(b.body, lower(regexp_replace(argument, '{T.SPACE}+', '', 'g')))),
     s AS (SELECT doc_id, count(DISTINCT event_idx) AS n_events, count(*) AS n_args FROM k GROUP BY doc_id) SELECT result_id, coalesce(n_events, 0) AS n_events, coalesce(n_args, 0) AS n_args FROM evaluation_results LEFT JOIN s ON s.doc_id = result_id""",
     "rep_05_record_split": BASE
-    + f""", pm AS (SELECT * FROM (VALUES {', '.join(f"('{k}','{v}')" for k, v in PRIMARY.items())}) t(event_type, role)), n AS (SELECT e.doc_id, e.event_idx, count(DISTINCT CASE WHEN {_ST('a.role')} = pm.role AND {_ST('a.argument')} <> '' THEN {_ST('a.argument')} END) AS n FROM ev e LEFT JOIN pm ON pm.event_type = e.event_type LEFT JOIN args a ON a.doc_id=e.doc_id AND a.side=e.side AND a.event_idx=e.event_idx WHERE e.side='pred' GROUP BY ALL),
+    + f""", pm AS (SELECT event_type, role FROM schema_roles WHERE role_pos = 0), n AS (SELECT e.doc_id, e.event_idx, count(DISTINCT CASE WHEN {_ST('a.role')} = pm.role AND {_ST('a.argument')} <> '' THEN {_ST('a.argument')} END) AS n FROM ev e LEFT JOIN pm ON pm.event_type = e.event_type LEFT JOIN args a ON a.doc_id=e.doc_id AND a.side=e.side AND a.event_idx=e.event_idx WHERE e.side='pred' GROUP BY ALL),
     s AS (SELECT doc_id, count(*) AS b, CAST(sum(greatest(1, n)) AS BIGINT) AS a FROM n GROUP BY doc_id) SELECT result_id, coalesce(b, 0) AS n_before, coalesce(a, 0) AS n_after FROM evaluation_results LEFT JOIN s ON s.doc_id = result_id""",
     "txt_06_bigrams": f"WITH t AS (SELECT row_id, {_RF.format('title')} AS a, {_RF.format('text')} AS b FROM duee_fin_samples WHERE title IS NOT NULL AND text IS NOT NULL), g AS (SELECT row_id, {_BI.format('a')} AS a, {_BI.format('b')} AS b FROM t) SELECT row_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a,b)) / CAST(len(list_distinct(list_concat(a,b))) AS DOUBLE) ELSE 0.0e0 END AS similarity FROM g",
     "txt_07_keywords": "SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}A-Za-z0-9]{2,}')), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "))) AS BIGINT) AS n_keywords FROM documents WHERE text IS NOT NULL",
@@ -649,7 +662,7 @@ ORACLES |= {
     "trn_02_negative_types": f"""WITH u AS (SELECT list_sort(list(DISTINCT event_type)) AS u FROM schema_roles), g AS (SELECT row_id, coalesce({_GTYPES}, []) AS g, u, list_filter(u, lambda x: NOT list_contains(coalesce({_GTYPES}, []), x)) AS o FROM duee_fin_samples, u),
     s AS (SELECT row_id, g, u, o, list_transform(g, lambda t, i: o[{_NUM.format("row_id || ':' || t || ':' || (i-1)")} % greatest(len(o), 1) + 1]) AS sw FROM g)
     SELECT row_id, array_to_string(CASE WHEN len(g) = 0 THEN [u[{_NUM.format("row_id || ':negative-empty'")} % len(u) + 1]] WHEN len(o) > 0 THEN list_filter(sw, lambda x, i: list_position(sw, x) = i) ELSE g[1:greatest(len(g)-1, 0)] END, '|') AS types FROM s""",
-    "rep_04_candidates": "WITH f AS (SELECT row_id, list_filter(list_transform(regexp_extract_all(text, '回购(?:数量)?(?:为|达)?(\\d[\\d,\\.]*(?:亿|万)?股)', 1), lambda v: regexp_replace(v, '^[ ：:，,。；;]+|[ ：:，,。；;]+$', '', 'g')), lambda v: v <> '') AS v FROM duee_fin_samples WHERE text IS NOT NULL) SELECT row_id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '|') AS found FROM f WHERE len(v) > 0",
+    "rep_04_candidates": "WITH f AS (SELECT row_id, list_filter(list_transform(regexp_extract_all(text, '(\\d[\\d,\\.]*(?:亿|万)?股)', 1), lambda v: regexp_replace(v, '^[ ：:，,。；;]+|[ ：:，,。；;]+$', '', 'g')), lambda v: v <> '') AS v FROM duee_fin_samples WHERE text IS NOT NULL) SELECT row_id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '|') AS found FROM f WHERE len(v) > 0",
 }
 _PREFIXES = ("src", "snk", "flt", "jsn", "rep", "txt", "prj", "ret", "smp", "trn", "neg", "agg", "grf", "stm", "win", "sta", "join", "val", "mth", "set", "srt", "tpch")
 QUERIES = {n: f for n, f in globals().items() if n.split("_")[0] in _PREFIXES and callable(f)}
