@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from conftest import EVENT, event
@@ -40,13 +41,29 @@ def test_structure_errors(spark):
     assert got == [(1, 0, -1, "event_not_object"), (1, 1, -1, "arguments_not_list"), (1, 1, -1, "missing_event_type"), (1, 2, 0, "argument_not_object"), (1, 2, 1, "missing_argument"), (2, -1, -1, "root_not_list")]
 
 
-def test_windows_cover_the_text(spark):
-    texts = ["", "短", "x" * 400, "y" * 1234, None]
-    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
-    seen: dict[int, set[int]] = {}
-    for r in reasoning.text_windows(df, "k", "t").collect():
-        seen.setdefault(r.k, set()).update(range(r.start, r.start + len(r.window)))
-    assert {k: len(v) for k, v in seen.items()} == {1: 1, 2: 400, 3: 1234}
+def windows(n, statement):
+    """The rule as a loop: sizes by the statement, half overlaps, short tails left out, an end at the text's end."""
+    size = max(100, 512 - statement - 20)
+    if n <= size:
+        return [(0, n)]
+    out = []
+    for start in range(0, n, max(size // 2, 100)):
+        end = min(start + size, n)
+        if end - start >= 50:
+            out.append((start, end - start))
+        if end >= n:
+            break
+    return out
+
+
+def test_windows_are_sized_by_the_statement(spark):
+    rnd = random.Random(2)
+    rows = [(i, "x" * rnd.choice([1, 99, 100, 101, 149, 400, 492, 493, 1234, 5000]), "s" * rnd.choice([0, 10, 391, 392, 400, 2000])) for i in range(80)] + [(90, None, "s"), (91, "", "s"), (92, "x" * 700, None)]
+    df = spark.createDataFrame(rows, "k int, t string, s string")
+    got: dict = {}
+    for r in reasoning.text_windows(df, "k", "t", F.col("s")).collect():
+        got.setdefault(r.k, []).append((r.start, len(r.window)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: windows(len(t), len(s or "")) for k, t, s in rows if t}
 
 
 def test_mix_keeps_floors():

@@ -83,12 +83,23 @@ def structure_errors(payloads: DataFrame, path: str = "$.prediction", key: str =
     return root.unionByName(head).unionByName(tail)
 
 
-def text_windows(df: DataFrame, key: str, text: str, size: int = 400, least: int = 50) -> DataFrame:
-    """(key, start, window): half-overlapping windows of a text; a tail shorter than ``least`` is covered by the one before."""
-    step = max(size // 2, 100)
-    n = F.char_length(text)
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.ceil((n - size) / F.lit(step)).cast("int"), F.lit(0)) * step, F.lit(step)))
-    rows = df.where(n > 0).select(key, text, F.explode(starts).alias("start"))
-    return rows.select(key, "start", F.substring(text, F.col("start") + 1, F.lit(size)).alias("window")).where((F.col("start") == 0) | (F.char_length("window") >= least))
+def window_starts(length: Column, size: Column, least: int = 50) -> Column:
+    """Starts of half-overlapping windows over a text: one for a text that fits, else up to the first that reaches the end; a tail under ``least`` is left to the one before."""
+    step = F.greatest(F.floor(size / 2).cast("int"), F.lit(100))
+    last = F.ceil(F.greatest(length - size, F.lit(0)) / step).cast("int") * step
+    starts = F.when(length <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last, step))
+    return F.filter(starts, lambda s: (s == 0) | (F.least(size, length - s) >= least))
+
+
+def window_size(statement: Column, room: int = 512, extra: int = 20, smallest: int = 100) -> Column:
+    """Room that a statement of so many characters leaves for the text beside it."""
+    return F.greatest(F.lit(smallest), F.lit(room - extra) - statement).cast("int")
+
+
+def text_windows(df: DataFrame, key: str, text: str, statement: Column) -> DataFrame:
+    """(key, start, window): windows of a text, sized by the ``statement`` that is checked against it; a null or empty text has none."""
+    rows = df.where(F.char_length(text) > 0).select(key, text, window_size(F.coalesce(F.char_length(statement), F.lit(0))).alias("size"))
+    rows = rows.select(key, text, "size", F.explode(window_starts(F.char_length(text), F.col("size"))).alias("start"))
+    return rows.select(key, "start", F.substring(text, F.col("start") + 1, F.col("size")).alias("window"))
 
 

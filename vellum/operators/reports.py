@@ -41,7 +41,7 @@ def best(rows: DataFrame, metric: str, order: str) -> DataFrame:
     return rows.orderBy(F.desc(metric), order).limit(1)
 
 
-def explained_ratio(rows: DataFrame, by: str, per: Column, many: float = 1.5) -> DataFrame:
-    """(by, n, ratio, many): rows per unit of a group and whether it exceeds a bound."""
-    g = rows.groupBy(by).agg(F.count("*").alias("n"), safe_div(F.sum(per), F.count("*")).alias("ratio"))
-    return g.withColumn("many", F.col("ratio") > many)
+def logged_ratio(rows: DataFrame, by: str, sample: str) -> DataFrame:
+    """(by, n_rows, n_samples, ratio, differ): logged rows per distinct sample, and whether the two counts differ."""
+    g = rows.groupBy(by).agg(F.count("*").alias("n_rows"), F.count_distinct(sample).alias("n_samples"))
+    return g.select("*", safe_div(F.col("n_rows"), F.col("n_samples")).alias("ratio"), (F.col("n_rows") != F.col("n_samples")).alias("differ"))

@@ -53,8 +53,10 @@ def flt_03_structure(spark, d):
 
 
 def sta_00_windows(spark, d):
-    w = RE.text_windows(table(spark, d, "duee_fin_samples").where("text is not null"), "row_id", "text")
-    return w.groupBy("row_id").agg(F.count("*").alias("n_windows"), F.max("start").alias("last_start"))
+    """Windows of each result's text, sized by the answer that is checked against it."""
+    rows = PQ._with_text(spark, d).select("result_id", "text", "raw_response")
+    w = RE.text_windows(rows, "result_id", "text", F.col("raw_response"))
+    return w.groupBy("result_id").agg(F.count("*").alias("n_windows"), F.max("start").alias("last_start"))
 
 
 def neg_01_confusing_types(spark, d):
@@ -111,7 +113,11 @@ def set_04_char_jaccard(spark, d):
 
 
 def agg_21_run_table(spark, d):
-    return SQ.agg_20_diagnostics(spark, d).na.fill(0.0, ["coverage_rate", "exact_rate", "miss_rate", "over_rate"])
+    """As agg_20 with 0 where there are no two-stage rows, and the share of those that predict no type at all."""
+    runs = table(spark, d, "eval_runs").select("run_key", "stage_mode")
+    two = _r(spark, d).join(F.broadcast(runs.where("stage_mode like 'two_stage%'")), "run_key")
+    none = two.groupBy("run_key").agg(F.avg((F.coalesce(F.size(A.event_type_list(F.col("prediction"))), F.lit(0)) <= 0).cast("double")).alias("stage1_empty_rate"))
+    return SQ.agg_20_diagnostics(spark, d).join(none, "run_key", "left").na.fill(0.0, ["coverage_rate", "exact_rate", "miss_rate", "over_rate", "stage1_empty_rate"])
 
 
 def agg_23_counter_totals(spark, d):
@@ -120,14 +126,19 @@ def agg_23_counter_totals(spark, d):
 
 
 def agg_25_events_per_sample(spark, d):
-    n = F.greatest(F.coalesce(F.size("events"), F.lit(0)), F.lit(0))
-    return RP.explained_ratio(table(spark, d, "duee_fin_samples"), "source", n)
+    """Logged rows per sample of each run's result lines, and whether rows and samples differ, which then needs a note."""
+    lines = table(spark, d, "result_lines").select("run_key", F.get_json_object("payload", "$.id").alias("id"))
+    return RP.logged_ratio(lines, "run_key", "id")
 
 
 def agg_31_efficiency(spark, d):
-    c = _r(spark, d).groupBy("run_key").agg(F.sum(F.coalesce(F.char_length("raw_response"), F.lit(0))).alias("tokens"), F.count("*").alias("seconds"))
+    """Scores per token of the lines that give their usage, and per minute from a run's first to its last evaluation."""
+    use = lambda k: F.coalesce(F.get_json_object("payload", f"$.usage.{k}").cast("bigint"), F.lit(0))
+    tokens = table(spark, d, "result_lines").groupBy("run_key").agg(F.sum(use("prompt_tokens") + use("completion_tokens")).alias("tokens"))
+    span = _r(spark, d).groupBy("run_key").agg(F.timestamp_diff("SECOND", F.min("evaluated_at"), F.max("evaluated_at")).alias("seconds"))
     m = SQ._run_metrics(spark, d).where("metric = 'f1'").select("run_key", F.col("value").alias("f1"))
-    return RP.efficiency(m.join(c, "run_key")).select("run_key", F.round("f1_per_1k_tokens", 9).alias("f1_per_1k_tokens"), F.round("f1_per_minute", 9).alias("f1_per_minute"))
+    rows = RP.efficiency(m.join(tokens, "run_key", "left").join(span, "run_key", "left"))
+    return rows.select("run_key", F.round("f1_per_1k_tokens", 9).alias("f1_per_1k_tokens"), F.round("f1_per_minute", 9).alias("f1_per_minute"))
 
 
 def agg_32_stage_histogram(spark, d):
@@ -169,7 +180,7 @@ def neg_05_retry_chain(spark, d):
 BASE, _ST = SQ.BASE, SQ._strip
 _REAL = "list_filter(prediction, lambda e: e IS NOT NULL)"
 ORACLES = {
-    "sta_00_windows": "WITH n AS (SELECT row_id, length(text) AS n FROM duee_fin_samples WHERE length(text) > 0), k AS (SELECT row_id, n, CASE WHEN n <= 400 THEN 0 ELSE CAST(ceil((n - 400) / 200.0) AS INT) END AS k FROM n), s AS (SELECT row_id, n, unnest(range(0, k + 1)) * 200 AS st FROM k) SELECT row_id, count(*) AS n_windows, CAST(max(st) AS INT) AS last_start FROM s WHERE st = 0 OR least(400, n - st) >= 50 GROUP BY row_id",
+    "sta_00_windows": f"WITH {PQ._TX}, r AS (SELECT result_id, length(t.text) AS n, greatest(100, 492 - coalesce(length(raw_response), 0)) AS z FROM evaluation_results r JOIN texts t ON t.id = r.sample_id), w AS (SELECT *, greatest(z // 2, 100) AS st FROM r), k AS (SELECT *, CASE WHEN n <= z THEN 0 ELSE CAST(ceil((n - z) / CAST(st AS DOUBLE)) AS BIGINT) END AS k FROM w), s AS (SELECT result_id, n, z, unnest(range(0, k + 1)) * st AS x FROM k) SELECT result_id, count(*) AS n_windows, CAST(max(x) AS INT) AS last_start FROM s WHERE x = 0 OR least(z, n - x) >= 50 GROUP BY result_id",
     "neg_04_shares": "WITH t AS (SELECT event_id, 4e0 - 3e0 * value / 500 AS t FROM events), "
     + "m AS (SELECT * FROM (VALUES "
     + ", ".join(f"({i}, {', '.join(repr(float(x)) + 'e0' for x in CU.mix(b, (0.3, 0.5, 0.2), (0.1, 0.05)))})" for i, b in enumerate(CU.BASE))
@@ -182,10 +193,10 @@ ORACLES = {
     "set_01_algebra": BASE + ", g AS (SELECT DISTINCT event_type, role, argument FROM strict WHERE side='gold'), p AS (SELECT DISTINCT event_type, role, argument FROM strict WHERE side='pred') SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM g INTERSECT SELECT * FROM p) UNION ALL SELECT 'gold_only', count(*) FROM (SELECT * FROM g EXCEPT SELECT * FROM p) UNION ALL SELECT 'pred_only', count(*) FROM (SELECT * FROM p EXCEPT SELECT * FROM g) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM g UNION SELECT * FROM p)",
     "set_02_type_universe": BASE + "SELECT event_type FROM etypes UNION SELECT event_type FROM schema_roles",
     "set_04_char_jaccard": "WITH c AS (SELECT issuer_code, list_distinct(list_filter(string_split(full_name,''), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(short_name,''), lambda x: x <> '')) AS b FROM issuers) SELECT issuer_code, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a,b)) / CAST(len(list_distinct(list_concat(a,b))) AS DOUBLE) ELSE 0e0 END AS similarity FROM c",
-    "agg_21_run_table": f"SELECT * REPLACE (coalesce(coverage_rate,0) AS coverage_rate, coalesce(exact_rate,0) AS exact_rate, coalesce(miss_rate,0) AS miss_rate, coalesce(over_rate,0) AS over_rate) FROM ({SQ.ORACLES['agg_20_diagnostics']})",
+    "agg_21_run_table": f"WITH d AS ({SQ.ORACLES['agg_20_diagnostics']}), e AS (SELECT r.run_key, avg(CAST(len(coalesce({SQ._types_list('prediction')}, [])) = 0 AS DOUBLE)) AS x FROM evaluation_results r JOIN eval_runs u ON u.run_key = r.run_key WHERE u.stage_mode LIKE 'two_stage%' GROUP BY r.run_key) SELECT d.* REPLACE (coalesce(coverage_rate,0) AS coverage_rate, coalesce(exact_rate,0) AS exact_rate, coalesce(miss_rate,0) AS miss_rate, coalesce(over_rate,0) AS over_rate), coalesce(x, 0) AS stage1_empty_rate FROM d LEFT JOIN e ON e.run_key = d.run_key",
     "agg_23_counter_totals": "WITH s AS (SELECT result_id, unnest(parse_diagnostics.repair_steps) AS s FROM evaluation_results) SELECT s AS name, count(DISTINCT result_id) AS total FROM s WHERE s IS NOT NULL GROUP BY s",
-    "agg_25_events_per_sample": "SELECT source, count(*) AS n, CAST(sum(coalesce(len(events),0)) AS DOUBLE) / count(*) AS ratio, CAST(sum(coalesce(len(events),0)) AS DOUBLE) / count(*) > 1.5 AS many FROM duee_fin_samples GROUP BY source",
-    "agg_31_efficiency": BASE + ", c AS (SELECT run_key, sum(coalesce(length(raw_response),0)) AS t, count(*) AS s FROM evaluation_results GROUP BY run_key) SELECT c.run_key, round(CASE WHEN t > 0 THEN f1*1000/t END, 9) AS f1_per_1k_tokens, round(CASE WHEN s > 0 THEN f1*60/s END, 9) AS f1_per_minute FROM c JOIN runm1 m ON m.run_key = c.run_key",
+    "agg_25_events_per_sample": "WITH l AS (SELECT run_key, CAST(payload AS JSON) ->> '$.id' AS id FROM result_lines) SELECT run_key, count(*) AS n_rows, count(DISTINCT id) AS n_samples, CASE WHEN count(DISTINCT id) > 0 THEN CAST(count(*) AS DOUBLE) / count(DISTINCT id) ELSE 0.0e0 END AS ratio, count(*) <> count(DISTINCT id) AS differ FROM l GROUP BY run_key",
+    "agg_31_efficiency": BASE + ", t AS (SELECT run_key, sum(coalesce(CAST(CAST(payload AS JSON) ->> '$.usage.prompt_tokens' AS BIGINT), 0) + coalesce(CAST(CAST(payload AS JSON) ->> '$.usage.completion_tokens' AS BIGINT), 0)) AS t FROM result_lines GROUP BY run_key), s AS (SELECT run_key, (epoch_us(max(evaluated_at)) - epoch_us(min(evaluated_at))) // 1000000 AS s FROM evaluation_results GROUP BY run_key) SELECT m.run_key, round(CASE WHEN t > 0 THEN f1*1000/t END, 9) AS f1_per_1k_tokens, round(CASE WHEN s > 0 THEN f1*60/s END, 9) AS f1_per_minute FROM runm1 m LEFT JOIN t ON t.run_key = m.run_key LEFT JOIN s ON s.run_key = m.run_key",
     "agg_32_stage_histogram": f"SELECT stage, count(*) AS n FROM ({PQ.ORACLES['trn_01_stages']}) GROUP BY stage",
     "agg_35_report_metrics": BASE + "SELECT run_key, metric, round(value, 9) AS value FROM runm",
     "srt_06_best_run": BASE + "SELECT run_key, value FROM runm WHERE metric = 'f1' ORDER BY value DESC, run_key LIMIT 1",
