@@ -116,7 +116,7 @@ def test_all_arguments_of_a_type_and_role_are_compared(spark, monkeypatch):
     monkeypatch.setattr(score_queries, "_args", lambda spark, d: args)
     got = {(r.doc_id, r.pred, r.gold): r.overlap for r in score_queries.txt_04_span_overlap(spark, "").collect()}
     assert got == {(1, "甲乙", "甲丙"): 1 / 3, (1, "xyz", "xy"): 2 / 3, (1, "q", "xy"): 0.0}
-    assert {(r.pred, r.gold): r.matches for r in score_queries.txt_05_relaxed_arguments(spark, "").collect()} == {("甲乙", "甲丙"): False, ("xyz", "xy"): True, ("q", "xy"): False}
+    assert {(r.pred, r.gold): r.matches for r in score_queries.txt_05_relaxed_pairs(spark, "").collect()} == {("甲乙", "甲丙"): False, ("xyz", "xy"): True, ("q", "xy"): False}
 
 
 def test_relaxed_match_edges(spark):
@@ -136,3 +136,23 @@ def test_aggregate_runs_of_one(spark):
     df = spark.createDataFrame([("m", 0.5)], "metric string, value double")
     x = one(S.aggregate_runs(df))
     assert (x["std"], x["median"], x["low"], x["high"]) == (0.0, 0.5, 0.5, 0.5)
+
+
+def test_counts_in_the_row_equal_those_of_the_tables(spark):
+    rnd = random.Random(9)
+    make = lambda: rnd.choice([None, [], [None if rnd.random() < 0.1 else event(rnd.choice(["t", "u", "", None]), *[(rnd.choice(["a", "b", ""]), rnd.choice(["1", "12", "2 1", "", None])) for _ in range(rnd.randint(0, 4))]) for _ in range(rnd.randint(1, 4))]])
+    r = results(spark, [(i, make(), make()) for i in range(60)])
+    got = {x.doc_id: x for x in S.sample_counts(r).collect()}
+    fit = {x.doc_id: x.n for x in M.first_fit(A.relaxed_pairs(A.arguments(r))).groupBy("doc_id").agg(F.sum("tp").alias("n")).collect()}
+    role = {x.doc_id: (x.tp, x.tp + x.fp, x.tp + x.fn) for x in M.counted(M.assigned(r), "doc_id").collect()}
+    same = {x.doc_id: (x.tp, x.tp + x.fp, x.tp + x.fn) for x in M.multiset_overlap(r, True).collect()}
+    for i in range(60):
+        x = got[i]
+        assert x.relaxed_tp == fit.get(i, 0)
+        assert (x.doc_role_tp, x.doc_role_pred_total, x.doc_role_gold_total) == role.get(i, (0, 0, 0))
+        assert (x.doc_instance_tp, x.doc_instance_pred_total, x.doc_instance_gold_total) == same.get(i, (0, 0, 0))
+
+
+def test_carried_columns_come_along(spark):
+    r = results(spark, [(1, [event("t", ("a", "1"))], None)]).withColumn("run", F.lit("x"))
+    assert A.arguments(r, ("run",)).first().run == "x" and M.row_match(r, A.strict_keys, carried=("run",)).first().run == "x"
