@@ -133,3 +133,21 @@ def test_staged_tables_can_be_cleared(spark):
     staging.clear(spark)
     with pytest.raises(Exception):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_settings_rules():
+    ok = {"model": {"source": " Local "}, "a": 1, "b": None}
+    assert settings.breaches(ok, ["a", "model.source"], {"model.source": ("local",)}, {"old": "gone"}, [("a", "b")]) == []
+    bad = settings.breaches({"model": {"source": "x"}, "old": 0, "a": 1, "b": 2}, ["c.d", "a"], {"model.source": ("local",), "e": ("f",)}, {"old": "gone"}, [("a", "b")])
+    assert [x.split(",")[0].split(":")[0] for x in bad] == ["missing setting c.d", "unsupported model.source", "old is no longer supported", "a and b exclude each other"]
+    with pytest.raises(ValueError, match="c.d"):
+        settings.checked({}, ["c.d"], {}, {})
+    assert settings.resolved({"m": "x"}, {"m": "y", "n": "z"}, {"m": "d", "n": "d", "o": "d"}, {"m": ("x",)}) == {"m": "x", "n": "z", "o": "d"}
+    with pytest.raises(ValueError):
+        settings.resolved({"m": "q"}, {}, {"m": "d"}, {"m": ("x",)})
+    assert settings.postprocess_settings({"enabled": False})["enabled"] is False and len(settings.postprocess_settings(None)) == 9
+    assert settings.resume_plan(None)["mode"] == "fresh_start" and settings.resume_plan({"warm_start_from_checkpoint": "p"})["restores_training_state"] is False
+    assert settings.resume_plan({"resume_training_from": "p"}) == {"mode": "resume_training", "checkpoint_path": "p", "restores_training_state": True}
+    for broken in ({"resume_from_checkpoint": "p"}, {"resume_training_from": "p", "warm_start_from_checkpoint": "q"}):
+        with pytest.raises(ValueError):
+            settings.resume_plan(broken)

@@ -167,6 +167,16 @@ def test_retrieval_equals_brute_force(spark, chunk, block):
     assert retrieval.ranked(q, pool.limit(0)).count() == 0 and retrieval.ranked(q.limit(0), pool).count() == 0
 
 
+def test_selection_modes(spark):
+    pool = retrieval.example_pool(spark.createDataFrame([(i, "甲公司" + t, [event(t)]) for i, t in enumerate(["质押", "中标", "回购", "质押"])], f"row_id bigint, text string, events array<{EVENT}>"))
+    q = spark.createDataFrame([(8, "乙公司中标", ["中标"]), (9, " ", None)], "qid bigint, text string, types array<string>")
+    ids = lambda m, n, p=pool: {r.qid: r.ids for r in retrieval.selected(q, p, m, n).collect()}
+    assert ids("static", 2) == {8: [0, 1], 9: [0, 1]} and ids("static", 0) == {8: [0], 9: [0]} and ids("static", 9) == {8: [0, 1, 2, 3], 9: [0, 1, 2, 3]}
+    assert ids("dynamic", 1) == {8: [1], 9: [0]} and ids("static", 2, pool.limit(0)) == {8: [], 9: []}
+    with pytest.raises(ValueError):
+        retrieval.selected(q, pool, "best")
+
+
 def test_leakage_takes_the_words_of_two_whole_answers(spark, monkeypatch):
     rows = [(1, "a", "甲 乙_1"), (2, "a", "，".join(["词"] * 70) + " 乙_1"), (3, "b", None), (4, "c", "甲"), (5, "d", "a b"), (6, "d", "x"), (7, "d", "b。a"), (8, "e", "，"), (9, "e", "。")]
     df = spark.createDataFrame(rows, "result_id bigint, sample_id string, raw_response string")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from conftest import EVENT, event
 from pyspark.sql import functions as F
 
@@ -90,3 +91,19 @@ def test_text_after_a_value_makes_it_no_json(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     kinds = [r[0] for r in df.select(J.top_kind(F.col("t"))).collect()]
     assert kinds == ["array", None, None, None, None, "other", None, None, "other", None]
+
+
+def test_fragments_are_joined_in_their_place(spark):
+    kind = f"i int, prediction array<{EVENT}>, text string"
+    rows = [
+        (1, [event("t", ("n", "3"), ("x", "y"), ("n", "648"), ("n", "520股"), ("m", "1"), ("m", "234.5元"), ("s", "甲楼"), ("s", "乙楼")), event("u")], "3,648,520股，共1,234.5元，甲楼和乙楼。"),
+        (2, [event("t", ("n", "3"), ("n", "9")), None, event("t", None)], "没有"), (3, None, None), (4, [event("t", ("n", "5"), ("n", "5"))], None),
+    ]
+    joins = {"n": "number", "m": "amount", "s": "span"}
+    got = {r.i: r for r in R.probed(spark.createDataFrame(rows, kind), [("u", ["t"], ["提示"])], joins).collect()}
+    values = lambda i: [[tuple(a) for a in e.arguments] for e in got[i].probed]
+    assert values(1) == [[("n", "3,648,520股"), ("x", "y"), ("m", "1,234.5元"), ("s", "甲楼和乙楼")]] and (got[1].n_dropped, got[1].n_joined) == (1, 4)
+    assert values(2) == [[("n", "3"), ("n", "9")], []] and (got[2].n_dropped, got[2].n_joined) == (0, 0)
+    assert values(3) == [] and values(4) == [[("n", "5")]]
+    with pytest.raises(ValueError):
+        R.canonicalized(F.col("x"), F.col("y"), {"n": "z"})

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.text import company_forms, fold, ground_status, grounding_form, has_any, strip
+from vellum.functions.text import bound, company_forms, fold, ground_status, grounding_form, has_any, strip
+from vellum.operators.spans import joined_amount, ordered_span
 
 #: Signs and words between joined values.
 BETWEEN = r"\s*(?:、|，|,|；|;|/|及|和)\s*"
@@ -176,6 +177,52 @@ def competing_dropped(events: Column, text: Column, rules: list[tuple[str, list[
     return F.filter(events, stays)
 
 
+def canonicalized(events: Column, text: Column, joins: dict[str, str], connector: str = "[、和及与]") -> Column:
+    """Events whose fragmented values are joined to the span of the text they came from, arguments without repeats.
+
+    ``joins`` names the kind of join of the roles that may be fragmented: number,
+    amount or span. The joined value stands where the first fragment stood; a role
+    whose fragments do not join keeps them.
+    """
+    join = {"number": lambda vs: joined_numbers(vs, text), "amount": lambda vs: joined_amount(vs, text), "span": lambda vs: ordered_span(vs, text, connector)}
+    if unknown := set(joins.values()) - set(join):
+        raise ValueError(f"unknown joins {sorted(unknown)}")
+    book = F.create_map(*[F.lit(x) for pair in sorted(joins.items()) for x in pair]) if joins else F.create_map(F.lit(""), F.lit(""))
+
+    def merged(args: Column) -> Column:
+        """All roles in one pass, so the plan does not grow with their number."""
+        roles = F.array_distinct(F.transform(args, lambda a: a["role"]))
+
+        def joined(role: Column) -> Column:
+            values = F.transform(F.filter(args, lambda a: a["role"] == role), lambda a: a["argument"])
+            kind, value = F.element_at(book, role), F.lit(None).cast("string")
+            for name, f in join.items():
+                value = F.when(kind == name, f(values)).otherwise(value)
+            return F.struct(role.alias("role"), value.alias("value"))
+
+        def placed(found: Column) -> Column:
+            of = lambda role: F.get(F.filter(found, lambda x: x["role"] == role), F.lit(0))["value"]
+            first = lambda a, i: F.array_position(F.transform(args, lambda x: x["role"]), a["role"]) == i + 1
+            return F.transform(F.filter(args, lambda a, i: of(a["role"]).isNull() | first(a, i)), lambda a: _arg(a["role"], F.coalesce(of(a["role"]), a["argument"])))
+
+        return bound(F.filter(F.transform(F.filter(roles, lambda r: F.map_contains_key(book, r)), joined), lambda x: x["value"].isNotNull()), placed)
+
+    def fixed(e: Column) -> Column:
+        return _event(e["event_type"], e["trigger"], F.array_distinct(bound(F.coalesce(filled_args(e["arguments"]), _empty_args()), merged)))
+
+    return F.transform(_objects(events), fixed)
+
+
+def probed(rows: DataFrame, rules: list[tuple[str, list[str], list[str]]], joins: dict[str, str], events: str = "prediction", text: str = "text") -> DataFrame:
+    """Adds ``probed`` and its counters: competing events dropped, then fragments joined. Null events count as none, a null text as empty."""
+    t = F.coalesce(text, F.lit(""))
+    none = F.array().cast(rows.schema[events].dataType.simpleString())
+    kept = rows.withColumn("_kept", competing_dropped(_objects(F.coalesce(events, none)), t, rules)).withColumn("probed", canonicalized(F.col("_kept"), t, joins))
+    count = lambda c: F.aggregate(c, F.lit(0), lambda s, e: s + F.greatest(F.size(e["arguments"]), F.lit(0)))
+    given = F.aggregate(F.col("_kept"), F.lit(0), lambda s, e: s + F.size(F.array_distinct(F.coalesce(filled_args(e["arguments"]), _empty_args()))))
+    return kept.withColumn("n_dropped", F.size(_objects(F.coalesce(events, none))) - F.size("_kept")).withColumn("n_joined", given - count(F.col("probed"))).drop("_kept")
+
+
 def joined_numbers(values: Column, text: Column, units: tuple[str, ...] = ("股", "张", "")) -> Column:
     """Digit fragments joined with or without commas if the text holds the result; null otherwise."""
     digits = F.transform(values, lambda v: F.regexp_replace(v, r"\D", ""))

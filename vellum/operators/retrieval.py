@@ -177,6 +177,24 @@ def ranked(queries: DataFrame, pool: DataFrame, n: int = 3, schema: list[str] =
     return places.where((F.col("place") <= n) | (F.col("first") == 1)).drop("kind", "first", "single", "focused")
 
 
+def selected(queries: DataFrame, pool: DataFrame, mode: str, n: int = 3, schema: list[str] = ()) -> DataFrame:
+    """(qid, ids) of ``n`` examples for each query: the first of the pool by id (static), or ranked by the text (dynamic, contrastive).
+
+    At least one is asked for, at most as many as there are. A query without
+    a text, or to which no other example is left, gets the static ones.
+    """
+    if mode not in ("static", "dynamic", "contrastive"):
+        raise ValueError(f"unknown selection mode {mode}")
+    n = max(1, n)
+    # the first ids of a pool are n numbers
+    fixed = pool.select("id").orderBy("id").limit(n).agg(F.coalesce(F.array_sort(F.collect_list("id")), F.array().cast("array<bigint>")))
+    asked = queries.select("qid", (F.coalesce(F.trim("text"), F.lit("")) != "").alias("_some")).withColumn("_fixed", fixed.scalar())
+    if mode == "static":
+        return asked.select("qid", F.col("_fixed").alias("ids"))
+    found = covering(ranked(queries, pool, n, schema), n)
+    return asked.join(found, "qid", "left").select("qid", F.when(F.col("_some"), F.coalesce("ids", "_fixed")).otherwise(F.col("_fixed")).alias("ids"))
+
+
 def covering(top: DataFrame, n: int = 3) -> DataFrame:
     """(qid, ids) of ``ranked`` rows: by place, first those that add a type, then the rest, up to ``n``."""
     ranked = F.array_sort(F.collect_list(F.struct("place", "id", "event_types")))

@@ -11,6 +11,8 @@ from vellum.operators import arguments as A
 from vellum.operators import contracts as C
 from vellum.operators import graph as G
 from vellum.operators import metrics as S
+from vellum.operators import repair as R
+from vellum.operators import retrieval as RT
 from vellum.operators import spans as SN
 from vellum.operators import trainset as TR
 from vellum.operators import validation as V
@@ -163,6 +165,22 @@ def rep_14_cues(spark, d):
     return s.select("row_id", F.coalesce(SN.cued(F.col("text"), F.coalesce(F.get(F.split("title", r"[，,：: ]"), F.lit(0)), F.lit("")), "公告", "公司"), F.lit(False)).alias("cued"))
 
 
+def rep_07_probed(spark, d):
+    """Fragments of every role of a sum or a number of shares joined, where an event's text holds them joined; no rules against competing types."""
+    named = [r[0] for r in table(spark, d, "schema_roles").select("role").distinct().collect()]
+    joins = {r: "number" for r in named if r.endswith("股数")} | {r: "amount" for r in named if r.endswith(("金额", "额"))} | {r: "span" for r in named if r.endswith(("项目名称", "标的"))}
+    p = R.probed(PQ._with_text(spark, d), [], joins)
+    return p.select("result_id", "n_dropped", "n_joined", F.size("probed").cast("bigint").alias("n_events"))
+
+
+def ret_07_selected(spark, d):
+    """Static examples of every hundredth sample: the first of the pool."""
+    s = table(spark, d, "duee_fin_samples")
+    q = s.where("row_id % 100 = 0").select(F.col("row_id").alias("qid"), "text", F.col("event_types").alias("types"))
+    chosen = RT.selected(q, RT.example_pool(s.where("split = 'train'")), "static")
+    return chosen.select("qid", F.array_join(F.transform("ids", lambda i: i.cast("string")), "|").alias("ids"))
+
+
 def jsn_13_correction_prompt(spark, d):
     r = table(spark, d, "evaluation_results").where("raw_response is not null and not coalesce(parse_success, true)")
     parts = [F.lit("下面的输出不是合法的 JSON，请只改正格式并只输出 JSON。\n错误："), F.coalesce("parse_diagnostics.error", F.lit("未知")), F.lit("\n输出：\n"), truncated(F.col("raw_response"), 1000, "...")]
@@ -255,6 +273,7 @@ ORACLES = {
     "mth_08_steps": "SELECT run_key, greatest(1, CAST(ceil(ceil(count(*) / 4.0) / 8.0) * 3 AS BIGINT)) AS steps FROM evaluation_results GROUP BY run_key",
     "src_10_split_overlap": "SELECT id, count(DISTINCT split IN ('dev', 'test')) AS n_parts FROM duee_fin_samples WHERE split IS NOT NULL GROUP BY id HAVING count(DISTINCT split IN ('dev', 'test')) > 1",
     "val_02_contract_hash": """SELECT run_key, sha256('{"family":"' || family || '","pipeline_mode":"' || pipeline_mode || '","seed":' || seed || ',"stage_mode":"' || stage_mode || '"}') AS digest FROM eval_runs""",
+    "ret_07_selected": "WITH p AS (SELECT row_id FROM duee_fin_samples WHERE split = 'train' AND len(list_filter(events, lambda e: e IS NOT NULL AND regexp_replace(coalesce(e.event_type, ''), '^\\s+|\\s+$', '', 'g') <> '')) > 0 ORDER BY row_id LIMIT 3), i AS (SELECT string_agg(row_id, '|' ORDER BY row_id) AS ids FROM p) SELECT row_id AS qid, ids FROM duee_fin_samples, i WHERE row_id % 100 = 0",
     "val_02_disagreeing": PQ.ORACLES["val_02_disagreeing"],
 }
 QUERIES = {n: f for n, f in globals().items() if n.split("_")[0] in PQ._PREFIXES and callable(f)}
