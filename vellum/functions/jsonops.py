@@ -81,12 +81,18 @@ def ladder(json: Column) -> Column:
 
 
 def parsed(json: Column) -> Column:
-    """(json, n_repairs): the first rung of the ladder that is valid JSON; nulls if none is.
+    """(json, n_repairs): the first rung of the ladder that is valid JSON; null if none is.
 
-    The rungs are one array, so each repair is written into the plan once.
+    A rung is climbed only where those below are not valid, and each repair is
+    written into the plan once.
     """
-    rungs = F.transform(ladder(json), lambda x, i: F.struct(x.alias("json"), i.alias("n_repairs"), value(x).isNotNull().alias("ok")))
-    return F.get(F.filter(rungs, lambda r: r["ok"]), F.lit(0))
+    repairs = [normalize_punctuation, fix_trailing_comma, remove_control_characters, fix_unclosed_brackets, fix_single_quotes]
+
+    def climb(text: Column, n: int) -> Column:
+        found = F.when(value(text).isNotNull(), F.struct(text.alias("json"), F.lit(n).alias("n_repairs")))
+        return found if n == len(repairs) else found.otherwise(bound(repairs[n](text), lambda x: climb(x, n + 1)))
+
+    return bound(json, lambda x: F.when(x.isNotNull(), climb(x, 0)))
 
 
 def top_kind(json: Column) -> Column:

@@ -157,10 +157,15 @@ def competence(losses: DataFrame, pace: Pace = Pace(), parts: int | None = None)
     spread = rows.repartitionByRange(parts, "key", "order") if parts else rows.repartitionByRange("key", "order")
     held = stage(spread.withColumn("part", F.spark_partition_id()), "losses")
     ordered = held.repartition("part").sortWithinPartitions("part", "key", "order")
-    # keys in more than one part: at most one begins or ends at each border, so there are fewer than two rows per part
-    borders = held.groupBy("key").agg(F.count_distinct("part").alias("n")).where("n > 1").select("key")
-    some = ordered.join(F.broadcast(borders), "key", "left_semi").repartition("part").sortWithinPartitions("part", "key", "order")
-    state = losses.sparkSession.sparkContext.broadcast(chained([tuple(r) for r in _ends(some, pace, kind).collect()], pace))
+    # a key goes on in another part only if it is the last of one and the first of the next: one row per part tells
+    reach = sorted(tuple(r) for r in held.groupBy("part").agg(F.min("key"), F.max("key")).collect())
+    borders = sorted({last for (_, _, last), (_, first, _) in zip(reach, reach[1:]) if last == first})
+    ends: list[tuple] = []
+    if borders:
+        keys = F.broadcast(losses.sparkSession.createDataFrame([(k,) for k in borders], f"key {kind}"))  # fewer than parts
+        some = held.join(keys, "key", "left_semi").repartition("part").sortWithinPartitions("part", "key", "order")
+        ends = [tuple(r) for r in _ends(some, pace, kind).collect()]
+    state = losses.sparkSession.sparkContext.broadcast(chained(ends, pace))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, key, step, now = None, None, 0, pace.floor
