@@ -156,3 +156,17 @@ def test_counts_in_the_row_equal_those_of_the_tables(spark):
 def test_carried_columns_come_along(spark):
     r = results(spark, [(1, [event("t", ("a", "1"))], None)]).withColumn("run", F.lit("x"))
     assert A.arguments(r, ("run",)).first().run == "x" and M.row_match(r, A.strict_keys, carried=("run",)).first().run == "x"
+
+
+def test_report_holds_every_primary_metric(spark):
+    from vellum.plans.check_queries import PRIMARY
+
+    r = results(spark, [(1, [event("t", ("a", "1"))], [event("t", ("a", "1"), ("b", "2"))]), (2, [event("t", ("a", "1")), event("u")], None)])
+    r = r.selectExpr("*", "'s' as sample_id", "true as parse_success", "named_struct('success', true, 'extraction_method', 'm', 'repair_steps', array('x'), 'error', null) as parse_diagnostics")
+    samples = spark.createDataFrame([("s", "1 und 2", 1)], "id string, text string, row_id bigint")
+    schema = spark.createDataFrame([("t", "a", 0), ("t", "b", 1), ("u", "a", 0)], "event_type string, role string, role_pos int")
+    found = S.report(r, samples, schema)
+    got = {x.name: x.value for x in S.required_metrics(found, PRIMARY).collect()}
+    assert set(got) == set(PRIMARY) and got["strict_f1"] == 0.5 and got["legacy_dueefin_overall_recall"] == 0.5 and got["doc_event_type_macro_f1"] == (2 / 3 + 0) / 2
+    with pytest.raises(Exception, match="missing metric no_such"):
+        S.required_metrics(found, {"x": "no_such"}).collect()

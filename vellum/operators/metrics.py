@@ -168,6 +168,8 @@ def report(results: DataFrame, samples: DataFrame, schema: DataFrame) -> DataFra
     parts = [
         long(scores_from_counts(sample_counts(results))), long(hallucination_rates(hallucinations(results, samples)), "hallucination_"), long(text_grounding(results, samples), "grounding_"),
         long(parse_rates(results), "parse_"), long(compliance),
+        long(role_rollup(role_scores(results, schema)).where("event_type is null").select(F.col("macro_f1").alias("doc_role_macro_f1"))),
+        long(type_presence(results, schema).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("doc_event_type_macro_f1"))),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -176,8 +178,8 @@ def report(results: DataFrame, samples: DataFrame, schema: DataFrame) -> DataFra
 
 
 def required_metrics(found: DataFrame, names: dict[str, str]) -> DataFrame:
-    """(name, value) of the metrics that ``names`` maps to a name; one that is not there is an error naming it."""
-    wanted = found.sparkSession.createDataFrame(list(names.items()), "metric string, name string")
+    """(name, value) of the metric that each of ``names`` stands for; one that is not there is an error naming it."""
+    wanted = found.sparkSession.createDataFrame(list(names.items()), "name string, metric string")
     joined = F.broadcast(wanted).join(found, "metric", "left")  # as many rows as names
     return joined.select("name", F.coalesce("value", F.raise_error(F.concat(F.lit("missing metric "), "metric")).cast("double")).alias("value"))
 

@@ -106,9 +106,16 @@ def agg_17_report(spark, d):
     return r.select("metric", F.round("value", 9).alias("value"))
 
 
+#: Names of the metrics that can be a run's primary one, and those of the report that they stand for.
+PRIMARY = {
+    "legacy_dueefin_overall_precision": "strict_precision", "legacy_dueefin_overall_recall": "strict_recall", "legacy_dueefin_overall_f1": "strict_f1", "strict_f1": "strict_f1", "relaxed_f1": "relaxed_f1",
+    "type_f1": "type_f1", "doc_role_micro_f1": "doc_role_f1", "doc_role_macro_f1": "doc_role_macro_f1", "doc_event_type_micro_f1": "doc_event_type_f1", "doc_event_type_macro_f1": "doc_event_type_macro_f1",
+    "doc_instance_micro_f1": "doc_instance_f1", "doc_combination_micro_f1": "doc_combination_f1", "single_event_doc_role_micro_f1": "single_f1", "multi_event_doc_role_micro_f1": "multi_f1",
+}
+
+
 def agg_36_primary(spark, d):
-    names = {"doc_role_f1": "doc_role_micro_f1", "strict_f1": "strict_f1", "relaxed_f1": "relaxed_f1", "type_f1": "type_f1", "single_f1": "single_event_doc_role_micro_f1", "multi_f1": "multi_event_doc_role_micro_f1"}
-    return S.required_metrics(agg_17_report(spark, d), names)
+    return S.required_metrics(agg_17_report(spark, d), PRIMARY)
 
 
 def agg_30_seed_table(spark, d):
