@@ -74,7 +74,30 @@ _ALWAYS = [f"Missing required field: {p}" for p in _NO_META] + [f"Missing {b} bl
 _SUITE = [f"Missing suite field: {f}" for f in V.SUITE if f not in ("split", "aggregated")] + [f"Missing suite field: {f}" for f in V.SINGLE_SEED]
 _VALUES = lambda texts: "(VALUES " + ", ".join(f"('{t}')" for t in texts) + ") m(error)"
 _SINGLE = CQ._CANON.replace('''|| stage_mode ||''', f"|| coalesce({CQ._MODE}, 'single_pass') ||")
+_SETS = lambda sql: f"(SELECT doc_id, sum(tp) AS tp, sum(tp + fp) AS np, sum(tp + fn) AS ng FROM ({sql}) GROUP BY doc_id)"
+_BAGS = lambda key: f"(SELECT doc_id, sum(least(p, g)) AS tp, sum(p) AS np, sum(g) AS ng FROM (SELECT doc_id, {key} AS k, count(*) FILTER (WHERE side = 'pred') AS p, count(*) FILTER (WHERE side = 'gold') AS g FROM ({SQ.BASE} SELECT * FROM allrec) GROUP BY ALL) GROUP BY doc_id)"
+_TYPES = SQ.BASE + "SELECT doc_id, event_type, CAST(g AND p AS INT) AS tp, CAST(p AND NOT g AS INT) AS fp, CAST(g AND NOT p AS INT) AS fn FROM (SELECT doc_id, event_type, max(side = 'gold') AS g, max(side = 'pred') AS p FROM etypes GROUP BY ALL)"
+_PARTS = {
+    "strict": _SETS(SQ.BASE + "SELECT * FROM sm"), "relaxed": _SETS(_FITTED + "SELECT doc_id, tp, n_pred - tp AS fp, n_gold - tp AS fn FROM fit"), "type": _SETS(_TYPES), "doc_role": _SETS(_ASSIGNED + "SELECT * FROM asg"),
+    "doc_event_type": _SETS(_TYPES), "doc_instance": _BAGS("event_type || chr(28) || body"), "doc_combination": _BAGS("body"),
+}
+_SAMPLE_COUNTS = (
+    "SELECT result_id AS doc_id, CAST(len(list_filter(coalesce(ground_truth, []), lambda e: e IS NOT NULL)) AS INT) AS gold_event_count, "
+    + ", ".join(f"CAST(coalesce(q{i}.{c}, 0) AS BIGINT) AS {n}_{k}" for i, n in enumerate(_PARTS) for c, k in (("tp", "tp"), ("np", "pred_total"), ("ng", "gold_total")))
+    + " FROM evaluation_results r " + " ".join(f"LEFT JOIN {q} q{i} ON q{i}.doc_id = r.result_id" for i, q in enumerate(_PARTS.values()))
+)
+_SUMMED = ", ".join(f"sum({n}_{k}) AS {n}_{k}" for n in _PARTS for k in ("tp", "pred_total", "gold_total")) + ", " + ", ".join(
+    f"coalesce(sum(doc_role_{k}) FILTER (WHERE gold_event_count {c}), 0) AS {n}_{k}" for n, c in (("single", "= 1"), ("multi", "> 1")) for k in ("tp", "pred_total", "gold_total"))
+
+
+def _rates(n: str) -> str:
+    p, r = SQ._div(f"{n}_tp", f"{n}_pred_total"), SQ._div(f"{n}_tp", f"{n}_gold_total")
+    return f"{p} AS {n}_precision, {r} AS {n}_recall, CASE WHEN {p} + {r} = 0 THEN 0.0e0 ELSE 2.0e0*{p}*{r}/({p}+{r}) END AS {n}_f1"
+
+
 ORACLES = {
+    "agg_18_sample_counts": _SAMPLE_COUNTS,
+    "agg_19_scores_from_counts": f"WITH s AS (SELECT {_SUMMED}, count(*) FILTER (WHERE gold_event_count = 0) AS zero_gold_samples FROM ({_SAMPLE_COUNTS})) SELECT zero_gold_samples, {', '.join(map(_rates, (*_PARTS, 'single', 'multi')))} FROM s",
     "join_03_assignment": _ASSIGNED + "SELECT * FROM asg",
     "agg_08_role_scores": _ROLES + "SELECT * FROM scored",
     "agg_08_rollup": _ROLES
