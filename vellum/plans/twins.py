@@ -95,7 +95,22 @@ def _rates(n: str) -> str:
     return f"{p} AS {n}_precision, {r} AS {n}_recall, CASE WHEN {p} + {r} = 0 THEN 0.0e0 ELSE 2.0e0*{p}*{r}/({p}+{r}) END AS {n}_f1"
 
 
+_SIDE = "(SELECT sample_id, arg_max({{'ok': parse_success, 'ev': prediction}}, result_id) AS x FROM evaluation_results r JOIN eval_runs u ON u.run_key = r.run_key WHERE family = '{0}' GROUP BY sample_id)"
+_KEYS = (
+    "list_distinct(flatten(list_transform(list_filter({0}, lambda e: e IS NOT NULL AND e.arguments IS NOT NULL), lambda e: list_transform(list_filter(e.arguments, lambda a: a IS NOT NULL), lambda a: "
+    + " || chr(31) || ".join(SQ._strip(f"coalesce({c}, '')").replace("{", "{{").replace("}", "}}") for c in ("e.event_type", "a.role", "a.argument")) + "))))"
+)
+_REAL = "coalesce(len(list_filter({0}, lambda e: e IS NOT NULL)), 0)"
+_CONSENSUS = (
+    f"WITH {PQ._TX}, j AS (SELECT p.sample_id, p.x.ok AS p_ok, p.x.ev AS p_ev, s.x.ok AS s_ok, s.x.ev AS s_ev, s.sample_id IS NOT NULL AS there, t.id IS NOT NULL AS has_text FROM {_SIDE.format('api')} p LEFT JOIN {_SIDE.format('local')} s ON s.sample_id = p.sample_id LEFT JOIN texts t ON t.id = p.sample_id),\n"
+    + f"e AS (SELECT *, CASE WHEN coalesce(sample_id, '') = '' THEN 'missing_id' WHEN NOT coalesce(p_ok, false) THEN 'primary_parse_failed' WHEN {_REAL.format('p_ev')} = 0 THEN 'primary_empty_prediction' WHEN NOT has_text THEN 'missing_source_text' WHEN NOT there THEN 'missing_secondary_row' "
+    + f"WHEN NOT coalesce(s_ok, false) THEN 'secondary_parse_failed' WHEN {_REAL.format('s_ev')} = 0 THEN 'secondary_empty_prediction' WHEN list_sort({SQ._types_list('p_ev')}) <> list_sort({SQ._types_list('s_ev')}) THEN 'event_type_mismatch' END AS early, {_KEYS.format('p_ev')} AS pk, {_KEYS.format('s_ev')} AS sk FROM j),\n"
+    + "a AS (SELECT sample_id, early, CASE WHEN early IS NULL THEN round(CASE WHEN len(pk) + len(sk) = 0 THEN 1.0e0 WHEN len(pk) = 0 OR len(sk) = 0 THEN 0.0e0 ELSE 2.0e0 * len(list_intersect(pk, sk)) / (len(pk) + len(sk)) END, 6) END AS agreement FROM e), "
+    + "c AS (SELECT sample_id, coalesce(early, CASE WHEN agreement < 0.5 THEN 'insufficient_role_overlap' END, 'kept') AS reason, agreement FROM a)\n"
+)
 ORACLES = {
+    "trn_04_consensus": _CONSENSUS + "SELECT * FROM c",
+    "trn_04_reasons": _CONSENSUS + "SELECT reason, count(*) AS n, round(avg(agreement), 6) AS agreement FROM c GROUP BY reason",
     "agg_18_sample_counts": _SAMPLE_COUNTS,
     "agg_19_scores_from_counts": f"WITH s AS (SELECT {_SUMMED}, count(*) FILTER (WHERE gold_event_count = 0) AS zero_gold_samples FROM ({_SAMPLE_COUNTS})) SELECT zero_gold_samples, {', '.join(map(_rates, (*_PARTS, 'single', 'multi')))} FROM s",
     "join_03_assignment": _ASSIGNED + "SELECT * FROM asg",
