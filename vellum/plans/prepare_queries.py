@@ -425,15 +425,16 @@ def sta_02_permutation(spark, d):
 
 
 def _source_pairs(spark, d):
-    """Success rates of both families, paired by source and sample split: more pairs than all signs can be gone through."""
-    r = _t(spark, d, "evaluation_results").where("parse_success is not null").withColumn("month", F.date_format("evaluated_at", "yyyy-MM"))
-    r = r.select("run_key", "source", "month", F.col("parse_success").cast("int").alias("ok")).join(F.broadcast(_t(spark, d, "eval_runs").select("run_key", "family")), "run_key")
-    s = r.groupBy("source", "month").agg(*[F.avg(F.when(F.col("family") == f, F.col("ok").cast("double"))).alias(n) for f, n in (("local", "baseline"), ("api", "improved"))])
+    """Success rates of both families, paired by source and year: more pairs than all signs can be gone through."""
+    r = _t(spark, d, "evaluation_results").where("parse_success is not null").withColumn("year", F.date_format("evaluated_at", "yyyy"))
+    r = r.select("run_key", "source", "year", F.col("parse_success").cast("int").alias("ok")).join(F.broadcast(_t(spark, d, "eval_runs").select("run_key", "family")), "run_key")
+    s = r.groupBy("source", "year").agg(*[F.avg(F.when(F.col("family") == f, F.col("ok").cast("double"))).alias(n) for f, n in (("local", "baseline"), ("api", "improved"))])
     return s.where("baseline is not null and improved is not null")
 
 
 def sta_02_monte_carlo(spark, d):
-    return ST.permutation(_source_pairs(spark, d).withColumn("metric", F.lit("parse_success")), ["metric"])
+    tested = ST.permutation(_source_pairs(spark, d).withColumn("metric", F.lit("parse_success")), ["metric"])
+    return tested.withColumn("mean_diff", F.round("mean_diff", 9))
 
 
 def sta_03_metadata(spark, d):

@@ -8,6 +8,7 @@ is taken already.
 from __future__ import annotations
 
 from vellum.functions import jsonops as J
+from vellum.operators import repair as R
 from vellum.operators import validation as V
 from vellum.plans import check_queries as CQ
 from vellum.plans import nested_queries as NQ
@@ -108,7 +109,38 @@ _CONSENSUS = (
     + "a AS (SELECT sample_id, early, CASE WHEN early IS NULL THEN round(CASE WHEN len(pk) + len(sk) = 0 THEN 1.0e0 WHEN len(pk) = 0 OR len(sk) = 0 THEN 0.0e0 ELSE 2.0e0 * len(list_intersect(pk, sk)) / (len(pk) + len(sk)) END, 6) END AS agreement FROM e), "
     + "c AS (SELECT sample_id, coalesce(early, CASE WHEN agreement < 0.5 THEN 'insufficient_role_overlap' END, 'kept') AS reason, agreement FROM a)\n"
 )
+_SLOT_SQL = [(pattern.replace("'", "''"), f"'{new}'" if new else "CASE WHEN contains(@, '%') THEN '99%' WHEN contains(@, '股') THEN '9999股' ELSE '9999元' END", kind) for pattern, new, kind in R.SLOTS]
+_PERTURBED = (
+    "WITH o AS (SELECT row_id, text AS t, " + ", ".join(f"regexp_extract(text, '{p}') AS o{i}" for i, (p, _, _) in enumerate(_SLOT_SQL)) + " FROM duee_fin_samples WHERE text IS NOT NULL), "
+    + "k AS (SELECT row_id, t, CASE " + " ".join(f"WHEN o{i} <> '' THEN {{'type': '{kind}', 'old': o{i}, 'new': {new.replace('@', f'o{i}')}}}" for i, (_, new, kind) in enumerate(_SLOT_SQL)) + " END AS k FROM o) "
+    + "SELECT row_id, k IS NOT NULL AS changed, k.type AS \"type\", k.old AS old_value, k.new AS new_value, sha256(CASE WHEN k IS NULL THEN t ELSE substring(t, 1, strpos(t, k.old) - 1) || k.new || substring(t, strpos(t, k.old) + length(k.old)) END) AS digest FROM k"
+)
+_U = lambda x: f"CAST({x} AS UHUGEINT)"
+_W = "18446744073709551616::UHUGEINT"
+
+
+def _mixed(source: str, name: str) -> str:
+    """Tables ``name`` with the column x of ``source`` mixed as the draws are."""
+    steps = [(30, "13787848793156543929"), (27, "10723151780598845931")]
+    out, last = "", source
+    for i, (shift, factor) in enumerate(steps):
+        out += f"{name}{i} AS (SELECT * REPLACE (CAST({_U(f'xor(x, x >> {shift})')} * {factor}::UHUGEINT % {_W} AS UBIGINT) AS x) FROM {last}), "
+        last = f"{name}{i}"
+    return out + f"{name} AS (SELECT * REPLACE (xor(x, x >> 31) AS x) FROM {last})"
+
+
+_MONTE_CARLO = (
+    "WITH o AS (SELECT e.source, strftime(evaluated_at, '%Y') AS year, u.family, CAST(parse_success AS INT) AS ok FROM evaluation_results e JOIN eval_runs u ON u.run_key = e.run_key WHERE parse_success IS NOT NULL), "
+    + "pr AS (SELECT source, year, avg(CASE WHEN family = 'local' THEN CAST(ok AS DOUBLE) END) AS b, avg(CASE WHEN family = 'api' THEN CAST(ok AS DOUBLE) END) AS i FROM o GROUP BY ALL), "
+    + "d AS (SELECT i - b AS d, row_number() OVER (ORDER BY i - b) - 1 AS place FROM pr WHERE b IS NOT NULL AND i IS NOT NULL), n AS (SELECT count(*) AS n, sum(d) / count(*) AS m FROM d), "
+    + f"a AS (SELECT range AS draw, CAST({_U('range + 3407')} * 15074714826142052245::UHUGEINT % {_W} AS UBIGINT) AS x FROM range(0, 10000)), {_mixed('a', 'b')}, "
+    + f"p AS (SELECT draw, d.d, CAST(({_U('x')} + {_U('place')} * 11400714819323198485::UHUGEINT) % {_W} AS UBIGINT) AS x FROM b, d), {_mixed('p', 'q')}, "
+    + "s AS (SELECT draw, abs(sum(CASE WHEN x >> 63 = 1 THEN d ELSE -d END) / (SELECT n FROM n)) >= (SELECT abs(m) FROM n) - 1e-12 AS hit FROM q GROUP BY draw) "
+    + "SELECT 'parse_success' AS metric, CAST(n AS INT) AS n_pairs, round(m, 9) AS mean_diff, (SELECT count(*) FILTER (WHERE hit) / 10000.0e0 FROM s) AS p_value, 'monte_carlo' AS method, CAST(10000 AS BIGINT) AS n_permutations, 'tested' AS status FROM n"
+)
 ORACLES = {
+    "txt_14_perturbed": _PERTURBED,
+    "sta_02_monte_carlo": _MONTE_CARLO,
     "trn_04_consensus": _CONSENSUS + "SELECT * FROM c",
     "trn_04_reasons": _CONSENSUS + "SELECT reason, count(*) AS n, round(avg(agreement), 6) AS agreement FROM c GROUP BY reason",
     "agg_18_sample_counts": _SAMPLE_COUNTS,
