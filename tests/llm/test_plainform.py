@@ -10,7 +10,7 @@ from vellum.llm.plainform import KEPT, odd_values, plain, plain_column, plain_fo
 
 CASES = {
     "Ｈａｌсyra": "Halcyra", "AЅTERIN": "ASTERIN", "Nuvéa": "Nuvéa", "1​2\xad,3": "12,3", "董事⻓": "董事长", "２０２２年７⽉": "2022年7月", "36.7％": "36.7%", "ﬁlings": "filings",
-    "x　y z": "x y z", "𝟐𝟔𝟎": "260", "ｶﾞ": "ガ", "a‍́": "á", "①㈱": "1(株)", "hellօ": "hello", "Ꭺpple": "Apple", "bⲟok": "book", "ꓑlan": "Plan", "a‑b": "a-b", "é̱": "é̱", "Аd́": "Ad́", "\uf90a": "金", "‍": "",
+    "x　y z": "x y z", "𝟐𝟔𝟎": "260", "ｶﾞ": "ガ", "a‍́": "á", "①㈱": "1(株)", "hellօ": "hello", "Ꭺpple": "Apple", "bⲟok": "book", "ꓑlan": "Plan", "a‑b": "a-b", "A𝜈": "Av", "pîϱb": "pîpb", "ϒj": "Yj", "ℎα": "ha", "𝜈": "ν", "é̱": "é̱", "Аd́": "Ad́", "\uf90a": "金", "‍": "",
 }
 PLAIN = ["", "Lumière（Αλφάνη）", "Волгомет", "，：；！？（）～。、“”…", "a\nb\r\n", "👨‍👩‍👧❤️1️⃣", "é", "𠮷野家", "plain text"]
 

@@ -62,7 +62,6 @@ _EMOJI = "\u203c\u2049\u2122\u2139\u2190-\u21ff\u2300-\u23ff\u24c2\u25aa-\u25fe\
 #: First words of the names of letters that do not count as another alphabet beside Latin letters.
 _NOT_OTHER = {"LATIN", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO", "IDEOGRAPHIC", "MODIFIER", "FEMININE", "MASCULINE", "YI", "TANGUT", "NUSHU", "KHITAN"}
 _LATIN = "A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff"
-_WIDE = "\uff21-\uff3a\uff41-\uff5a\U0001d400-\U0001d6a3"
 
 
 def _ranges(chars: list[str]) -> str:
@@ -122,27 +121,30 @@ class Transducer:
         self.pairs = _pairs(self.table)
         alike = {c: latin for letters, plain in LOOKALIKES.values() for c, latin in zip(letters, plain, strict=True)}
         self._check(alike)
-        self.order = {c: n for code in [*range(0x300, 0x3100), *range(0xFE20, 0xFE30)] if (n := unicodedata.combining(c := chr(code)))}
+        self.order = {c: n for code in [*range(0x300, 0x3100), *range(0xFE20, 0xFE30)] if (n := unicodedata.combining(c := chr(code))) and re.match(f"[{_MARKS}]", c)}
         other = _others(self.table)
         #: Look-alikes with an accent: the accent moves to the Latin letter.
         self.alike = alike | {c: self.pairs[alike[a], b] for (a, b), c in self.pairs.items() if a in alike and (alike[a], b) in self.pairs}
+        # compatibility forms of letters stand in words as these letters do
+        wide = _ranges([c for c, plain in self.table.items() if re.search(f"[{_LATIN}]", plain)])
+        via = _ranges([c for c, plain in self.table.items() if re.search(f"[{other}]", plain)])
         marks = [c for c in self.table if c in "\uff9e\uff9f"]
         singles = _ranges([c for c in self.table if c not in marks])
         emoji = f"[0-9#*]\ufe0f?\u20e3|[{_EMOJI}][\ufe0f\U0001f3fb-\U0001f3ff]?(?:\u200d[{_EMOJI}][\ufe0f\U0001f3fb-\U0001f3ff]?)*[\U000e0020-\U000e007f]*"
         emoji = f"(?:[\U0001f1e6-\U0001f1ff]{{2}})|(?:{emoji})(?<=[\ufe0f\u200d\u20e3{_EMOJI}\U0001f3fb-\U0001f3ff\U000e007f])"
         cluster, single = f".?(?:[{_INVISIBLE}]*[{_MARKS}])+", f"[{singles}]|[{_INVISIBLE}]+"
-        word = f"[{_LATIN}{other}{_WIDE}](?:[{_INVISIBLE}]*[{_LATIN}{other}{_WIDE}{_MARKS}])+"
+        word = f"[{_LATIN}{other}{wide}{via}](?:[{_INVISIBLE}]*[{_LATIN}{other}{wide}{via}{_MARKS}])+"
         kinds = [(word, self._word), (emoji, str), (cluster, self._cluster), (single, self._single)]
         self._kinds = [(re.compile(p, re.S).match, rewrite) for p, rewrite in kinds]
         self._places = re.compile("|".join(f"(?:{p})" for p, _ in kinds[1:]), re.S).search
         self._places_or_words = re.compile("|".join(f"(?:{p})" for p, _ in kinds), re.S).search
         self._words = re.compile(word, re.S).finditer
-        self._has_other = re.compile(f"[{other}]")
+        self._has_other, self._may_mix = re.compile(f"[{other}]"), re.compile(f"[{other}{via}]")
         self._has_latin = re.compile(f"[{_LATIN}]")
         self._drop = re.compile(f"[{_INVISIBLE}]+")
         self._left = re.compile("[\u0300-\u036f]")  # accents that no letter takes up
         #: For RE2: what may make a string other than plain. Words wholly in another alphabet do not.
-        latin, gap = f"[{_LATIN}{_WIDE}]", f"[{_INVISIBLE}{_MARKS}]*"
+        latin, gap = f"[{_LATIN}{wide}]", f"[{_INVISIBLE}{_MARKS}]*"
         self.trigger = _re2(f"[{singles}{_INVISIBLE}{_MARKS}]|{latin}{gap}[{other}]|[{other}]{gap}{latin}")
 
     def _check(self, alike: dict[str, str]) -> None:
@@ -198,7 +200,7 @@ class Transducer:
 
     def plain(self, text: str) -> str:
         """``text`` in plain form."""
-        words = self._has_other.search(text) is not None
+        words = self._may_mix.search(text) is not None
         find, kinds = (self._places_or_words, self._kinds) if words else (self._places, self._kinds[1:])
         out, at = [], 0
         while (m := find(text, at)) is not None:
