@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Signs that grounding ignores.
 GROUNDING_SIGNS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\.,，。；;、:：/\\()（）\[\]【】\"'“”‘’《》<>·\-—_]+"
-#: Endings of company names, longest alternatives first where one ends another.
+#: Endings of company names. The leftmost match at the end of a name counts, so the longest ending wins whatever the order.
 COMPANY_ENDINGS = ("股份有限公司", "控股股份有限公司", "有限责任公司", "有限公司", "集团股份有限公司", "集团有限公司", "集团", "公司", "银行", "证券", "科技")
 #: Words that carry no topic.
 STOPWORDS = ("公司", "公告", "称", "表示", "披露", "本次", "相关", "项目", "股份")
