@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vellum.llm import crosssplit, neardup
@@ -161,3 +162,62 @@ def test_components_equal_union_find(spark):
     nodes = {x for a, b in links if b is not None and a != b for x in (a, b)}
     assert {r.node: r.component for r in components(df).collect()} == roots(nodes, [(a, b) for a, b in links if b is not None])
     assert components(df.limit(0)).count() == 0
+
+
+def test_cross_pairs_of_near_texts_without_a_long_common_span(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(0, 30, 3):
+        base = [chr(0x4E00 + rnd.randrange(3000)) for _ in range(600)]
+        edited = [chr(0x9000 + j) if j % 29 == 28 else c for j, c in enumerate(base)]  # no 29 characters in common
+        blocks = ["".join(base[j : j + 25]) for j in range(0, 600, 25)]
+        rnd.shuffle(blocks)
+        rows += [(i, "".join(base)), (i + 1, "".join(edited)), (i + 2, "".join(blocks))]
+    want = {(a, b) for a, b in brute(rows) if (a % 3 == 0) != (b % 3 == 0)}
+    assert len(want) == 20
+    assert {(r[0], r[1]) for r in cross_pairs(frame(spark, rows)).collect()} == want
+
+
+def test_near_sets_share_one_of_their_rare_runs():
+    texts = [t for _, t in corpus(12, 30) if t and t.strip()]
+    texts += ["ab" * 3, "ba" * 3, "a" * 5, "a" * 9]
+    texts = ["".join(plain(t).split()).translate(NARROW) for t in texts]
+    levels = np.random.default_rng(0).integers(0, 9, crosssplit.CELLS).astype(np.uint8)
+    of, key, place, n = crosssplit.rare_first(pa.array(texts), levels)
+    every = crosssplit.rare_first(pa.array(texts), levels, all_runs=True)
+    index, whole = ([dict(zip(k[o == i].tolist(), p[o == i].tolist())) for i in range(len(texts))] for o, k, p, _ in ((of, key, place, n), every))
+    assert [len(w) for w in whole] == n.tolist() and len(key) < 0.4 * n.sum()
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = len(whole[a].keys() & whole[b].keys())
+            if shared >= 0.7 * (n[a] + n[b] - shared) - 1e-9:
+                first = min(index[a].keys() & index[b].keys(), key=index[a].get)
+                assert min(n[a] - index[a][first], n[b] - index[b][first]) >= shared
+
+
+def test_sketches_read_or_joined_drop_the_same(spark, monkeypatch):
+    rows = corpus(13, 25)
+    want = {(a, b) for a, b in brute(rows) if (a % 3 == 0) != (b % 3 == 0)}
+    monkeypatch.setattr(crosssplit, "KEPT_SKETCHES", 0)
+    assert {(r[0], r[1]) for r in cross_pairs(frame(spark, rows)).collect()} == want
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_runs():
+    rnd = random.Random(14)
+    base = "".join(chr(0x4E00 + rnd.randrange(2000)) for _ in range(5000))
+    texts = [base, base[:3600], base[700:] + "尾" * 9, base[:1030], base[:1020], base[1000:1300]]
+    whole = crosssplit.rare_first(pa.array(texts), np.zeros(crosssplit.CELLS, np.uint8), all_runs=True)
+    sets = [set(whole[1][whole[0] == i].tolist()) for i in range(len(texts))]
+    n, bits = crosssplit.sketched(pa.array(texts))
+    assert n.tolist() == [len(s) for s in sets] and len({len(b) for b in bits}) > 2
+    i, j = np.triu_indices(len(texts))
+    differ = crosssplit.apart(*crosssplit._words(bits), i, j)
+    assert all(d <= len(sets[a] ^ sets[b]) and (a != b or d == 0) for a, b, d in zip(i, j, differ))
+
+
+def test_covered_spans_at_every_place():
+    a, b = "甲乙丙丁戊己庚辛" * 3, "子" + "甲乙丙丁戊己庚辛" * 2 + "丑" * 9
+    assert neardup.covered(a, b, None, 16) == (24, 16)
+    assert neardup.covered(a, "丑" * 30, None, 16) == (0, 0)
+    assert neardup.covered("短文", "短文本", None, 16) == (2, 2)
+    assert neardup.covered("短文", "短文本", None, 0) == (0, 0)

@@ -250,16 +250,15 @@ def _bit_sketches(texts: DataFrame) -> DataFrame:
     return texts.select("h1", "text").mapInArrow(run, "d bigint, n bigint, bits binary").dropDuplicates(["d"])
 
 
-def tiled(hot: DataFrame, sketches: DataFrame, threshold: float, carried: str | None = None) -> DataFrame:
+def tiled(hot: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of classes of one hot key within the Hamming bound, compared tile by tile.
 
-    ``hot`` has (k, d), ``sketches`` (d, n, bits). With ``carried``, a column of
-    ``hot``, its values come along as (v_a, v_b).
+    ``hot`` has (k, d), ``sketches`` (d, n, bits).
     """
     share = (1 - threshold) / (1 + threshold)
 
     def compare(group: pa.Table) -> pa.Table:
-        d, n, v, tile = (group.column(c).to_numpy() for c in ("d", "n", "v", "tile"))
+        d, n, tile = (group.column(c).to_numpy() for c in ("d", "n", "tile"))
         bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         left, right = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
@@ -272,15 +271,15 @@ def tiled(hot: DataFrame, sketches: DataFrame, threshold: float, carried: str |
             found.append(np.stack([np.full(len(near), i), near]))
         i, j = np.concatenate(found, axis=1).astype(np.int64) if found else np.zeros((2, 0), np.int64)
         i, j = np.where(d[i] < d[j], i, j), np.where(d[i] < d[j], j, i)
-        return pa.table({"a": d[i], "b": d[j], "v_a": v[i], "v_b": v[j]})
+        return pa.table({"a": d[i], "b": d[j]})
 
-    hot = hot.groupBy("k", "d").agg((F.min(carried) if carried else F.lit(0)).cast("int").alias("v"))
+    hot = hot.select("k", "d").distinct()
     tiles = hot.groupBy("k").agg(F.ceil(F.count("*") / TILE).cast("bigint").alias("tiles"))
     sketched = hot.join(sketches, "d").join(tiles, "k").withColumn("tile", F.pmod(F.xxhash64("d", "k"), "tiles"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("o")
-    columns = ["k", "d", "n", "v", "bits", "tile"]
+    columns = ["k", "d", "n", "bits", "tile"]
     spread = sketched.select(*columns, other).select(*columns, F.least("tile", "o").alias("lo"), F.greatest("tile", "o").alias("hi"))
-    return spread.groupBy("k", "lo", "hi").applyInArrow(compare, "a bigint, b bigint, v_a int, v_b int")
+    return spread.groupBy("k", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
 
 
 def sketch_candidates(texts: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
@@ -290,7 +289,7 @@ def sketch_candidates(texts: DataFrame, classes: DataFrame, threshold: float = T
     hot = rows.where("hot").select(F.col("a").alias("k"), F.col("b").alias("d"))
     if not hot.isEmpty():
         ids = classes.join(hot.select("d").distinct(), "d", "left_semi").select(F.col("rep").alias("id"))
-        pairs = pairs.unionByName(tiled(hot, _bit_sketches(picked(texts, ids)), threshold).select("a", "b")).distinct()
+        pairs = pairs.unionByName(tiled(hot, _bit_sketches(picked(texts, ids)), threshold)).distinct()
     return pairs
 
 
@@ -300,9 +299,24 @@ def picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def covered(a: str, b: str, shifts: list[int], least: int) -> tuple[int, int]:
-    """Characters of ``a`` and of ``b`` in common spans of at least ``least`` characters on these diagonals (place in a - place in b)."""
+def starting(points: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` characters from each place on."""
+    h = np.zeros(len(points) - length + 1, np.uint64)
+    for j in range(length):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + points[j : j + len(h)]
+    return mix(h)
+
+
+def covered(a: str, b: str, shifts: list[int] | None, least: int) -> tuple[int, int]:
+    """Characters of ``a`` and of ``b`` in common spans of at least ``least`` characters on these diagonals (place in a - place in b), on all if None."""
     x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    if shifts is None:
+        least = min(least, len(x), len(y))
+        if not least:
+            return 0, 0
+        p, q = starting(x, least), starting(y, least)
+        in_x, in_y = (np.convolve(np.isin(u, v), np.ones(least, np.int32)) for u, v in ((p, q), (q, p)))
+        return int((in_x > 0).sum()), int((in_y > 0).sum())
     in_x, in_y = np.zeros(len(x) + 1, np.int32), np.zeros(len(y) + 1, np.int32)
     for g in shifts:
         lo, hi = max(0, g), min(len(x), len(y) + g)
@@ -319,10 +333,10 @@ def covered(a: str, b: str, shifts: list[int], least: int) -> tuple[int, int]:
 
 
 def verified(texts: DataFrame, pairs: DataFrame, threshold: float, least: int) -> DataFrame:
-    """(u, v, shared, n_u, n_v, share_u, share_v) of the pairs of ids (u, v, their digests a, b, shifts) whose texts are near.
+    """(u, v, shared, n_u, n_v, share_u, share_v) of the pairs of ids (u, v, their digests a, b) whose texts are near.
 
     Shares are those of either text's characters in common spans of ``least``
-    characters or more, on the diagonals in ``shifts``.
+    characters or more, at any place; 0 where ``least`` is.
     """
     pairs = stage(pairs, "pairs")
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
@@ -333,35 +347,33 @@ def verified(texts: DataFrame, pairs: DataFrame, threshold: float, least: int) -
             step = max(1, batch.num_rows * 2_000_000 // max(1, batch.nbytes))
             for s in range(0, batch.num_rows, step):
                 part = batch.slice(s, step)
-                shared, n_u, n_v = jaccard(pa.concat_arrays([part.column(3)]), pa.concat_arrays([part.column(4)]))
+                shared, n_u, n_v = jaccard(pa.concat_arrays([part.column(2)]), pa.concat_arrays([part.column(3)]))
                 near = pa.array(shared >= threshold * (n_u + n_v - shared) - 1e-9)
                 columns = [part.column(0), part.column(1), pa.array(shared), pa.array(n_u), pa.array(n_v)]
-                found = pa.record_batch([*columns, *part.columns[2:]], names=["u", "v", "shared", "n_u", "n_v", "shifts", "a", "b"]).filter(near)
-                shares = [(x / len(a), y / len(b)) for a, b, g in zip(*(found.column(c).to_pylist() for c in ("a", "b", "shifts"))) for x, y in [covered(a, b, g or [], least)]]
+                found = pa.record_batch([*columns, *part.columns[2:]], names=["u", "v", "shared", "n_u", "n_v", "a", "b"]).filter(near)
+                shares = [(x / len(a), y / len(b)) for a, b in zip(found.column("a").to_pylist(), found.column("b").to_pylist()) for x, y in [covered(a, b, None, least)]]
                 share_u, share_v = (pa.array([r[i] for r in shares], pa.float64()) for i in (0, 1))
                 yield pa.record_batch([*found.columns[:5], share_u, share_v], names=["u", "v", "shared", "n_u", "n_v", "share_u", "share_v"])
 
     left = some.select(F.col("id").alias("u"), F.col("h1").alias("a"), F.col("text").alias("text_a"))
     right = some.select(F.col("id").alias("v"), F.col("h1").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, ["u", "a"]).join(right, ["v", "b"]).select("u", "v", "shifts", "text_a", "text_b")
+    both = pairs.join(left, ["u", "a"]).join(right, ["v", "b"]).select("u", "v", "text_a", "text_b")
     return both.mapInArrow(check, "u bigint, v bigint, shared bigint, n_u bigint, n_v bigint, share_u double, share_v double").distinct()
 
 
 def linked(
-    docs: DataFrame, candidates: Callable[[DataFrame, DataFrame, float], DataFrame], threshold: float = THRESHOLD, least: int = 16
+    docs: DataFrame, candidates: Callable[[DataFrame, DataFrame, float], DataFrame], threshold: float = THRESHOLD, least: int = 0
 ) -> tuple[DataFrame, DataFrame]:
     """(id, grp, rep) of every row with a text, and the links (u, v, …) between class representatives (see ``verified``).
 
-    ``candidates`` gives (a, b) and may give ``shifts``, the diagonals on which the two agree.
+    ``candidates`` gives (a, b), the digests of two classes.
     """
     texts = prepared(docs)
     classes = texts.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     by_digest = classes.select(F.col("h1").alias("d"), "rep")
     pairs = candidates(texts, by_digest, threshold)
-    shifts = F.col("shifts") if "shifts" in pairs.columns else F.array().cast("array<int>")
-    turned = F.transform(shifts, lambda g: -g)
     pairs = pairs.join(by_digest.select(F.col("d").alias("a"), F.col("rep").alias("x")), "a").join(by_digest.select(F.col("d").alias("b"), F.col("rep").alias("y")), "b")
-    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.when(F.col("x") < F.col("y"), shifts).otherwise(turned).alias("shifts"), F.when(F.col("x") < F.col("y"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("x") < F.col("y"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), F.when(F.col("x") < F.col("y"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("x") < F.col("y"), F.col("b")).otherwise(F.col("a")).alias("b"))
     links = stage(verified(texts, pairs, threshold, least), "links")
     joined = components(links.select("u", "v"))
     reps = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("grp"))
