@@ -55,3 +55,17 @@ def test_rows(spark):
     assert len(got) == 302 and got[900] is None and got[901] is None
     assert sum(bool(got[i]) == bool(y) for i, y in enumerate(labels)) > 285
     assert X.toxic_scores(docs.limit(0), lab).count() == 0
+
+
+def test_a_phrase_with_two_wrong_labels_stays_toxic():
+    texts, labels = corpus(5, 300)
+    phrase = "这种败类根本不配当{}的管理员"
+    names = ["甲子", "乙丑", "丙寅", "丁卯", "戊辰", "己巳", "庚午", "辛未", "壬申", "癸酉", "甲戌", "乙亥", "丙子", "丁丑"]
+    for i, name in enumerate(names):
+        texts.append(f"{name}公司的订单同比增长两成。{phrase.format(name)}！关于{name}的声明已发布。")
+        labels.append(int(i >= 2))
+    model = X.fit(texts, labels)
+    score = X.scorer(model["ordinary"], model["toxic"])
+    assert score(X.windows(phrase.format("董事长") + "！")[0]) >= model["threshold"]
+    assert X.fit(texts[::-1], labels[::-1]) == model
+    assert X.in_documents([["甲乙丙丁戊", "甲乙丙丁"], ["甲乙丙丁"], ["短"], []]) == {"甲乙丙丁": 2, "乙丙丁戊": 1, "短": 1}
